@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,25 +52,24 @@ def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tup
     """Hit / no hit for each note and each of a fixed list of topics, by fuzzy keyword match."""
     words = F.array_distinct(F.transform(T.plain_words(F.col(text)), lambda w: F.lower(w)))
     close = lambda w, k: 100 * (1 - F.levenshtein(w, F.lit(k)) / F.greatest(F.length(w), F.lit(len(k)))) >= cutoff
-    flags = []
-    for topic, keywords in topics.items():
-        def any_close(w, keywords=keywords):
-            found = F.lit(False)
-            for k in keywords:
-                found = found | close(w, k)
-            return found
-        flags.append(F.struct(F.lit(topic).alias("topic"), F.exists("__w", any_close).alias("hit")))
+
+    def any_close(keywords):
+        return lambda w: reduce(or_, [close(w, k) for k in keywords])
+
+    flags = [F.struct(F.lit(topic).alias("topic"), F.exists("__w", any_close(keywords)).alias("hit")) for topic, keywords in topics.items()]
     return df.select(*keys, words.alias("__w")).select(*keys, F.explode(F.array(*flags)).alias("f")).select(*keys, "f.topic", "f.hit")
 
 
 def ngram_mentions(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 3) -> DataFrame:
     """Mentions of gazetteer terms (term, label) among the 1 to 3 word sequences of a note, with their position."""
     ts = df.select(*keys, T.norm_tokens(F.col(text)).alias("__t"))
-    grams = F.array().cast("array<struct<pos:int,term:string>>")
-    for n in range(1, longest + 1):
-        gram = F.transform(F.sequence(F.lit(0), F.size("__t") - n), lambda i, n=n: F.struct(
-            i.cast("int").alias("pos"), F.array_join(F.slice("__t", i + 1, n), " ").alias("term")))
-        grams = F.concat(grams, F.when(F.size("__t") >= n, gram).otherwise(F.array().cast("array<struct<pos:int,term:string>>")))
+    none = F.array().cast("array<struct<pos:int,term:string>>")
+
+    def gram(n):
+        return lambda i: F.struct(i.cast("int").alias("pos"), F.array_join(F.slice("__t", i + 1, n), " ").alias("term"))
+
+    grams = F.concat(*[F.when(F.size("__t") >= n, F.transform(F.sequence(F.lit(0), F.size("__t") - n), gram(n))).otherwise(none)
+                       for n in range(1, longest + 1)])
     long = ts.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.pos", "g.term")
     return long.join(gazetteer.select("term", "label"), "term").select(*keys, "pos", "term", "label", F.lit(1.0).alias("score"))
 

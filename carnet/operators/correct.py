@@ -66,9 +66,12 @@ def phrase_occurrences(notes: DataFrame, keys: list[str], text: str, phrases: Da
     """Occurrences of each phrase in each note. A note meets a phrase when it holds the first word of the phrase;
     only those pairs are counted with the phrase's pattern."""
     first = phrases.select("key", "value", F.get(T.space_tokens(T.squeeze(F.lower("key"))), F.lit(0)).alias("__w"))
-    met = notes.select(*keys, F.explode(F.array_distinct(T.plain_words(F.lower(text)))).alias("__w")).join(first, "__w").drop("__w")
-    counted = notes.select(*keys, text).join(met, keys).withColumn("occ", F.regexp_count(F.col(text), phrase_pattern(F.col("key"))).cast("long"))
-    return counted.where(F.col("occ") > 0).select(*keys, "key", "value", "occ")
+    met = notes.select(*keys, F.explode(F.array_distinct(T.plain_words(F.lower(text)))).alias("__w")).join(first, "__w")
+    met = met.groupBy(*keys).agg(F.collect_list(F.struct("key", "value")).alias("__p"))
+    counted = F.transform("__p", lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"),
+                                                   F.regexp_count(F.col(text), phrase_pattern(p["key"])).cast("long").alias("occ")))
+    rows = notes.select(*keys, text).join(met, keys).select(*keys, F.explode(F.filter(counted, lambda c: c["occ"] > 0)).alias("c"))
+    return rows.select(*keys, "c.key", "c.value", "c.occ")
 
 
 def apply_pairs(text: Column, pairs: Column) -> Column:

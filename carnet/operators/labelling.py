@@ -20,8 +20,8 @@ def chunk(df: DataFrame, keys: list[str], text: str, size: int = 5000, overlap:
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.concat(
         F.transform(F.sequence(F.lit(0), full), lambda i: i * step),
         F.when(full * step + size < n, F.array(n - size)).otherwise(F.array().cast("array<int>"))))
-    long = df.select(*keys, text, F.posexplode(starts).alias("chunk", "start"))
-    return long.select(*keys, "chunk", "start", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("part"))
+    parts = F.transform(starts, lambda s: F.struct(s.alias("start"), F.substring(F.col(text), s + 1, F.lit(size)).alias("part")))
+    return df.select(*keys, F.posexplode(parts).alias("chunk", "__c")).select(*keys, "chunk", "__c.start", "__c.part")
 
 
 def vote(chunks: DataFrame, keys: list[str], order: str, label: str, reason: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries, grouped as in the inventory. Importing the package fills the registry."""
 
 from carnet.registry import ORACLES, QUERIES
-from carnet.plans import text, vocabulary  # noqa: F401
+from carnet.plans import context, correction, text, vocabulary  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
