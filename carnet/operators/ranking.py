@@ -22,19 +22,33 @@ def with_global_rank(df: DataFrame, order: list[Column], name: str = "rank") ->
     return ranked.withColumn(name, F.col("__offset") + F.col("__seq") - F.col("__base") + 1).drop("__pid", "__seq", "__base", "__offset")
 
 
-def hash_bucket(key: Column, digits: int = 3) -> Column:
-    """Leading hex digits of an md5 hash: uniform whatever the keys, and equal on every engine."""
-    return F.substring(F.md5(key.cast("string")), 1, digits)
-
-
-def rank_in_hash_order(df: DataFrame, groups: list[str], key: str, name: str = "rank", digits: int = 3) -> DataFrame:
-    """Exact rank of each row of a group in md5 order of ``key``, and the group size.
-    A group of any size is cut in 16**digits even buckets; windows only see one bucket of one group."""
-    hashed = df.withColumn("__md5", F.md5(F.col(key).cast("string"))).withColumn("__bucket", F.substring("__md5", 1, digits))
-    sizes = hashed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
+def with_running_sums(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Exact running sums (``{new: source}``) along a total order: local sums inside range partitions, plus one offset row
+    per partition. ``order`` must end in a unique column."""
+    placed = cut_lineage(df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id()))
+    totals = placed.groupBy("__pid").agg(*[F.sum(src).alias(f"__t_{new}") for new, src in sums.items()])
+    before = W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in sums])
+    upto = W.partitionBy("__pid").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = placed.withColumns({new: F.sum(src).over(upto) for new, src in sums.items()}).join(F.broadcast(offsets), "__pid")
+    return local.withColumns({new: F.col(new) + F.col(f"__o_{new}") for new in sums}).drop("__pid", *[f"__o_{new}" for new in sums])
+
+
+def rank_in_buckets(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
+    """Exact rank of each row inside its group and the group size (``group_size``). ``bucket`` must be monotone in
+    ``order`` and bounds how much one window sees: a group of any size is ranked bucket by bucket, then offset."""
+    placed = df.withColumn("__bucket", bucket)
+    sizes = placed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
     before = W.partitionBy(*groups).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*groups, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
                            F.sum("__n").over(W.partitionBy(*groups)).alias("group_size"))
-    local = F.row_number().over(W.partitionBy(*groups, "__bucket").orderBy("__md5", key))
-    ranked = hashed.withColumn("__local", local).join(offsets, [*groups, "__bucket"])
-    return ranked.withColumn(name, F.col("__offset") + F.col("__local")).drop("__md5", "__bucket", "__local", "__offset")
+    local = F.row_number().over(W.partitionBy(*groups, "__bucket").orderBy(*order))
+    ranked = placed.withColumn("__local", local).join(offsets, [*groups, "__bucket"])
+    return ranked.withColumn(name, F.col("__offset") + F.col("__local")).drop("__bucket", "__local", "__offset")
+
+
+def rank_in_hash_order(df: DataFrame, groups: list[str], key: str, name: str = "rank", digits: int = 3) -> DataFrame:
+    """Rank of each row of a group in md5 order of ``key``: a shuffle that is the same on every run and engine.
+    Hash prefixes cut every group in 16**digits even buckets."""
+    hashed = df.withColumn("__md5", F.md5(F.col(key).cast("string")))
+    return rank_in_buckets(hashed, groups, F.substring("__md5", 1, digits), [F.col("__md5"), F.col(key)], name).drop("__md5")

@@ -13,7 +13,8 @@ from carnet.operators.ranking import with_global_rank
 def to_long(df: DataFrame, keys: list[str], columns: list[str] | None = None, name: str = "column_name", value: str = "value") -> DataFrame:
     """One row per cell, cells as text."""
     listed = columns or [c for c in df.columns if c not in keys]
-    return df.select(*keys, *[F.col(f"`{c}`").cast("string").alias(c) for c in listed]).unpivot(keys, [f"`{c}`" for c in listed], name, value)
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in listed])
+    return df.select(*keys, F.explode(cells).alias("__c")).select(*keys, F.col("__c.c").alias(name), F.col("__c.v").alias(value))
 
 
 def row_to_long(row: DataFrame, name: str, value: str) -> DataFrame:
