@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
+from carnet.lookups import as_lookup
 from carnet.operators.suggest import fuzzy_pairs
 
 
@@ -37,7 +38,7 @@ def kwic_fuzzy(df: DataFrame, keys: list[str], text: str, keywords: DataFrame, n
     words = T.plain_words(F.col(text))
     plain = lambda w: T.unaccent(F.lower(w))
     per_note = df.select(*keys, F.explode(F.array_distinct(F.transform(words, plain))).alias("word"))
-    close = fuzzy_pairs(per_note.select("word").distinct(), keywords, cutoff=cutoff).select("word").distinct()
+    close = as_lookup(fuzzy_pairs(per_note.select("word").distinct(), keywords, cutoff=cutoff).select("word").distinct())
     hits = per_note.join(close, "word").groupBy(*keys).agg(F.collect_set("word").alias("hitset"))
     return windows(df.join(hits, keys), keys, words, lambda w: F.array_contains("hitset", plain(w)), n)
 

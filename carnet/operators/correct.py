@@ -1,7 +1,8 @@
 """Corpus correction with dictionaries.
 
-Dictionary lookups never shuffle the text: distinct words of each note are joined with the dictionary, the few hits are
-gathered per note, and the note is rewritten in place from its own small hit map.
+A small dictionary is part of the plan, so the text is rewritten where it is read. With a larger one the distinct words of
+each note are joined with it, the few hits are gathered per note, and the note is rewritten from its own small hit map:
+the words of the corpus are never shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
+from carnet.lookups import as_lookup, replace_tokens, small_entries
 
 BATCH_SPLIT = "[ /,.-]"
 
@@ -31,11 +33,16 @@ def with_hits(notes: DataFrame, keys: list[str], tokens: Column, dictionary: Dat
 
 def correct_tokens(notes: DataFrame, keys: list[str], text: str, dictionary: DataFrame, alias: str = "corrected") -> DataFrame:
     """Replace tokens found in the dictionary after splitting on blanks, slashes, commas, dots and hyphens.
-    As in the original data, every token is followed by a space."""
-    parts = F.split(F.col(text), BATCH_SPLIT)
-    rows = with_hits(notes.select(*keys, text), keys, parts, dictionary)
-    fixed = F.transform(F.split(F.col(text), BATCH_SPLIT), lambda t: F.coalesce(F.try_element_at("hits", t), t))
-    return rows.select(*keys, F.concat(F.array_join(fixed, " "), F.lit(" ")).alias(alias))
+    As in the original data, every token is followed by a space. A small dictionary is applied where the text is read;
+    a larger one goes through the hits of each note."""
+    entries = small_entries(dictionary)
+    rows = notes.select(*keys, F.split(F.col(text), BATCH_SPLIT).alias("__parts"))
+    if entries is not None:
+        fixed = replace_tokens(rows, "__parts", entries, "__fixed")
+    else:
+        found = with_hits(rows, keys, F.col("__parts"), as_lookup(dictionary))
+        fixed = found.withColumn("__fixed", F.transform("__parts", lambda t: F.coalesce(F.try_element_at("hits", t), t)))
+    return fixed.select(*keys, F.concat(F.array_join("__fixed", " "), F.lit(" ")).alias(alias))
 
 
 APOSTROPHE_GUARD = r"(?!['’])"

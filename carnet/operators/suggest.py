@@ -142,22 +142,18 @@ def typo_eligible() -> Column:
             & ~((F.col("zipf") > 0) & (F.col("zipf") >= K.ZIPF_TYPO_MAX)))
 
 
-def typo_matches(tokens: DataFrame, reference: DataFrame) -> DataFrame:
+def typo_matches(tokens: DataFrame) -> DataFrame:
     """(word, match) for lower-case eligible tokens: first valid word at distance 1, kept when clearly more frequent."""
-    from carnet.operators.vocab import with_zipf
-
     wanted = to_fix(tokens).where(typo_eligible()).select(F.lower("token").alias("word"), "zipf").distinct()
-    valid = valid_words(tokens).select(F.col("word").alias("valid"))
-    first = edit1_pairs(wanted, valid, "word", "valid").groupBy("word", "zipf").agg(F.min("valid").alias("match"))
-    scored = with_zipf(first.withColumnRenamed("zipf", "zipf_word"), reference, "match")
-    gain_ok = (F.col("zipf") == 0) | (F.col("zipf_word") == 0) | (F.col("zipf") - F.col("zipf_word") >= 1.0)
-    return scored.where(gain_ok).select("word", "match")
+    valid = tokens.where(F.col("status") == "valid").select(F.lower("token").alias("valid"), F.col("zipf").alias("zipf_valid")).distinct()
+    first = edit1_pairs(wanted, valid, "word", "valid").groupBy("word", "zipf").agg(F.min(F.struct("valid", "zipf_valid")).alias("b"))
+    gain_ok = (F.col("b.zipf_valid") == 0) | (F.col("zipf") == 0) | (F.col("b.zipf_valid") - F.col("zipf") >= 1.0)
+    return first.where(gain_ok).select("word", F.col("b.valid").alias("match"))
 
 
-def typo(tokens: DataFrame, reference: DataFrame) -> DataFrame:
-    found = typo_matches(tokens, reference)
+def typo(tokens: DataFrame) -> DataFrame:
     eligible = to_fix(tokens).where(typo_eligible())
-    return as_suggestion(eligible.join(found, F.lower("token") == F.col("word")), "TYPO", F.col("match"), 90.0, 1)
+    return as_suggestion(eligible.join(typo_matches(tokens), F.lower("token") == F.col("word")), "TYPO", F.col("match"), 90.0, 1)
 
 
 def enrich_rule() -> Column:
@@ -168,7 +164,7 @@ def enrich(tokens: DataFrame) -> DataFrame:
     return as_suggestion(to_fix(tokens).where(enrich_rule()), "ENRICH_METIER")
 
 
-def suggest_all(tokens: DataFrame, dictionary: DataFrame, sure: DataFrame, ambiguous: DataFrame, reference: DataFrame) -> DataFrame:
+def suggest_all(tokens: DataFrame, dictionary: DataFrame, sure: DataFrame, ambiguous: DataFrame) -> DataFrame:
     """Every family in priority order, one row per token: a single pass over the vocabulary with one lookup per family.
     ``tokens`` is read several times: hand over a written or checkpointed vocabulary."""
     low, up = F.lower("token"), F.upper("token")
@@ -177,7 +173,7 @@ def suggest_all(tokens: DataFrame, dictionary: DataFrame, sure: DataFrame, ambig
     rows = rows.join(accent_map(valid_words(tokens)).withColumnRenamed("key", "ak"), T.unaccent(low) == F.col("ak"), "left")
     rows = rows.join(sure.select(F.col("key").alias("sk"), F.col("value").alias("sv")), up == F.col("sk"), "left")
     rows = rows.join(ambiguous.select(F.col("key").alias("mk"), F.array_join("expansions", " | ").alias("mv")), up == F.col("mk"), "left")
-    rows = rows.join(typo_matches(tokens, reference).select(F.col("word").alias("tk"), F.col("match").alias("tv")), low == F.col("tk"), "left")
+    rows = rows.join(typo_matches(tokens).select(F.col("word").alias("tk"), F.col("match").alias("tv")), low == F.col("tk"), "left")
     fix = F.col("status") != "valid"
     mark = T.intensity_token(low)
     is_sure = F.col("sk").isNotNull() & is_upper_token(F.col("token"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
+from carnet.lookups import as_lookup
 from carnet.operators import context as X
 from carnet.operators import labelling as L
 from carnet.plans import inputs as I
@@ -48,7 +49,7 @@ def kwic_topics(spark, d):
     """Each benchmark passage is a topic, its longer words are the keywords."""
     words = F.filter(F.array_distinct(T.norm_tokens(F.col("text"))), lambda t: F.length(t) >= 5)
     topics = table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), F.explode(words).alias("keyword"))
-    return X.topic_hits(table(spark, d, "documents"), ["doc_id"], "text", topics)
+    return X.topic_hits(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(topics))
 
 
 @query("kwic_topic_flags")
@@ -77,7 +78,7 @@ SQL_ENTITIES = f"""{I.SQL_REFERENCE}, {I.SQL_PHRASES},
 
 
 def entities(spark, d):
-    return X.ngram_mentions(table(spark, d, "documents"), ["doc_id"], "text", gazetteer(spark, d))
+    return X.ngram_mentions(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(gazetteer(spark, d)))
 
 
 def labelled_entities(spark, d):

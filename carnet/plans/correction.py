@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
+from carnet.lookups import as_lookup
 from carnet.operators import abbrev as A
 from carnet.operators import correct as C
 from carnet.plans import inputs as I
@@ -43,6 +44,7 @@ def dedup(x):
     return f"list_filter({x}, lambda v, i: list_position(list_transform({x}, lambda w: lower(w)), lower(v)) = i)"
 
 
+KEY_PART = r"regexp_extract(line, '^([^:]+?)\s*:', 1)"
 ITEM_FROM, ITEM_TO = r'<li><a href="/([^"]*)">([^<]*)</a></li>', r"<li><b>\1</b> : \2, or long \2</li>"
 
 
@@ -50,7 +52,7 @@ ITEM_FROM, ITEM_TO = r'<li><a href="/([^"]*)">([^<]*)</a></li>', r"<li><b>\1</b>
     WITH p AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '{ITEM_FROM}', '{ITEM_TO}', 'g'), '(?is)<li>(.*?)</li>', 1) AS items FROM pages),
     i AS (SELECT page_id, u.pos, trim(regexp_replace({SQL_UNESCAPE.format(x="regexp_replace(u.item, '<[^>]*>', '', 'g')")}, '{S.SP}+', ' ', 'g')) AS line
           FROM p, unnest(items) WITH ORDINALITY AS u(item, pos)),
-    k AS (SELECT page_id, pos, upper(replace(regexp_replace({SQL_UNESCAPE.format(x="regexp_extract(line, '^([^:]+?)\s*:', 1)")}, '{S.SP}+', '', 'g'), 'ß', 'ss')) AS key,
+    k AS (SELECT page_id, pos, upper(replace(regexp_replace({SQL_UNESCAPE.format(x=KEY_PART)}, '{S.SP}+', '', 'g'), 'ß', 'ss')) AS key,
                  {sql_split(r"regexp_extract(line, '^[^:]+:\s*(.+)$', 1)", sql_clean)} AS parts
           FROM i WHERE regexp_matches(line, '^[^:]+:.*\S')),
     d AS (SELECT page_id, pos, key, {dedup('parts')} AS exps FROM k),
@@ -86,7 +88,8 @@ SQL_FOUND = """
     SELECT 'sure' AS kind, key, value FROM s UNION ALL SELECT 'ambiguous', key, value FROM a""")
 def abbr_merge(spark, d):
     fsure, famb = found_abbreviations(spark, d)
-    sure, amb = A.merge(I.sure_abbreviations(spark, d), fsure, I.ambiguous_abbreviations(spark, d), famb)
+    lsure, lamb = I.abbreviations(spark, d)
+    sure, amb = A.merge(lsure, fsure, lamb, famb)
     sure = sure.select(F.lit("sure").alias("kind"), "key", "value")
     return sure.unionByName(amb.select(F.lit("ambiguous").alias("kind"), "key", F.array_join("expansions", " | ").alias("value")))
 
@@ -104,7 +107,7 @@ SQL_ACCEPT = rf"""CASE WHEN trim({{k}}) = '' OR lower(trim({{k}})) IN {BLACK} TH
     SELECT key, array_to_string({dedup('x')}, ' | ') AS expansions FROM j""")
 def abbr_merge_lists(spark, d):
     _, famb = found_abbreviations(spark, d)
-    merged = A.merge_lists(I.ambiguous_abbreviations(spark, d), famb)
+    merged = A.merge_lists(I.abbreviations(spark, d)[1], famb)
     return merged.withColumn("expansions", F.array_join("expansions", " | "))
 
 
@@ -146,20 +149,20 @@ SQL_BOUNDED = rf"list_filter(regexp_extract_all(lower(text), '[{S.W}]+[''’]?')
     WITH {I.SQL_REFERENCE}, {I.SQL_DICTIONARY}
     SELECT doc_id, key, value, count(*) AS occ FROM (SELECT doc_id, unnest({SQL_BOUNDED}) AS key FROM documents) JOIN dict USING (key) GROUP BY ALL""")
 def corr_occ(spark, d):
-    return C.word_occurrences(table(spark, d, "documents"), ["doc_id"], C.bounded_words(F.col("text")), I.correction_dictionary(spark, d))
+    return C.word_occurrences(table(spark, d, "documents"), ["doc_id"], C.bounded_words(F.col("text")), as_lookup(I.correction_dictionary(spark, d)))
 
 
 @query("corr_occ_phrase")
 def corr_occ_phrase(spark, d):
-    return C.phrase_occurrences(table(spark, d, "documents"), ["doc_id"], "text", I.phrase_dictionary(spark, d))
+    return C.phrase_occurrences(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.phrase_dictionary(spark, d)))
 
 
 @query("corr_apply")
 def corr_apply(spark, d):
     """Words and phrases of both dictionaries applied to every document that holds them."""
     docs = table(spark, d, "documents")
-    words = C.word_occurrences(docs, ["doc_id"], C.bounded_words(F.col("text")), I.correction_dictionary(spark, d))
-    phrases = C.phrase_occurrences(docs, ["doc_id"], "text", I.phrase_dictionary(spark, d))
+    words = C.word_occurrences(docs, ["doc_id"], C.bounded_words(F.col("text")), as_lookup(I.correction_dictionary(spark, d)))
+    phrases = C.phrase_occurrences(docs, ["doc_id"], "text", as_lookup(I.phrase_dictionary(spark, d)))
     return C.apply_corrections(docs, ["doc_id"], "text", words.unionByName(phrases))
 
 
@@ -178,8 +181,9 @@ def corr_apply(spark, d):
           UNION ALL SELECT doc_id, 'NOISE', lower(form), '', sum(occ)::BIGINT, 'Artefact ETL (valeur manquante) – à ignorer' FROM w WHERE lower(form) IN ('nan', 'none', 'null') GROUP BY doc_id, lower(form))
     SELECT *, family || '::' || token_source || '::' || match AS suggestion_key FROM u""")
 def corr_patient_sug(spark, d):
-    return C.patient_suggestions(table(spark, d, "documents"), ["doc_id"], "text", I.correction_dictionary(spark, d), I.phrase_dictionary(spark, d),
-                                 I.sure_abbreviations(spark, d), I.ambiguous_abbreviations(spark, d), ("DICT", "ABBREV_SURE", "ABBREV_AMBIGU", "NOISE"))
+    sure, ambiguous = I.abbreviations(spark, d)
+    return C.patient_suggestions(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.correction_dictionary(spark, d)), I.phrase_dictionary(spark, d),
+                                 sure, ambiguous, ("DICT", "ABBREV_SURE", "ABBREV_AMBIGU", "NOISE"))
 
 
 @query("corr_family_select", SQL_ALL + f"SELECT token_source, category FROM allsug WHERE category IN {S.words_in(K.DEFAULT_FAMILIES)}")
@@ -191,7 +195,7 @@ def corr_family_select(spark, d):
 def abbr_annotate(spark, d):
     """The first expansion of every ambiguous abbreviation is written after it."""
     docs = table(spark, d, "documents")
-    first = I.ambiguous_abbreviations(spark, d).select("key", F.get("expansions", F.lit(0)).alias("value"))
+    first = I.abbreviations(spark, d)[1].select("key", F.get("expansions", F.lit(0)).alias("value"))
     met = C.word_occurrences(docs, ["doc_id"], F.array_distinct(T.plain_words(F.col("text"))), first)
     return C.annotate_abbreviations(docs, ["doc_id"], "text", met)
 
@@ -202,7 +206,7 @@ def abbr_annotate(spark, d):
     s AS (SELECT doc_id, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS "end" FROM p)
     SELECT doc_id, "end" - length(piece) AS start, "end", piece AS matched, key, value FROM s JOIN dict ON key = lower(piece)""")
 def match_spans(spark, d):
-    return C.match_spans(table(spark, d, "documents"), ["doc_id"], "text", I.correction_dictionary(spark, d))
+    return C.match_spans(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.correction_dictionary(spark, d)))
 
 
 @query("noise_count", rf"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
+from carnet.lookups import as_lookup
 from carnet.operators import vocab as V
 from carnet.plans import sqlparts as S
 from carnet.registry import table
@@ -77,20 +78,18 @@ SQL_PHRASES = f"""
 
 
 def acronyms(spark, d) -> DataFrame:
-    words = F.explode(F.array_distinct(T.plain_words(F.col("text")))).alias("key")
-    return table(spark, d, "documents").select(words).distinct().where(F.col("key").rlike("^[A-Z]{2,6}$"))
-
-
-def sure_abbreviations(spark, d) -> DataFrame:
-    """Acronyms of even length, with one expansion."""
-    return acronyms(spark, d).where(F.length("key") % 2 == 0).withColumn("value", F.concat(F.lit("long form of "), F.lower("key")))
-
-
-def ambiguous_abbreviations(spark, d) -> DataFrame:
-    """Acronyms of odd length, with two expansions."""
-    low = F.lower("key")
-    return acronyms(spark, d).where(F.length("key") % 2 == 1).withColumn(
-        "expansions", F.array(F.concat(F.lit("first "), low), F.concat(F.lit("second "), low)))
+    """Capital words of two to six letters; filtered inside each note before they are compared between notes."""
+    words = F.filter(F.array_distinct(T.plain_words(F.col("text"))), lambda w: w.rlike("^[A-Z]{2,6}$"))
+    return table(spark, d, "documents").select(F.explode(words).alias("key")).distinct()
+
+
+def abbreviations(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Sure abbreviations (acronyms of even length, one expansion) and ambiguous ones (odd length, two expansions).
+    The acronyms are written once, so the documents are scanned once for both."""
+    found, low = as_lookup(acronyms(spark, d)), F.lower("key")
+    sure = found.where(F.length("key") % 2 == 0).withColumn("value", F.concat(F.lit("long form of "), low))
+    two = F.array(F.concat(F.lit("first "), low), F.concat(F.lit("second "), low))
+    return sure, found.where(F.length("key") % 2 == 1).withColumn("expansions", two)
 
 
 SQL_ABBREVIATIONS = rf"""

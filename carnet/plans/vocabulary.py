@@ -178,19 +178,19 @@ def sug_diacritics_multi(spark, d):
 @query("sug_abbrev_sure", sug("", family_select("ABBREV_SURE", "value", 100, source="tok JOIN sure ON key = upper(token)",
                                                 where=f"{UPPER_TOKEN} AND upper(token) NOT IN (SELECT key FROM amb)"), "," + I.SQL_ABBREVIATIONS))
 def sug_abbrev_sure(spark, d):
-    return G.abbrev_sure(I.token_table(spark, d), I.sure_abbreviations(spark, d), I.ambiguous_abbreviations(spark, d))
+    return G.abbrev_sure(I.token_table(spark, d), *I.abbreviations(spark, d))
 
 
 @query("sug_abbrev_ambiguous", sug("", family_select("ABBREV_AMBIGU", expansions="array_to_string(expansions, ' | ')", source="tok JOIN amb ON key = upper(token)"),
                                    "," + I.SQL_ABBREVIATIONS))
 def sug_abbrev_ambiguous(spark, d):
-    return G.abbrev_ambiguous(I.token_table(spark, d), I.ambiguous_abbreviations(spark, d))
+    return G.abbrev_ambiguous(I.token_table(spark, d), I.abbreviations(spark, d)[1])
 
 
 @query("sug_abbrev_candidate", sug("", family_select(
     "ABBREV_CANDIDATE", where=f"{CANDIDATE} AND upper(token) NOT IN (SELECT key FROM sure UNION SELECT key FROM amb)"), "," + I.SQL_ABBREVIATIONS))
 def sug_abbrev_candidate(spark, d):
-    return G.abbrev_candidate(I.token_table(spark, d), I.sure_abbreviations(spark, d), I.ambiguous_abbreviations(spark, d))
+    return G.abbrev_candidate(I.token_table(spark, d), *I.abbreviations(spark, d))
 
 
 @query("sug_intensity", rf"""
@@ -205,7 +205,7 @@ def sug_intensity(spark, d):
 
 @query("sug_typo", sug("", family_select("TYPO", "m", 90, 1, source="tok JOIN typos ON w = lower(token)", where=f"{FIX} AND {ELIGIBLE}"), "," + TYPO))
 def sug_typo(spark, d):
-    return G.typo(cut_lineage(I.token_table(spark, d)), I.reference_counts(spark, d))
+    return G.typo(cut_lineage(I.token_table(spark, d)))
 
 
 @query("sug_enrich", sug("", family_select("ENRICH_METIER", where=f"{FIX} AND word_like = 1 AND zipf <= 1.5")))
@@ -233,7 +233,8 @@ SQL_ALL = sug("", f""",
 def all_suggestions(spark, d):
     """The vocabulary is written once, so the corpus is scanned once however many families look at it."""
     tokens = cut_lineage(I.token_table(spark, d))
-    return G.suggest_all(tokens, I.correction_dictionary(spark, d), I.sure_abbreviations(spark, d), I.ambiguous_abbreviations(spark, d), I.reference_counts(spark, d))
+    sure, ambiguous = I.abbreviations(spark, d)
+    return G.suggest_all(tokens, I.correction_dictionary(spark, d), sure, ambiguous)
 
 
 query("sug_all", SQL_ALL + "SELECT * FROM allsug")(all_suggestions)
