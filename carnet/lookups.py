@@ -18,16 +18,20 @@ LITERAL_ROWS = 2_000
 LOOKUP_ROWS = 200_000
 
 
-def as_lookup(dim: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """The dimension, written once, with the join strategy its row count allows."""
-    written = cut_lineage(dim)
+def with_strategy(written: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """A stored dimension with the join strategy its row count allows."""
     small = written.limit(max_rows + 1).count() <= max_rows
     return written.hint("broadcast" if small else "merge")
 
 
-def small_entries(dictionary: DataFrame, max_rows: int = LITERAL_ROWS) -> dict[str, str] | None:
-    """Entries of a dictionary small enough to be written in the plan, else None. At most ``max_rows + 1`` rows are fetched."""
-    rows = dictionary.select("key", "value").limit(max_rows + 1).collect()
+def as_lookup(dim: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """The dimension, written once, with the join strategy its row count allows."""
+    return with_strategy(cut_lineage(dim), max_rows)
+
+
+def small_entries(written: DataFrame, max_rows: int = LITERAL_ROWS) -> dict[str, str] | None:
+    """Entries of a stored dictionary small enough to stand in the plan, else None. At most ``max_rows + 1`` rows are fetched."""
+    rows = written.select("key", "value").limit(max_rows + 1).collect()
     return {r["key"]: r["value"] for r in rows} if len(rows) <= max_rows else None
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
-from carnet.lookups import as_lookup, replace_tokens, small_entries
+from carnet.lookups import replace_tokens, small_entries, with_strategy
+from carnet.session import cut_lineage
 
 BATCH_SPLIT = "[ /,.-]"
 
@@ -35,12 +36,13 @@ def correct_tokens(notes: DataFrame, keys: list[str], text: str, dictionary: Dat
     """Replace tokens found in the dictionary after splitting on blanks, slashes, commas, dots and hyphens.
     As in the original data, every token is followed by a space. A small dictionary is applied where the text is read;
     a larger one goes through the hits of each note."""
-    entries = small_entries(dictionary)
+    stored = cut_lineage(dictionary.select("key", "value"))
+    entries = small_entries(stored)
     rows = notes.select(*keys, F.split(F.col(text), BATCH_SPLIT).alias("__parts"))
     if entries is not None:
         fixed = replace_tokens(rows, "__parts", entries, "__fixed")
     else:
-        found = with_hits(rows, keys, F.col("__parts"), as_lookup(dictionary))
+        found = with_hits(rows, keys, F.col("__parts"), with_strategy(stored))
         fixed = found.withColumn("__fixed", F.transform("__parts", lambda t: F.coalesce(F.try_element_at("hits", t), t)))
     return fixed.select(*keys, F.concat(F.array_join("__fixed", " "), F.lit(" ")).alias(alias))
 

@@ -53,7 +53,6 @@ def patch_sentences(saved: DataFrame, edits: DataFrame, key: str, parts: str, or
 
 # Words whose damaged form is recognised, with the repaired word.
 QUESTION_WORDS = (
-    (r"(?i)\?stradiol", "estradiol"),
     (r"(?i)^c\?lio", "coelioscopie"),
     (r"(?i)^s\?ur", "soeur"),
     (r"(?i)^a\?ei", "atteinte"),
@@ -69,18 +68,16 @@ QUESTION_WORDS = (
 def question_repair(token: Column) -> Column:
     """Repair one token in which '?' replaced a ligature, an apostrophe or 'ti'."""
     bare = T.trim_punct(token)
-    inside = bare.contains("?")
-    joined_scope = F.regexp_extract(bare, r"(?iU)^([\w']{2,})c\?lio[a-z]*", 1)
-    before = F.regexp_extract(bare, r"(?U)^([\w']*)\?", 1)
-    rule = F.when(bare.rlike(QUESTION_WORDS[0][0]), F.lit(QUESTION_WORDS[0][1]))
-    rule = rule.when(joined_scope != "", F.concat(joined_scope, F.lit(" coelioscopie")))
-    for pattern, word in QUESTION_WORDS[1:]:
+    joined_scope = F.regexp_extract(bare, rf"(?i)^([{T.WORD}']{{2,}})c\?lio[a-z]*", 1)
+    before = F.regexp_extract(bare, rf"^([{T.WORD}']*)\?", 1)
+    rule = F.when(joined_scope != "", F.concat(joined_scope, F.lit(" coelioscopie")))
+    for pattern, word in QUESTION_WORDS:
         rule = rule.when(bare.rlike(pattern), F.lit(word))
     rule = rule.when(bare.rlike(r"(?i)qu\?"), F.replace(bare, F.lit("?"), F.lit("'")))
     rule = rule.when(F.length(before) == 1, F.replace(bare, F.lit("?"), F.lit("'")))
     rule = rule.when(F.length(before) == 0, F.replace(bare, F.lit("?"), F.lit("")))
     rule = rule.otherwise(F.replace(bare, F.lit("?"), F.lit("ti")))
-    return F.when(inside, rule).otherwise(bare)
+    return F.when(token.rlike(r"(?i)\?stradiol"), "estradiol").when(bare.contains("?"), rule).otherwise(bare)
 
 
 def repair_question_marks(df: DataFrame, text: str) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
+from carnet.lookups import as_lookup
 
 SUGGESTION_COLUMNS = ["token_source", "match", "count", "score", "edit_dist", "category", "expansions"]
+# Words stand under about twenty keys each in the edit-distance join, so fewer of them may be broadcast.
+EDIT_LOOKUP_ROWS = 20_000
 
 
 def as_suggestion(df: DataFrame, category: str, match: Column | None = None, score: float = 0.0, edit_dist: int = 0,
@@ -109,28 +112,33 @@ def intensity(tokens: DataFrame) -> DataFrame:
     return as_suggestion(marked.where(F.col("__m").isNotNull()), "INTENSITY", F.col("__m"), 100.0)
 
 
-def _deletions(word: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(1), F.length(word)),
-        lambda i: F.struct(i.alias("pos"), F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))).alias("rest")))
+def _deletions(df: DataFrame, word: str) -> DataFrame:
+    """One row per position of each word: ``__pos``, the word without that letter (``__rest``), and whether it is the
+    first of a run of equal letters, so that each distinct rest can be taken once (``__once``)."""
+    w, pos = F.col(word), F.col("__pos")
+    rows = df.where(F.length(w) > 0).select("*", F.explode(F.sequence(F.lit(1), F.length(w))).alias("__pos"))
+    rest = F.concat(F.substring(w, F.lit(1), pos - 1), F.substring(w, pos + 1, F.length(w)))
+    return rows.select("*", rest.alias("__rest"), ((pos == 1) | (F.substring(w, pos, F.lit(1)) != F.substring(w, pos - 1, F.lit(1)))).alias("__once"))
+
+
+def _edit_keys(df: DataFrame, word: str, own_deletion: str, whole: str) -> DataFrame:
+    cut = _deletions(df, word)
+    same_place = F.concat(F.lit("S"), F.col("__pos").cast("string"), F.lit(":"), F.col("__rest"))
+    shorter = F.when(F.col("__once"), F.concat(F.lit(own_deletion), F.col("__rest")))
+    cut = cut.select(*df.columns, F.explode(F.array(same_place, shorter)).alias("__k")).where(F.col("__k").isNotNull())
+    return cut.unionByName(df.select("*", F.concat(F.lit(whole), F.col(word)).alias("__k")))
 
 
 def edit1_pairs(left: DataFrame, right: DataFrame, left_word: str, right_word: str) -> DataFrame:
     """All (left, right) word pairs at edit distance exactly 1, found by equality joins only.
 
     Two words differ by one substitution when deleting the same position gives the same rest, and by one insertion when
-    a deletion of one is the other. Keys carry the case they stand for, so a match needs no distance check.
-    The number of partners of a key is bounded by the alphabet, not by the data.
+    a deletion of one is the other. Keys carry the case they stand for, so a match needs no distance check and each pair
+    is found once. The number of partners of a key is bounded by the alphabet, not by the data.
     """
-    lw, rw = F.col(left_word), F.col(right_word)
-    same_place = lambda s: F.concat(F.lit("S"), s["pos"].cast("string"), F.lit(":"), s["rest"])
-    left_keys = F.concat(F.transform(_deletions(lw), same_place), F.transform(_deletions(lw), lambda s: F.concat(F.lit("R:"), s["rest"])),
-                         F.array(F.concat(F.lit("L:"), lw)))
-    right_keys = F.concat(F.transform(_deletions(rw), same_place), F.transform(_deletions(rw), lambda s: F.concat(F.lit("L:"), s["rest"])),
-                          F.array(F.concat(F.lit("R:"), rw)))
-    a = left.where(F.length(lw) > 0).select("*", F.explode(F.array_distinct(left_keys)).alias("__k"))
-    b = right.where(F.length(rw) > 0).select("*", F.explode(F.array_distinct(right_keys)).alias("__k"))
-    return a.join(b, "__k").where(lw != rw).drop("__k")
+    a = _edit_keys(left, left_word, "R:", "L:")
+    b = _edit_keys(right, right_word, "L:", "R:")
+    return a.join(b, "__k").where(F.col(left_word) != F.col(right_word)).drop("__k")
 
 
 def typo_eligible() -> Column:
@@ -146,6 +154,7 @@ def typo_matches(tokens: DataFrame) -> DataFrame:
     """(word, match) for lower-case eligible tokens: first valid word at distance 1, kept when clearly more frequent."""
     wanted = to_fix(tokens).where(typo_eligible()).select(F.lower("token").alias("word"), "zipf").distinct()
     valid = tokens.where(F.col("status") == "valid").select(F.lower("token").alias("valid"), F.col("zipf").alias("zipf_valid")).distinct()
+    valid = as_lookup(valid, EDIT_LOOKUP_ROWS)
     first = edit1_pairs(wanted, valid, "word", "valid").groupBy("word", "zipf").agg(F.min(F.struct("valid", "zipf_valid")).alias("b"))
     gain_ok = (F.col("b.zipf_valid") == 0) | (F.col("zipf") == 0) | (F.col("b.zipf_valid") - F.col("zipf") >= 1.0)
     return first.where(gain_ok).select("word", F.col("b.valid").alias("match"))
@@ -211,36 +220,35 @@ def with_automatic(suggestions: DataFrame) -> DataFrame:
     return suggestions.withColumn("family_label", F.coalesce(label, F.col("category"))).withColumn("is_auto", auto & (F.length("match") > 0))
 
 
-def _segments(word: str, other_len: str, cutoff: int, own: bool) -> Column:
-    """Keys under which two words scoring at least ``cutoff`` must meet.
+def _pieces(df: DataFrame, word: str, cutoff: int, own: bool) -> DataFrame:
+    """(word, __k): keys under which two words scoring at least ``cutoff`` must meet.
 
     A score of at least ``cutoff`` allows ``k = (100 - cutoff) * longer / 100`` edits. Cut the lexicon word in k + 1 pieces:
     at least one piece survives untouched in the other word, moved by at most k places. ``own`` gives the pieces of the
-    lexicon word, otherwise every place of the searched word where a piece could be.
+    lexicon word, otherwise every place of the searched word where a piece could be. ``o`` is the other word's length.
     """
-    lex_len, word_len = (f"length({word})", "o") if own else ("o", f"length({word})")
-    k = f"({100 - cutoff} * greatest({lex_len}, {word_len}) div 100)"
-    base, rem = f"({lex_len} div ({k} + 1))", f"({lex_len} % ({k} + 1))"
-    size = f"({base} + if(i >= {k} + 1 - {rem}, 1, 0))"
-    start = f"(i * {base} + greatest(0, i - ({k} + 1 - {rem})))"
-    label = f"concat({lex_len}, '/', {word_len}, '/', i, '/', substring({word}, cast({{at}} as int) + 1, cast({size} as int)))"
+    rows = df.where(F.length(word) > 0).select(word, F.length(word).alias("n"))
+    rows = rows.withColumn("o", F.expr(f"explode(sequence(greatest(1, n * {cutoff} div 100), n * 100 div {cutoff} + 1))"))
+    rows = rows.withColumn("k", F.expr(f"{100 - cutoff} * greatest(n, o) div 100")).where("abs(n - o) <= k")
+    rows = rows.withColumn("i", F.expr("explode(sequence(0L, k))"))
+    lex, other = ("n", "o") if own else ("o", "n")
+    rows = rows.withColumn("size", F.expr(f"{lex} div (k + 1) + if(i >= k + 1 - {lex} % (k + 1), 1, 0)"))
+    rows = rows.withColumn("start", F.expr(f"i * ({lex} div (k + 1)) + greatest(0, i - (k + 1 - {lex} % (k + 1)))"))
     if own:
-        piece = f"array({label.format(at=start)})"
+        rows = rows.withColumn("at", F.col("start"))
     else:
-        first, last = f"greatest(0, {start} - {k})", f"least({word_len} - {size}, {start} + {k})"
-        piece = f"if({first} <= {last}, transform(sequence({first}, {last}), p -> {label.format(at='p')}), array())"
-    lengths = f"filter(sequence(greatest(1, {other_len} * {cutoff} div 100), {other_len} * 100 div {cutoff} + 1), o -> abs({lex_len} - {word_len}) <= {k})"
-    return F.expr(f"flatten(transform({lengths}, o -> flatten(transform(sequence(0L, {k}), i -> {piece}))))")
+        rows = rows.where("greatest(0, start - k) <= least(n - size, start + k)")
+        rows = rows.withColumn("at", F.expr("explode(sequence(greatest(0, start - k), least(n - size, start + k)))"))
+    key = F.expr(f"concat({lex}, '/', {other}, '/', i, '/', substring({word}, cast(at AS INT) + 1, cast(size AS INT)))")
+    return rows.select(word, key.alias("__k"))
 
 
 def fuzzy_pairs(words: DataFrame, lexicon: DataFrame, word: str = "word", lex: str = "lex", cutoff: int = 80) -> DataFrame:
     """(word, lex, score) for every pair scoring at least ``cutoff`` on 100 * (1 - distance / longer length). Exact:
     candidates come from equality of pieces, and only candidates are measured."""
-    a = words.where(F.length(word) > 0).select(word, F.explode(F.array_distinct(_segments(word, f"length({word})", cutoff, False))).alias("__k"))
-    b = lexicon.where(F.length(lex) > 0).select(lex, F.explode(F.array_distinct(_segments(lex, f"length({lex})", cutoff, True))).alias("__k"))
-    pairs = a.join(b, "__k").select(word, lex).distinct()
+    a, b = _pieces(words, word, cutoff, False), _pieces(lexicon, lex, cutoff, True)
     score = F.round(100.0 * (1 - F.levenshtein(word, lex) / F.greatest(F.length(word), F.length(lex))), 2)
-    return pairs.withColumn("score", score).where(F.col("score") >= cutoff)
+    return a.join(b, "__k").select(word, lex, score.alias("score")).where(F.col("score") >= cutoff).distinct()
 
 
 def fuzzy_nearest(words: DataFrame, lexicon: DataFrame, cutoff: int = 80) -> DataFrame:

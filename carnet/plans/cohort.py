@@ -210,7 +210,10 @@ def ordinal_encode(spark, d):
     return Z.ordinal_encode(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
 
 
-@query("column_kinds")
+LINE_KINDS = {"numeric": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMERIC], "text": ["l_returnflag", "l_linestatus"], "date": ["l_shipdate"]}
+
+
+@query("column_kinds", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_known, '{kind}' AS kind FROM lineitem" for kind, names in LINE_KINDS.items() for c in names))
 def column_kinds(spark, d):
     """Kind and number of known cells of every lineitem column."""
     lines = table(spark, d, "lineitem")
@@ -229,7 +232,7 @@ def standard_scale(spark, d):
     return scaled.withColumns({c: F.round(c, 6) for c in ("l_quantity", "l_tax")})
 
 
-@query("feature_exclusions")
+@query("feature_exclusions", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_known, count({c}) >= 75 AS enough FROM lineitem" for c in ("l_quantity", "l_discount")))
 def feature_exclusions(spark, d):
     """Line item columns in order, two declared pairs: extended price goes with quantity, tax with discount."""
     kept = Z.at_most_one_of_pair(NUMERIC, [("l_quantity", "l_extendedprice"), ("l_discount", "l_tax")])

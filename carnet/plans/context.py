@@ -38,7 +38,7 @@ def kwic_fuzzy(spark, d):
     """Words close to a part name, or to a status letter followed by 'tionment'."""
     names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("lex"))
     status = table(spark, d, "orders").select(F.concat(F.lower("o_orderstatus"), F.lit("tionment")).alias("lex"))
-    return X.kwic_fuzzy(table(spark, d, "conversations"), ["conv_id", "turn"], "text", names.unionByName(status).distinct())
+    return X.kwic_fuzzy(table(spark, d, "conversations"), ["conv_id", "turn"], "text", as_lookup(names.unionByName(status).distinct(), 20_000))
 
 
 @query("kwic_topics", rf"""

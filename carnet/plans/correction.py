@@ -152,12 +152,51 @@ def corr_occ(spark, d):
     return C.word_occurrences(table(spark, d, "documents"), ["doc_id"], C.bounded_words(F.col("text")), as_lookup(I.correction_dictionary(spark, d)))
 
 
-@query("corr_occ_phrase")
+@query("corr_occ_phrase", rf"""
+    WITH {I.SQL_PHRASES},
+    p AS (SELECT doc_id, u.piece, u.pos FROM documents, unnest(regexp_extract_all(text, '[{S.W}]+|[^{S.W}]+')) WITH ORDINALITY AS u(piece, pos)),
+    g AS (SELECT doc_id, lower(piece) AS a, lead(piece, 1) OVER w AS sep, lower(lead(piece, 2) OVER w) AS b, coalesce(lead(piece, 3) OVER w, '') AS nxt FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, key, value, count(*) AS occ FROM g JOIN phrases ON key = a || ' ' || b
+    WHERE regexp_matches(sep, '^{S.SP}+$') AND NOT regexp_matches(nxt, '^[''’]') GROUP BY ALL""")
 def corr_occ_phrase(spark, d):
     return C.phrase_occurrences(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.phrase_dictionary(spark, d)))
 
 
-@query("corr_apply")
+MARK = "chr(57344)"
+
+
+def sql_bounded(x, pattern, replacement, flags="gi", after="''’"):
+    """Whole-word replacement without look-around: neighbours are matched and put back, twice for adjacent hits."""
+    edge = rf"'(^|[^{S.W}])' || {pattern} || '([^{S.W}{after}]|$)'"
+    once = f"regexp_replace({x}, {edge}, '\\1' || {MARK} || '\\2', '{flags}')"
+    twice = f"regexp_replace({once}, {edge}, '\\1' || {MARK} || '\\2', '{flags}')"
+    return f"replace({twice}, {MARK}, {replacement})"
+
+
+def sql_unit(x, pattern, replacement):
+    once = rf"regexp_replace({x}, '(^|[^{S.W}]){pattern}([^{S.W}]|$)', '{replacement}', 'gi')"
+    return rf"regexp_replace({once}, '(^|[^{S.W}]){pattern}([^{S.W}]|$)', '{replacement}', 'gi')"
+
+
+def sql_time_units(x):
+    x = sql_unit(x, r"(\d+)\s*/\s*j", r"\1\2 / jour\3")
+    x = sql_unit(x, r"(q{1,2}u?e?l?q?u?e?s?|qqs?|qques)\s*j", r"\1quelques jours\3")
+    return sql_unit(x, r"(\d+)\s*j", r"\1\2 jours\3")
+
+
+SQL_PHRASE_HITS = rf"""
+    pc AS (SELECT doc_id, u.piece, u.pos FROM documents, unnest(regexp_extract_all(text, '[{S.W}]+|[^{S.W}]+')) WITH ORDINALITY AS u(piece, pos)),
+    g AS (SELECT doc_id, lower(piece) AS a, lead(piece, 1) OVER w AS sep, lower(lead(piece, 2) OVER w) AS b, coalesce(lead(piece, 3) OVER w, '') AS nxt FROM pc WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    ph AS (SELECT DISTINCT doc_id, key, value FROM g JOIN phrases ON key = a || ' ' || b WHERE regexp_matches(sep, '^{S.SP}+$') AND NOT regexp_matches(nxt, '^[''’]'))"""
+
+
+@query("corr_apply", rf"""
+    WITH {I.SQL_REFERENCE}, {I.SQL_DICTIONARY}, {I.SQL_PHRASES}, {SQL_PHRASE_HITS},
+    wd AS (SELECT DISTINCT doc_id, key, value FROM (SELECT doc_id, unnest({SQL_BOUNDED}) AS key FROM documents) JOIN dict USING (key)),
+    pairs AS (SELECT doc_id, list({{'txt': '', 'src': replace(key, ' ', '\s+'), 'dst': value}} ORDER BY length(key) DESC, key) AS ps FROM (SELECT * FROM wd UNION ALL SELECT * FROM ph) GROUP BY doc_id),
+    r AS (SELECT doc_id, CASE WHEN ps IS NULL THEN text ELSE list_reduce(list_prepend({{'txt': text, 'src': '', 'dst': ''}}, ps),
+              lambda acc, p: {{'txt': {sql_bounded('acc.txt', 'p.src', 'p.dst')}, 'src': '', 'dst': ''}}).txt END AS t FROM documents LEFT JOIN pairs USING (doc_id))
+    SELECT doc_id, {sql_time_units('t')} AS corrected FROM r""")
 def corr_apply(spark, d):
     """Words and phrases of both dictionaries applied to every document that holds them."""
     docs = table(spark, d, "documents")
@@ -191,7 +230,14 @@ def corr_family_select(spark, d):
     return all_suggestions(spark, d).where(F.col("category").isin(*K.DEFAULT_FAMILIES)).select("token_source", "category")
 
 
-@query("abbr_annotate")
+@query("abbr_annotate", rf"""
+    WITH {I.SQL_ABBREVIATIONS},
+    m AS (SELECT DISTINCT doc_id, key, expansions[1] AS value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[{S.W}]+')) AS key FROM documents) JOIN amb USING (key)),
+    pairs AS (SELECT doc_id, list({{'txt': '', 'src': key, 'dst': key || ' [' || value || ']'}} ORDER BY key) AS ps FROM m GROUP BY doc_id),
+    b AS (SELECT doc_id, ps, CASE WHEN ps IS NULL THEN text ELSE list_reduce(list_prepend({{'txt': text, 'src': '', 'dst': ''}}, ps), lambda acc, p:
+              {{'txt': regexp_replace(acc.txt, '(^|[^{S.W}])' || p.src || '\s*\[[^\]\r\n]*\]', '\1' || p.src, 'g'), 'src': '', 'dst': ''}}).txt END AS t FROM documents LEFT JOIN pairs USING (doc_id))
+    SELECT doc_id, CASE WHEN ps IS NULL THEN t ELSE list_reduce(list_prepend({{'txt': t, 'src': '', 'dst': ''}}, ps), lambda acc, p:
+        {{'txt': {sql_bounded('acc.txt', 'p.src', 'p.dst', 'g', '')}, 'src': '', 'dst': ''}}).txt END AS annotated FROM b""")
 def abbr_annotate(spark, d):
     """The first expansion of every ambiguous abbreviation is written after it."""
     docs = table(spark, d, "documents")

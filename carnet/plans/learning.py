@@ -12,7 +12,7 @@ from carnet.operators import records as P
 from carnet.plans import cohort
 from carnet.plans import inputs as I
 from carnet.plans import sqlparts as S
-from carnet.registry import query, table
+from carnet.registry import query, spread, table
 
 RANK = "row_number() OVER (PARTITION BY {g} ORDER BY md5({k}::VARCHAR), {k})"
 
@@ -297,7 +297,7 @@ def lines(spark, d):
     """Line items labelled by price per unit, with their hash split."""
     rows = table(spark, d, "lineitem").select(*LINE_COLUMNS, F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("key"),
                                              (F.col("l_extendedprice") * F.col("l_discount") > 1500).cast("double").alias("label"))
-    return rows.withColumn("split", Y.hash_split(F.col("key"), 0.8))
+    return spread(rows, "key").withColumn("split", Y.hash_split(F.col("key"), 0.8))
 
 
 @query("univariate_model")

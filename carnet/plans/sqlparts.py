@@ -28,3 +28,13 @@ def tokens(x: str) -> str:
 
 def is_function_word(x: str) -> str:
     return f"(length({x}) <= 2 OR lower({x}) IN {FUNCTION_WORDS})"
+
+
+def sentences(x: str) -> str:
+    """Sentence list: the look-behind split is written as a mark after final punctuation."""
+    marked = rf"regexp_replace(replace({x}, '|', '. '), '([.!?]){SP}+', '\1' || chr(1), 'g')"
+    return rf"list_filter(list_transform(regexp_split_to_array({marked}, chr(1) || '|\n+'), lambda s: {strip('s')}), lambda s: s <> '')"
+
+
+def join_sentences(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda s: CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END), ' ')"

@@ -70,7 +70,18 @@ def txt_encoding_repair(spark, d):
     return table(spark, d, "documents").select("doc_id", T.encoding_repair(dirty).alias("repaired"))
 
 
-@query("txt_question_repair")
+QUESTION_RULES = " ".join("WHEN regexp_matches(bare, '" + p.replace("'", "''") + "') THEN '" + w.replace("'", "''") + "'" for p, w in notes.QUESTION_WORDS)
+
+
+@query("txt_question_repair", rf"""
+    WITH t AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest(list_filter(string_split(trim(regexp_replace(replace(replace(text, 'ti', '?'), '''', '?'), '{S.SP}+', ' ', 'g')), ' '),
+               lambda x: x <> '')) AS t FROM documents) GROUP BY t),
+    b AS (SELECT token, n, regexp_replace(token, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS bare FROM t),
+    s AS (SELECT *, regexp_extract(bare, '(?i)^([{S.W}'']{{2,}})c\?lio[a-z]*', 1) AS scope, regexp_extract(bare, '^([{S.W}'']*)\?', 1) AS before FROM b),
+    r AS (SELECT token, n, CASE WHEN NOT regexp_matches(token, '[\p{{L}}\p{{N}}]') THEN token WHEN regexp_matches(token, '(?i)\?stradiol') THEN 'estradiol' WHEN NOT contains(bare, '?') THEN bare
+          WHEN scope <> '' THEN scope || ' coelioscopie' {QUESTION_RULES} WHEN regexp_matches(bare, '(?i)qu\?') OR length(before) = 1 THEN replace(bare, '?', '''')
+          WHEN before = '' THEN replace(bare, '?', '') ELSE replace(bare, '?', 'ti') END AS repaired FROM s)
+    SELECT *, repaired <> token AS changed FROM r""")
 def txt_question_repair(spark, d):
     """Damaged words of all documents: distinct tokens are repaired once, with their number of occurrences."""
     docs = table(spark, d, "documents").select("doc_id", F.replace(F.replace(F.col("text"), F.lit("ti"), F.lit("?")),
@@ -78,7 +89,8 @@ def txt_question_repair(spark, d):
     return notes.repair_question_marks(docs, "text")
 
 
-@query("txt_sentences")
+@query("txt_sentences", f"""
+    SELECT doc_id, CAST(p AS INT) - 1 AS pos, sentence FROM (SELECT doc_id, {S.sentences('text')} AS ss FROM documents), unnest(ss) WITH ORDINALITY AS u(sentence, p)""")
 def txt_sentences(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
+from carnet.lookups import as_lookup
 from carnet.operators import suggest as G
 from carnet.operators import vocab as V
 from carnet.plans import inputs as I
@@ -256,7 +257,7 @@ def sug_automatic(spark, d):
 def token_nearest_fuzzy(spark, d):
     """Conversation words against the lexicon, scores of 80 and more."""
     words = table(spark, d, "conversations").select(F.explode(T.norm_tokens(F.col("text"))).alias("word")).distinct()
-    return G.fuzzy_nearest(words, I.lexicon(spark, d).withColumnRenamed("word", "lex"))
+    return G.fuzzy_nearest(words, as_lookup(I.lexicon(spark, d).withColumnRenamed("word", "lex"), G.EDIT_LOOKUP_ROWS))
 
 
 SQL_SPELL = f"""{I.SQL_REFERENCE},
@@ -272,7 +273,7 @@ SQL_SPELL = f"""{I.SQL_REFERENCE},
 
 def spell_dictionary(spark, d):
     """Corrections of unknown words by the first lexicon word one edit away, except words the dictionary already has."""
-    known = I.lexicon(spark, d)
+    known = as_lookup(I.lexicon(spark, d), G.EDIT_LOOKUP_ROWS)
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(T.norm_tokens(F.col("text")))).alias("key")).where(F.length("key") > 3).distinct()
     unknown = words.join(known, F.col("key") == F.col("word"), "left_anti").join(I.correction_dictionary(spark, d), "key", "left_anti")
     pairs = G.edit1_pairs(unknown, known.where(F.length("word") > 3), "key", "word")

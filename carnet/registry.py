@@ -26,6 +26,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# Text tables: heavy work per row, so a table stored in few splits is spread over the cores by its key.
+TEXT_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "pages": ("page_id",)}
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed over all cores when the scan gives fewer than two splits per core; otherwise the frame as it is.
+    Large tables have far more splits than cores, so they are never shuffled here. Hashing by key, not round robin,
+    keeps retried tasks deterministic and serves later grouping by the same key."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Parquet table of the given scale folder; columns and filters are pruned by the scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, *TEXT_KEYS[name]) if name in TEXT_KEYS else df
