@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
@@ -34,14 +35,15 @@ def prepare_notes(notes: DataFrame, patient: str, order: str, text: str, diction
 
 def tf_idf(notes: DataFrame, keys: list[str], tokens: Column, max_vocab: int) -> DataFrame:
     """Weights (keys, term, weight): tf times ln((1 + n) / (1 + df)) + 1, rows scaled to length 1, over the
-    ``max_vocab`` most frequent terms. Terms are counted inside each note before anything is shuffled between notes."""
+    ``max_vocab`` most frequent terms. Terms are counted inside each note before anything is shuffled between notes;
+    the length is a window over one note's kept terms, at most ``max_vocab`` rows."""
     tf = notes.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     stats = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     top = stats.orderBy(F.desc("cf"), "term").limit(max_vocab).select("term", "df")
     n = notes.agg(F.count("*").cast("double").alias("n")).scalar()
     weighted = tf.join(F.broadcast(top), "term").withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, keys).select(*keys, "term", F.round(F.col("w") / F.col("norm"), 6).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*keys)))
+    return weighted.select(*keys, "term", F.round(F.col("w") / norm, 6).alias("weight"))
 
 
 def hash_split(key: Column, fraction: float, seed: int = 42) -> Column:

@@ -36,15 +36,16 @@ def with_running_sums(df: DataFrame, order: list[Column], sums: dict[str, str])
 
 def rank_in_buckets(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str = "rank") -> DataFrame:
     """Exact rank of each row inside its group and the group size (``group_size``). ``bucket`` must be monotone in
-    ``order`` and bounds how much one window sees: a group of any size is ranked bucket by bucket, then offset."""
-    placed = df.withColumn("__bucket", bucket)
-    sizes = placed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
-    before = W.partitionBy(*groups).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*groups, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
-                           F.sum("__n").over(W.partitionBy(*groups)).alias("group_size"))
-    local = F.row_number().over(W.partitionBy(*groups, "__bucket").orderBy(*order))
-    ranked = placed.withColumn("__local", local).join(offsets, [*groups, "__bucket"])
-    return ranked.withColumn(name, F.col("__offset") + F.col("__local")).drop("__bucket", "__local", "__offset")
+    ``order`` and bounds how much one window sees: a group of any size is ranked bucket by bucket, then offset.
+    Keys are compared as one struct, so rows with a NULL group or bucket keep their place."""
+    group = F.struct(*groups) if groups else F.struct(F.lit(0).alias("all"))
+    placed = df.withColumn("__g", group).withColumn("__k", F.struct(F.col("__g").alias("g"), bucket.alias("b")))
+    sizes = placed.groupBy("__k").agg(F.count("*").alias("__n"))
+    before = W.partitionBy("__k.g").orderBy("__k.b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("__k", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"), F.sum("__n").over(W.partitionBy("__k.g")).alias("group_size"))
+    local = F.row_number().over(W.partitionBy("__k").orderBy(*order))
+    ranked = placed.withColumn("__local", local).join(offsets, "__k")
+    return ranked.withColumn(name, F.col("__offset") + F.col("__local")).drop("__g", "__k", "__local", "__offset")
 
 
 def rank_in_hash_order(df: DataFrame, groups: list[str], key: str, name: str = "rank", digits: int = 3) -> DataFrame:

@@ -46,17 +46,27 @@ def na_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.col(c).isin(*K.NA_TOKENS), F.col(c)) for c in columns})
 
 
-ISO_TIME = r"^\d{4}-\d{2}-\d{2}"
-US_TIME = r"^\d{2}/\d{2}/\d{4}"
+ISO_TIME = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+US_TIME = r"^(\d{2})/(\d{2})/(\d{4}) (\d{2}:\d{2}:\d{2})$"
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+FRENCH_DATE = r"^(\d{2})/(\d{2})/(\d{4})$"
+
+
+def parse_timestamp(c: Column) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' or 'MM/dd/yyyy HH:mm:ss' without a time zone; NULL when it is not a date."""
+    return F.when(c.rlike(ISO_TIME), c.try_cast("timestamp_ntz")).when(c.rlike(US_TIME), F.regexp_replace(c, US_TIME, "$3-$1-$2 $4").try_cast("timestamp_ntz"))
+
+
+def parse_date(c: Column) -> Column:
+    """'yyyy-MM-dd' or 'dd/MM/yyyy' as a timestamp at midnight."""
+    return F.when(c.rlike(ISO_DATE), c.try_cast("timestamp_ntz")).when(c.rlike(FRENCH_DATE), F.regexp_replace(c, FRENCH_DATE, "$3-$2-$1").try_cast("timestamp_ntz"))
 
 
 def retype(c: Column) -> Column:
     """Typed value of a text cell as a struct with at most one field set; all are NULL for missing cells."""
     low = F.lower(c)
-    short = F.length(c) < 20
-    as_long = F.when(c.rlike(r"^\d+$"), F.try_to_number(c, F.lit("9" * 19)).cast("long"))
-    as_ts = F.when(short & c.rlike(ISO_TIME), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss"))).when(
-        short & c.rlike(US_TIME), F.try_to_timestamp(c, F.lit("MM/dd/yyyy HH:mm:ss"))).cast("timestamp_ntz")
+    as_long = F.when(c.rlike(r"^\d+$"), c.try_cast("bigint"))
+    as_ts = parse_timestamp(c)
     as_bool = F.when(low.isin(*K.TRUE_WORDS), True).when(low.isin(*K.FALSE_WORDS), False)
     missing = low.isin(*K.NONE_WORDS)
     as_text = F.when(~missing & as_long.isNull() & as_ts.isNull() & as_bool.isNull(), c)
@@ -66,8 +76,7 @@ def retype(c: Column) -> Column:
 def retype_cells(long: DataFrame, value: str = "value", name: str = "column_name") -> DataFrame:
     """Typed cells of a long sheet; in columns named '...Date...' a bare date is a timestamp too."""
     typed = long.withColumn("__t", retype(F.col(value)))
-    bare_date = F.when(F.col(name).contains("Date"), F.coalesce(
-        F.try_to_timestamp(value, F.lit("yyyy-MM-dd")), F.try_to_timestamp(value, F.lit("dd/MM/yyyy"))).cast("timestamp_ntz"))
+    bare_date = F.when(F.col(name).contains("Date"), parse_date(F.col(value)))
     ts = F.coalesce("__t.v_ts", bare_date)
     text = F.when(ts.isNull(), F.col("__t.v_str"))
     return typed.select(*[c for c in long.columns if c != value], F.col("__t.v_long").alias("v_long"), ts.alias("v_ts"), F.col("__t.v_bool").alias("v_bool"), text.alias("v_str"))

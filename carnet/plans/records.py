@@ -171,32 +171,28 @@ def malformed_repair(spark, d):
 
 
 def multi_sheet(spark, d):
-    """One row per order: part keys and the return flags other than 'N', each joined in one cell."""
-    lines = table(spark, d, "lineitem")
-    packed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["v"]), " | ")
-    order = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]
-    return lines.groupBy("l_orderkey").agg(
-        packed(F.struct(*order, F.col("l_partkey").cast("string").alias("v"))).alias("parts"),
-        packed(F.when(F.col("l_returnflag") != "N", F.struct(*order, F.col("l_returnflag").alias("v")))).alias("flags"))
+    """Conversation turns with their sentences in one cell, and the role once or twice in another."""
+    notes = table(spark, d, "conversations")
+    twice = F.when(F.col("turn") % 2 == 0, F.concat_ws(P.SEPARATOR, "role", "role")).when(F.col("turn") % 3 == 0, F.col("role"))
+    return notes.select("conv_id", "turn", F.replace("text", F.lit(". "), F.lit(P.SEPARATOR)).alias("parts"), twice.alias("roles"))
 
 
 SQL_MULTI = """
-    o AS (SELECT l_orderkey, list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p,
-                 coalesce(list(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) FILTER (l_returnflag <> 'N'), ['']) AS f FROM lineitem GROUP BY l_orderkey)"""
+    o AS (SELECT conv_id, turn, string_split(replace(text, '. ', ' | '), ' | ') AS p, CASE WHEN turn % 2 = 0 THEN [role, role] WHEN turn % 3 = 0 THEN [role] ELSE [NULL] END AS f FROM conversations)"""
 
 
 @query("multi_cell_detect", f"""WITH {SQL_MULTI}
-    SELECT l_orderkey, len(p) > 1 OR len(f) > 1 AS has_separator, CAST(greatest(len(p), len(f)) AS INT) AS n_values FROM o""")
+    SELECT conv_id, turn, len(p) > 1 OR len(f) > 1 AS has_separator, CAST(greatest(len(p), len(f)) AS INT) AS n_values FROM o""")
 def multi_cell_detect(spark, d):
     sheet = multi_sheet(spark, d)
-    has = F.col("parts").contains(P.SEPARATOR) | F.col("flags").contains(P.SEPARATOR)
-    return sheet.select("l_orderkey", has.alias("has_separator"), P.multi_value_count(["parts", "flags"]).alias("n_values"))
+    has = F.col("parts").contains(P.SEPARATOR) | F.coalesce(F.col("roles").contains(P.SEPARATOR), F.lit(False))
+    return sheet.select("conv_id", "turn", has.alias("has_separator"), P.multi_value_count(["parts", "roles"]).alias("n_values"))
 
 
 @query("multi_explode", f"""WITH {SQL_MULTI}
-    SELECT l_orderkey, CAST(i AS INT) AS pos, p[i + 1] AS parts, f[i + 1] AS flags FROM o, unnest(range(0, greatest(len(p), len(f)))) AS u(i)""")
+    SELECT conv_id, turn, CAST(i AS INT) AS pos, p[i + 1] AS parts, f[i + 1] AS roles FROM o, unnest(range(0, greatest(len(p), len(f)))) AS u(i)""")
 def multi_explode(spark, d):
-    return P.explode_multi(multi_sheet(spark, d), ["l_orderkey"], ["parts", "flags"])
+    return P.explode_multi(multi_sheet(spark, d), ["conv_id", "turn"], ["parts", "roles"])
 
 
 @query("sep_column_scan", """
