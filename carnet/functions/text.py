@@ -125,13 +125,13 @@ def join_sentences(c: Column) -> Column:
 
 def strip_separators(c: Column) -> Column:
     """Drop lines made of '=' and turn remaining long '=' runs into one space."""
-    out = F.regexp_replace(c, r"(?m)^[^\S\n]*={3,}[^\S\n]*$", "")
+    out = F.regexp_replace(c, rf"(?md)^{SPACE}*={{3,}}{SPACE}*$", "")
     out = F.regexp_replace(out, r"={3,}", " ")
     return F.regexp_replace(out, r"[ \t]{2,}", " ")
 
 
 def strip_leading_label(c: Column, label: str = "Après") -> Column:
-    return F.regexp_replace(c, rf"(?iu)^{SPACE}*{label}[^\S\n]*\r?\n(\r?\n)?", "")
+    return F.regexp_replace(c, rf"(?iu)^{SPACE}*{label}{SPACE}*\r?\n(\r?\n)?", "")
 
 
 def has_digit(c: Column) -> Column:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,15 +29,22 @@ def kwic_word(df: DataFrame, keys: list[str], text: str, word: str, n: int = 3)
     return windows(df, keys, T.plain_words(F.col(text)), lambda w: F.lower(w) == word.lower(), n)
 
 
+def _plain(w: Column) -> Column:
+    return T.unaccent(F.lower(w))
+
+
+def close_words(df: DataFrame, keys: list[str], text: str, keywords: DataFrame, cutoff: int) -> DataFrame:
+    """(keys, word, lex) for the words of each note close to a keyword, accents aside. Distinct words of the corpus are
+    scored once, and the few close ones are looked up in the notes."""
+    per_note = df.select(*keys, F.explode(F.array_distinct(F.transform(T.plain_words(F.col(text)), _plain))).alias("word"))
+    close = fuzzy_pairs(per_note.select("word").distinct(), keywords, cutoff=cutoff).select("word", "lex")
+    return per_note.join(as_lookup(close), "word")
+
+
 def kwic_fuzzy(df: DataFrame, keys: list[str], text: str, keywords: DataFrame, n: int = 10, cutoff: int = 80) -> DataFrame:
-    """Context of words close to a keyword (column ``lex``). Distinct words are scored once, the few close ones are
-    gathered per note, and contexts are cut inside the note."""
-    words = T.plain_words(F.col(text))
-    plain = lambda w: T.unaccent(F.lower(w))
-    per_note = df.select(*keys, F.explode(F.array_distinct(F.transform(words, plain))).alias("word"))
-    close = as_lookup(fuzzy_pairs(per_note.select("word").distinct(), keywords, cutoff=cutoff).select("word").distinct())
-    hits = per_note.join(close, "word").groupBy(*keys).agg(F.collect_set("word").alias("hitset"))
-    return windows(df.join(hits, keys), keys, words, lambda w: F.array_contains("hitset", plain(w)), n)
+    """Context of words close to a keyword (column ``lex``): hits are gathered per note, contexts are cut inside it."""
+    hits = close_words(df, keys, text, keywords, cutoff).groupBy(*keys).agg(F.collect_set("word").alias("hitset"))
+    return windows(df.join(hits, keys), keys, T.plain_words(F.col(text)), lambda w: F.array_contains("hitset", _plain(w)), n)
 
 
 def topic_hits(df: DataFrame, keys: list[str], text: str, topics: DataFrame) -> DataFrame:
@@ -50,15 +54,12 @@ def topic_hits(df: DataFrame, keys: list[str], text: str, topics: DataFrame) ->
 
 
 def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tuple[str, ...]], cutoff: int = 80) -> DataFrame:
-    """Hit / no hit for each note and each of a fixed list of topics, by fuzzy keyword match."""
-    words = F.array_distinct(F.transform(T.plain_words(F.col(text)), lambda w: F.lower(w)))
-    close = lambda w, k: 100 * (1 - F.levenshtein(w, F.lit(k)) / F.greatest(F.length(w), F.lit(len(k)))) >= cutoff
-
-    def any_close(keywords):
-        return lambda w: reduce(or_, [close(w, k) for k in keywords])
-
-    flags = [F.struct(F.lit(topic).alias("topic"), F.exists("__w", any_close(keywords)).alias("hit")) for topic, keywords in topics.items()]
-    return df.select(*keys, words.alias("__w")).select(*keys, F.explode(F.array(*flags)).alias("f")).select(*keys, "f.topic", "f.hit")
+    """Hit / no hit for each note and each of a fixed list of topics, by fuzzy keyword match, accents aside."""
+    listed = df.sparkSession.createDataFrame([(topic, k) for topic, ks in topics.items() for k in ks], "topic string, lex string").select("topic", _plain(F.col("lex")).alias("lex"))
+    met = close_words(df, keys, text, listed.select("lex").distinct(), cutoff).join(F.broadcast(listed), "lex")
+    hits = met.groupBy(*keys).agg(F.collect_set("topic").alias("__t"))
+    flags = F.array(*[F.struct(F.lit(t).alias("topic"), F.coalesce(F.array_contains("__t", t), F.lit(False)).alias("hit")) for t in topics])
+    return df.select(*keys).join(hits, keys, "left").select(*keys, F.explode(flags).alias("f")).select(*keys, "f.topic", "f.hit")
 
 
 def ngram_mentions(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 3) -> DataFrame:
@@ -111,6 +112,6 @@ def relative_frequency(entities: DataFrame, patient: str, outcome: str, patients
 
 def feature_table(entities: DataFrame, feature: str, n: int = 20) -> DataFrame:
     """Counts of the most frequent terms by feature value, absent and present side by side."""
-    top = entities.groupBy("term").agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "term").limit(n).select("term")
-    kept = entities.join(F.broadcast(top), "term", "left_semi")
-    return kept.groupBy("term").agg(F.count(F.when(F.col(feature) == 0, 1)).alias("absent"), F.count(F.when(F.col(feature) == 1, 1)).alias("present"))
+    counted = entities.groupBy("term").agg(F.count("*").alias("__n"), F.count(F.when(F.col(feature) == 0, 1)).alias("absent"),
+                                           F.count(F.when(F.col(feature) == 1, 1)).alias("present"))
+    return counted.orderBy(F.desc("__n"), "term").limit(n).drop("__n")

@@ -62,27 +62,36 @@ def word_occurrences(notes: DataFrame, keys: list[str], words: Column, dictionar
     return long.join(dictionary.select("key", "value"), "key").groupBy(*keys, "key", "value").agg(F.count("*").alias("occ"))
 
 
-def phrase_pattern(source: Column) -> Column:
-    """Whole-word pattern of a dictionary entry: any white space between its words, no apostrophe after it."""
+def phrase_pattern(source: Column, ignore_case: bool = True) -> Column:
+    """Pattern of a dictionary entry: any white space between its words, no apostrophe after it, and word boundaries
+    when it has several words or is word-like."""
     parts = F.transform(T.space_tokens(T.squeeze(source)), T.quote_regex)
     core = F.array_join(parts, r"\s+")
-    wordish = ~source.rlike(rf"[^0-9{T.LETTERS}_\-\s]")
-    edge = F.when(wordish, F.lit(r"\b")).otherwise(F.lit(""))
-    return F.concat(F.lit("(?iU)"), edge, core, edge, F.lit(APOSTROPHE_GUARD))
+    bounded = (F.size(parts) > 1) | ~source.rlike(rf"[^0-9{T.LETTERS}_\-]")
+    edge = F.when(bounded, F.lit(r"\b")).otherwise(F.lit(""))
+    return F.concat(F.lit("(?iU)" if ignore_case else "(?U)"), edge, core, edge, F.lit(APOSTROPHE_GUARD))
 
 
-def phrase_occurrences(notes: DataFrame, keys: list[str], text: str, phrases: DataFrame) -> DataFrame:
-    """Occurrences of each phrase in each note. A note meets a phrase when it holds the first word of the phrase;
-    only those pairs are counted with the phrase's pattern."""
-    first = phrases.select("key", "value", F.get(T.space_tokens(T.squeeze(F.lower("key"))), F.lit(0)).alias("__w"))
+def phrase_occurrences(notes: DataFrame, keys: list[str], text: str, phrases: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """Occurrences of each phrase in each note. A note meets a phrase when it holds the first word of the phrase; the
+    phrases met are gathered per note and counted there, so a text is read once however many phrases it meets."""
+    first = phrases.select("key", "value", F.get(T.plain_words(F.lower("key")), F.lit(0)).alias("__w"))
     met = notes.select(*keys, F.explode(F.array_distinct(T.plain_words(F.lower(text)))).alias("__w")).join(first, "__w")
     met = met.groupBy(*keys).agg(F.collect_list(F.struct("key", "value")).alias("__p"))
     counted = F.transform("__p", lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"),
-                                                   F.regexp_count(F.col(text), phrase_pattern(p["key"])).cast("long").alias("occ")))
+                                                   F.regexp_count(F.col(text), phrase_pattern(p["key"], ignore_case)).cast("long").alias("occ")))
     rows = notes.select(*keys, text).join(met, keys).select(*keys, F.explode(F.filter(counted, lambda c: c["occ"] > 0)).alias("c"))
     return rows.select(*keys, "c.key", "c.value", "c.occ")
 
 
+def entry_occurrences(notes: DataFrame, keys: list[str], text: str, words: Column, dictionary: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """Occurrences of dictionary entries: plain words by equality, entries with other characters by their pattern."""
+    plain = F.col("key").rlike(rf"^[{T.WORD}]+$")
+    found = word_occurrences(notes, keys, words, dictionary.where(plain))
+    others = dictionary.where(~plain)
+    return found if others.isEmpty() else found.unionByName(phrase_occurrences(notes, keys, text, others, ignore_case))
+
+
 def apply_pairs(text: Column, pairs: Column) -> Column:
     """Apply (src, dst) pairs to a text, longest source first, then normalise time units."""
     ordered = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["src"])).alias("k"), p["src"].alias("src"), p["dst"].alias("dst"))))
@@ -149,11 +158,11 @@ def patient_suggestions(notes: DataFrame, keys: list[str], text: str, dictionary
         *keys, F.lit(family).alias("family"), source.alias("token_source"), match.alias("match"), F.col("occ").alias("patient_occ"), note.alias("note"))
     parts = []
     if "DICT" in enabled:
-        parts.append(shape(word_occurrences(notes, keys, bounded_words(F.col(text)), dictionary), "DICT", F.col("key"), F.col("value")))
+        parts.append(shape(entry_occurrences(notes, keys, text, bounded_words(F.col(text)), dictionary), "DICT", F.col("key"), F.col("value")))
     if "PHRASE_DICT" in enabled:
         parts.append(shape(phrase_occurrences(notes, keys, text, phrases), "PHRASE_DICT", F.col("key"), F.col("value")))
     if "ABBREV_SURE" in enabled:
-        parts.append(shape(word_occurrences(notes, keys, T.plain_words(F.col(text)), sure), "ABBREV_SURE", F.col("key"), F.col("value")))
+        parts.append(shape(entry_occurrences(notes, keys, text, T.plain_words(F.col(text)), sure, ignore_case=False), "ABBREV_SURE", F.col("key"), F.col("value")))
     if "ABBREV_AMBIGU" in enabled:
         parts.append(shape(ambiguous_occurrences(notes, keys, text, ambiguous), "ABBREV_AMBIGU", F.col("token_source"), F.lit(""),
                            F.concat(F.lit("Possibles : "), F.col("note"))))

@@ -194,7 +194,7 @@ def patient_status(spark, d):
 @query("text_fallback", rf"""
     WITH c AS (SELECT conv_id, min(text) FILTER (turn = 0) AS text FROM conversations GROUP BY conv_id),
     s AS (SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN ' ' ELSE 'Après' || chr(10) || text END AS a FROM conversations WHERE turn = 1 AND conv_id % 2 = 0),
-    j AS (SELECT c.conv_id, coalesce(text, '') AS b, regexp_replace(a, '(?i)^{S.SP}*après[^\S\n]*\r?\n(\r?\n)?', '') AS a FROM c LEFT JOIN s USING (conv_id))
+    j AS (SELECT c.conv_id, coalesce(text, '') AS b, regexp_replace(a, '(?i)^{S.SP}*après{S.SP}*\r?\n(\r?\n)?', '') AS a FROM c LEFT JOIN s USING (conv_id))
     SELECT conv_id, b AS text_before, CASE WHEN trim(a) <> '' THEN a ELSE b END AS text_after FROM j""")
 def text_fallback(spark, d):
     notes = table(spark, d, "conversations")

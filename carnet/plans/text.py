@@ -22,8 +22,16 @@ per_document("txt_remove_special", T.remove_special,
 per_document("txt_unaccent", T.unaccent, "strip_accents(text)")
 per_document("txt_lower", F.lower, "lower(text)")
 per_document("txt_trim_punct", T.trim_punct, r"regexp_replace(text, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')")
-per_document("txt_strip_eq", T.strip_separators,
-             r"regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[^\S\n]*={3,}[^\S\n]*$', '', 'g'), "
+# Documents get separator lines after their line breaks and a short run inside.
+DIRTY_SQL = "replace(replace(text, chr(10), chr(10) || ' ===== ' || chr(10) || chr(10)), ' la ', ' ==== ')"
+
+
+def with_bars(c):
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("\n ===== \n\n")), F.lit(" la "), F.lit(" ==== "))
+
+
+per_document("txt_strip_eq", lambda c: T.strip_separators(with_bars(c)),
+             rf"regexp_replace(regexp_replace(regexp_replace({DIRTY_SQL}, '(?m)^{S.SP}*={{3,}}{S.SP}*$', '', 'g'), "
              r"'={3,}', ' ', 'g'), '[ \t]{2,}', ' ', 'g')")
 per_document("txt_time_units",
              lambda c: T.time_units(T.unaccent(c)),
@@ -127,7 +135,7 @@ def txt_sentence_patch(spark, d):
 
 @query("txt_strip_label", rf"""
     SELECT doc_id, regexp_replace(CASE WHEN doc_id % 3 = 0 THEN ' APRÈS ' || chr(10) || chr(10) || text ELSE text END,
-                                  '(?i)^{S.SP}*après[^\S\n]*\r?\n(\r?\n)?', '') AS result
+                                  '(?i)^{S.SP}*après{S.SP}*\r?\n(\r?\n)?', '') AS result
     FROM documents""")
 def txt_strip_label(spark, d):
     text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" APRÈS \n\n"), F.col("text"))).otherwise(F.col("text"))

@@ -1,5 +1,7 @@
 """Truth tables for text rules that SQL cannot express exactly."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
@@ -46,6 +48,23 @@ def test_phrase_occurrences_and_guard(spark):
     assert [(r["key"], r["occ"]) for r in C.phrase_occurrences(notes, ["id"], "text", phrases).collect()] == [("toucher vaginal", 1)]
 
 
+def test_entries_with_other_characters_are_counted(spark):
+    notes = spark.createDataFrame([(1, "5-FU puis 5-fu, contre-indication et s. f. vu")], "id int, text string")
+    entries = spark.createDataFrame([("5-FU", "fluoro"), ("puis", "ensuite")], "key string, value string")
+    cased = C.entry_occurrences(notes, ["id"], "text", T.plain_words(F.col("text")), entries, ignore_case=False)
+    assert {(r["key"], r["occ"]) for r in cased.collect()} == {("5-FU", 1), ("puis", 1)}
+    entries = spark.createDataFrame([("contre-indication", "CI"), ("5-fu", "fluoro")], "key string, value string")
+    lower = C.entry_occurrences(notes, ["id"], "text", C.bounded_words(F.col("text")), entries)
+    assert {(r["key"], r["occ"]) for r in lower.collect()} == {("contre-indication", 1), ("5-fu", 2)}
+
+
+def test_separators_and_labels(spark):
+    texts = ["a\n=====\nb", "a ==== b = c", "x\n\n ==== \n\ny", "===\n\n\nz\n ====="]
+    whole_lines = [re.sub(r"(?m)^\s*={3,}\s*$", "", t) for t in texts]
+    assert values(spark, T.strip_separators, *texts) == [re.sub(r"[ \t]{2,}", " ", re.sub(r"={3,}", " ", t)) for t in whole_lines]
+    assert values(spark, T.strip_leading_label, " APRÈS \n\n\ntexte", "texte après") == ["texte", "texte après"]
+
+
 def test_longest_source_is_applied_first(spark):
     notes = spark.createDataFrame([(1, "mal de tete, mal au dos l'mal' 3j"), (2, "rien 2/j")], "id int, text string")
     sugs = spark.createDataFrame([(1, "mal", "douleur"), (1, "mal de tete", "céphalée $1")], "id int, key string, value string")
