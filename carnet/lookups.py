@@ -35,15 +35,15 @@ def small_entries(written: DataFrame, max_rows: int = LITERAL_ROWS) -> dict[str,
     return {r["key"]: r["value"] for r in rows} if len(rows) <= max_rows else None
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def sql_list(values) -> str:
+    """Values as a SQL list for ``IN``, which becomes a hash-set test."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
 
 def replace_tokens(df: DataFrame, tokens: str, entries: dict[str, str], alias: str) -> DataFrame:
     """Column ``alias``: the token list with entries replaced. Membership is a hash-set test; only hits read the map."""
     if not entries:
         return df.withColumn(alias, F.col(tokens))
-    listed = ", ".join(_quoted(k) for k in entries)
     mapping = F.from_json(F.lit(json.dumps(entries, ensure_ascii=False)), "map<string,string>")
-    replaced = F.expr(f"transform({tokens}, t -> if(t IN ({listed}), __map[t], t))")
+    replaced = F.expr(f"transform({tokens}, t -> if(t IN ({sql_list(entries)}), __map[t], t))")
     return df.withColumn("__map", mapping).withColumn(alias, replaced).drop("__map")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
-from carnet.lookups import as_lookup
+from carnet.lookups import as_lookup, small_entries, sql_list
 from carnet.operators.suggest import fuzzy_pairs
 
 
@@ -63,16 +63,20 @@ def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tup
 
 
 def ngram_mentions(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 3) -> DataFrame:
-    """Mentions of gazetteer terms (term, label) among the 1 to 3 word sequences of a note, with their position."""
+    """Mentions of gazetteer terms (term, label) among the 1 to 3 word sequences of a note, with their position.
+    Terms of a small gazetteer are picked out inside the note, so only mentions leave it; ``gazetteer`` should be stored."""
     ts = df.select(*keys, T.norm_tokens(F.col(text)).alias("__t"))
-    none = F.array().cast("array<struct<pos:int,term:string>>")
-
-    def gram(n):
-        return lambda i: F.struct(i.cast("int").alias("pos"), F.array_join(F.slice("__t", i + 1, n), " ").alias("term"))
-
-    grams = F.concat(*[F.when(F.size("__t") >= n, F.transform(F.sequence(F.lit(0), F.size("__t") - n), gram(n))).otherwise(none)
-                       for n in range(1, longest + 1)])
-    long = ts.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.pos", "g.term")
+    terms = small_entries(gazetteer.select(F.col("term").alias("key"), F.col("label").alias("value")))
+    if terms == {}:
+        return ts.select(*keys, F.lit(0).alias("pos"), F.lit("").alias("term"), F.lit("").alias("label"), F.lit(1.0).alias("score")).where(F.lit(False))
+    sequences = ", ".join(f"if(i + {n} <= size(__t), struct(cast(i AS INT) AS pos, array_join(slice(__t, i + 1, {n}), ' ') AS term), null)" for n in range(1, longest + 1))
+    if terms is None:
+        starts, wanted = "sequence(0, size(__t) - 1)", "g IS NOT NULL"
+    else:
+        starts = f"filter(transform(__t, (t, i) -> if(t IN ({sql_list({k.split(' ')[0] for k in terms})}), i, null)), i -> i IS NOT NULL)"
+        wanted = f"g.term IN ({sql_list(terms)})"
+    found = F.expr(f"flatten(transform({starts}, i -> filter(array({sequences}), g -> {wanted})))")
+    long = ts.where(F.size("__t") > 0).select(*keys, F.explode(found).alias("g")).select(*keys, "g.pos", "g.term")
     return long.join(gazetteer.select("term", "label"), "term").select(*keys, "pos", "term", "label", F.lit(1.0).alias("score"))
 
 

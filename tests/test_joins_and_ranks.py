@@ -169,3 +169,14 @@ def test_topic_flags(spark):
     notes = spark.createDataFrame([(1, "Nausées et vomisements"), (2, "rien")], "id int, text string")
     flags = {(r["id"], r["topic"]): r["hit"] for r in X.topic_flags(notes, ["id"], "text", {"nausées": ("nausées",), "vomissements": ("vomissements", "vomir")}).collect()}
     assert flags == {(1, "nausées"): True, (1, "vomissements"): True, (2, "nausées"): False, (2, "vomissements"): False}
+
+
+def test_gazetteer_paths_agree(spark, monkeypatch):
+    notes = spark.createDataFrame([(1, "kyste ovarien droit, kyste"), (2, "rien"), (3, ""), (4, "l'ovarien droit kyste ovarien")], "id int, text string")
+    terms = spark.createDataFrame([("kyste", "A"), ("kyste ovarien", "B"), ("ovarien droit kyste", "C")], "term string, label string")
+    run = lambda: sorted((r["id"], r["pos"], r["term"], r["label"]) for r in X.ngram_mentions(notes, ["id"], "text", terms).collect())
+    small = run()
+    assert small == [(1, 0, "kyste", "A"), (1, 0, "kyste ovarien", "B"), (1, 1, "ovarien droit kyste", "C"), (1, 3, "kyste", "A"), (4, 1, "ovarien droit kyste", "C"), (4, 3, "kyste", "A"), (4, 3, "kyste ovarien", "B")]
+    monkeypatch.setattr(X, "small_entries", lambda stored: None)
+    assert run() == small
+    assert X.ngram_mentions(notes, ["id"], "text", terms.where("false")).count() == 0
