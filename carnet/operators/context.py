@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
 from carnet.lookups import as_lookup, small_entries, sql_list
+from carnet.operators.ranking import top_per_group
 from carnet.operators.suggest import fuzzy_pairs
 
 
@@ -86,11 +86,6 @@ def first_mentions(entities: DataFrame, patient: str) -> DataFrame:
     return first.select(patient, "term", "m.pos", "m.label", "m.score")
 
 
-def top_per_group(df: DataFrame, groups: list[str], by: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows of each group; Spark keeps at most ``n`` rows per group and task before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(*by))).where(F.col("rank") <= n)
-
-
 def group_frequency(entities: DataFrame, outcome: str, n: int) -> DataFrame:
     counted = entities.where(F.length("term") > 2).groupBy("label", outcome, "term").agg(F.count("*").alias("frequency"))
     return top_per_group(counted, ["label", outcome], [F.desc("frequency"), F.asc("term")], n)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carnet.operators.models import assemble
+from carnet.operators.stats import MAX_CATEGORIES, standard_scale
 
 
 def _fit(df: DataFrame, k: int, key: str, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -41,7 +42,10 @@ def indicator_levels(df: DataFrame, columns: list[str]) -> dict[tuple[str, str],
     """Row counts of every category of every column: one aggregate over (column, value) pairs."""
     cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns])
     found = df.select(F.explode(cells).alias("x")).groupBy("x.c", "x.v").agg(F.count("*").alias("n")).where(F.col("v").isNotNull())
-    return {(r["c"], r["v"]): r["n"] for r in found.orderBy("c", "v").collect()}
+    rows = found.orderBy("c", "v").limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories: too many for one indicator column each")
+    return {(r["c"], r["v"]): r["n"] for r in rows}
 
 
 def _indicators(df: DataFrame, levels: dict[tuple[str, str], int], scale) -> tuple[DataFrame, list[str]]:
@@ -60,8 +64,6 @@ def multiple_correspondence(df: DataFrame, key: str, columns: list[str], k: int)
 
 def mixed_data(df: DataFrame, key: str, numeric: list[str], categorical: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Standardised numbers next to indicators scaled by the square root of their share, then principal components."""
-    from carnet.operators.stats import standard_scale
-
     n = df.count()
     levels = indicator_levels(df, categorical)
     scaled, names = _indicators(standard_scale(df, numeric), levels, lambda count: 1.0 / math.sqrt(count / n))

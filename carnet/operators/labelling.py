@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carnet import constants as K
-from carnet.operators.ranking import rank_in_hash_order
+from carnet.operators.ranking import rank_in_hash_order, top_per_group
 
 
 def chunk(df: DataFrame, keys: list[str], text: str, size: int = 5000, overlap: float = 0.2) -> DataFrame:
@@ -93,7 +93,15 @@ def infer(df: DataFrame, keys: list[str], text: str, scorer: Scorer, attempts: i
     return slim.mapInPandas(run, schema).withColumn("prediction", parse_answer(F.col("raw")))
 
 
+# Largest top-k Spark cuts inside each task before the shuffle (its default threshold).
+TASK_TOP_K = 1000
+
+
 def class_sample(df: DataFrame, label: str, key: str, total: int) -> DataFrame:
-    """At most ``total / 3`` rows of each class, in hash order of the key."""
-    ranked = rank_in_hash_order(df, [label], key)
-    return ranked.where(F.col("rank") <= total // 3).drop("rank", "group_size")
+    """At most ``total / 3`` rows of each class, in hash order of the key. A small sample is cut inside each task, a large
+    one by distributed ranks."""
+    k = total // 3
+    if k <= TASK_TOP_K:
+        hashed = df.withColumn("__md5", F.md5(F.col(key).cast("string")))
+        return top_per_group(hashed, [label], [F.col("__md5"), F.col(key)], k).drop("rank", "__md5")
+    return rank_in_hash_order(df, [label], key).where(F.col("rank") <= k).drop("rank", "group_size")

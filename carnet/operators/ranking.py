@@ -53,3 +53,8 @@ def rank_in_hash_order(df: DataFrame, groups: list[str], key: str, name: str = "
     Hash prefixes cut every group in 16**digits even buckets."""
     hashed = df.withColumn("__md5", F.md5(F.col(key).cast("string")))
     return rank_in_buckets(hashed, groups, F.substring("__md5", 1, digits), [F.col("__md5"), F.col(key)], name).drop("__md5")
+
+
+def top_per_group(df: DataFrame, groups: list[str], by: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows of each group; for ``n`` up to a thousand Spark keeps at most ``n`` rows per group and task before the shuffle."""
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*groups).orderBy(*by))).where(F.col("rank") <= n)

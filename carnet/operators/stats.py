@@ -238,10 +238,16 @@ def impute(df: DataFrame, columns: list[str], strategy: str = "mean") -> DataFra
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(fills[c])) for c in columns})
 
 
+# Dummy columns are part of the schema, so a column with more categories is refused.
+MAX_CATEGORIES = 5_000
+
+
 def one_hot(df: DataFrame, column: str, zero_name: str = "aucun") -> DataFrame:
     """Dummy 0 / 1 columns named 'column_value'; a text '0' is called ``zero_name``. The category list becomes the schema."""
     value = F.when(F.col(column).cast("string") == "0", zero_name).otherwise(F.col(column).cast("string"))
-    names = sorted(r[0] for r in df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct().collect())
+    names = sorted(r[0] for r in df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect())
+    if len(names) > MAX_CATEGORIES:
+        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories: too many for one column each")
     return df.withColumns({f"{column}_{n}": F.coalesce((value == n).cast("int"), F.lit(0)) for n in names}).drop(column)
 
 

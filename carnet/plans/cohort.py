@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from carnet import constants as K
-from carnet.operators import context as X
 from carnet.operators import profile as M
 from carnet.operators import records as P
 from carnet.operators import stats as Z
+from carnet.operators.ranking import top_per_group
 from carnet.registry import query, table
 
 SHEET_COLUMNS = ["price", "cust", "status", "prio", "flag"]
@@ -202,7 +202,7 @@ def encode_targets(spark, d):
 
 @query("head_per_class", "SELECT event_type, event_id, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 50")
 def head_per_class(spark, d):
-    return X.top_per_group(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], [F.col("event_id")], 50)
+    return top_per_group(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], [F.col("event_id")], 50)
 
 
 @query("ordinal_encode", "SELECT p_partkey, p_name, CAST(dense_rank() OVER (ORDER BY p_name) - 1 AS INT) AS p_name_code FROM part")
