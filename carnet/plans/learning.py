@@ -17,7 +17,7 @@ from carnet.registry import query, spread, table
 RANK = "row_number() OVER (PARTITION BY {g} ORDER BY md5({k}::VARCHAR), {k})"
 
 
-@query("prep_text_pipeline", rf"""
+@query("prep_text", rf"""
     WITH {I.SQL_REFERENCE}, {I.SQL_DICTIONARY},
     l AS (SELECT conv_id, turn, translate(lower(text), '{cohort.K.ASCII_PUNCTUATION.replace("'", "''")}', '{" " * len(cohort.K.ASCII_PUNCTUATION)}') AS t FROM conversations),
     c AS (SELECT conv_id, turn, string_agg(coalesce(value, w), ' ' ORDER BY p) || ' ' AS t
@@ -27,7 +27,7 @@ RANK = "row_number() OVER (PARTITION BY {g} ORDER BY md5({k}::VARCHAR), {k})"
     n AS (SELECT conv_id, turn, array_to_string(list_filter(string_split(t, ' '), lambda x: NOT regexp_matches(x, '\p{{Nd}}')), ' ') AS t FROM a),
     j AS (SELECT conv_id, turn // 256 AS part, string_agg(t, ' ' ORDER BY turn) AS t FROM n GROUP BY 1, 2)
     SELECT conv_id, part, array_to_string(list_filter(regexp_extract_all(t, '[{S.W}'']+'), lambda x: x NOT IN {S.STOPWORDS}), ' ') AS tokens FROM j""")
-def prep_text_pipeline(spark, d):
+def prep_text(spark, d):
     notes = table(spark, d, "conversations")
     prepared = Y.prepare_notes(notes, "conv_id", "turn", "text", I.correction_dictionary(spark, d), part=F.floor(F.col("turn") / 256))
     return prepared.withColumn("tokens", F.array_join("tokens", " "))

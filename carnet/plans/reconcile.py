@@ -192,26 +192,27 @@ def patient_status(spark, d):
 
 
 @query("text_fallback", rf"""
-    WITH c AS (SELECT conv_id, min(text) FILTER (turn = 0) AS text FROM conversations GROUP BY conv_id),
-    s AS (SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN ' ' ELSE 'Après' || chr(10) || text END AS a FROM conversations WHERE turn = 1 AND conv_id % 2 = 0),
-    j AS (SELECT c.conv_id, coalesce(text, '') AS b, regexp_replace(a, '(?i)^{S.SP}*après{S.SP}*\r?\n(\r?\n)?', '') AS a FROM c LEFT JOIN s USING (conv_id))
+    WITH j AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS b,
+                      regexp_replace('Après' || chr(10) || arg_max(text, turn) FILTER (role = 'assistant' AND length(text) > 300), '(?i)^{S.SP}*après{S.SP}*\r?\n(\r?\n)?', '') AS a
+               FROM conversations GROUP BY conv_id)
     SELECT conv_id, b AS text_before, CASE WHEN trim(a) <> '' THEN a ELSE b END AS text_after FROM j""")
 def text_fallback(spark, d):
+    """The first question is the source text; the last long answer, under a label, is the saved one."""
     notes = table(spark, d, "conversations")
-    comparison = notes.where(F.col("turn") == 0).select("conv_id", "text")
-    saved = notes.where((F.col("turn") == 1) & (F.col("conv_id") % 2 == 0)).select(
-        "conv_id", F.when(F.col("conv_id") % 4 == 0, " ").otherwise(F.concat(F.lit("Après\n"), "text")).alias("texte_apres"))
+    comparison = notes.groupBy("conv_id").agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", F.col("turn"))).alias("text"))
+    saved = notes.where((F.col("role") == "assistant") & (F.length("text") > 300)).groupBy("conv_id").agg(
+        F.concat(F.lit("Après\n"), F.max_by("text", "turn")).alias("texte_apres"))
     return J.before_after(comparison, saved, "conv_id")
 
 
 @query("text_source_pick", """
-    WITH p AS (SELECT DISTINCT conv_id FROM conversations), c AS (SELECT conv_id, text FROM conversations WHERE turn = 0 AND conv_id % 3 = 0),
-    r AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role = 'assistant')
-    SELECT p.conv_id AS patient_id, coalesce(CASE WHEN trim(c.text) <> '' THEN trim(c.text) END, r.text, '') AS text FROM p LEFT JOIN c USING (conv_id) LEFT JOIN r ON r.conv_id = p.conv_id AND k = 1""")
+    SELECT conv_id AS patient_id, coalesce(CASE WHEN trim(c) <> '' THEN trim(c) END, r, '') AS text
+    FROM (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user' AND length(text) > 300) AS c, arg_max(text, turn) FILTER (role = 'assistant') AS r FROM conversations GROUP BY conv_id)""")
 def text_source_pick(spark, d):
+    """The first long question is the combined text; without one, the latest answer is found by the mapped id."""
     notes = table(spark, d, "conversations")
     patients = notes.select(F.col("conv_id").alias("patient_id")).distinct()
-    combined = notes.where((F.col("turn") == 0) & (F.col("conv_id") % 3 == 0)).select(F.col("conv_id").alias("patient_id"), "text")
+    combined = notes.where((F.col("role") == "user") & (F.length("text") > 300)).groupBy(F.col("conv_id").alias("patient_id")).agg(F.min_by("text", "turn").alias("text"))
     ipp = F.concat(F.lit("I"), F.col("conv_id").cast("string")).alias("ipp")
     mapping = notes.select(F.col("conv_id").alias("patient_id"), ipp).distinct()
     raw = notes.where(F.col("role") == "assistant").select(ipp, F.col("turn").alias("note_date"), F.col("turn").alias("note_id"), "text")

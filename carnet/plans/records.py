@@ -203,14 +203,14 @@ def sep_column_scan(spark, d):
 
 
 def id_mapping(spark, d):
-    keys = table(spark, d, "customer").where(F.col("c_custkey") % 4 != 0)
+    keys = table(spark, d, "customer").where(F.col("c_acctbal") > 0)
     return keys.select(F.col("c_custkey").cast("string").alias("source_id"), F.concat(F.lit("P-"), F.col("c_custkey").cast("string")).alias("study_id"))
 
 
 @query("id_map", """
     SELECT 'record' AS kind, event_id, CASE WHEN m.c_custkey IS NULL THEN user_id::VARCHAR ELSE 'P-' || user_id END AS id
-    FROM events LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0) m ON c_custkey = user_id
-    UNION ALL SELECT 'unused', NULL, 'P-' || c_custkey FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey NOT IN (SELECT user_id FROM events)""")
+    FROM events LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) m ON c_custkey = user_id
+    UNION ALL SELECT 'unused', NULL, 'P-' || c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT user_id FROM events)""")
 def id_map(spark, d):
     mapping = id_mapping(spark, d)
     events = table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("id"))

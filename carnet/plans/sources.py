@@ -114,18 +114,15 @@ def sink_suggest(spark, d):
 
 
 @query("sink_export", """
-    WITH p AS (SELECT DISTINCT conv_id FROM conversations),
-    c AS (SELECT conv_id, string_agg(CASE WHEN conv_id % 5 = 0 THEN '  ' ELSE 'saved: ' || text END, ' ') AS a FROM conversations WHERE turn = 0 AND conv_id % 3 = 0 GROUP BY conv_id),
-    s AS (SELECT conv_id, min(text) AS b FROM conversations WHERE turn = 1 AND conv_id % 7 <> 0 GROUP BY conv_id)
-    SELECT '1.0' AS schema_version, '2024-01-01T00:00:00' AS exported_at, p.conv_id AS patient_id, CASE WHEN trim(a) <> '' THEN a ELSE coalesce(b, '') END AS text_after
-    FROM p LEFT JOIN c USING (conv_id) LEFT JOIN s USING (conv_id)""")
+    WITH p AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'assistant' AND length(text) > 300) AS a, arg_min(text, turn) FILTER (role = 'user' AND length(text) > 100) AS b
+               FROM conversations GROUP BY conv_id)
+    SELECT '1.0' AS schema_version, '2024-01-01T00:00:00' AS exported_at, conv_id AS patient_id, CASE WHEN trim(a) <> '' THEN a ELSE coalesce(b, '') END AS text_after FROM p""")
 def sink_export(spark, d):
-    """Every third patient has a saved text (blank for multiples of fifteen); most others have a source text."""
-    notes = table(spark, d, "conversations")
-    pid = F.col("conv_id").alias("patient_id")
-    saved = notes.where((F.col("turn") == 0) & (F.col("conv_id") % 3 == 0)).select(pid, F.when(F.col("conv_id") % 5 == 0, "  ").otherwise(F.concat(F.lit("saved: "), "text")).alias("text_after"))
-    source = notes.where((F.col("turn") == 1) & (F.col("conv_id") % 7 != 0)).select(pid, "text")
-    return W.export_rows(notes.select(pid).distinct(), saved, source, "2024-01-01T00:00:00")
+    """The last long answer of a conversation is its saved text, the first longer question its source text; either may be missing."""
+    notes = table(spark, d, "conversations").withColumnRenamed("conv_id", "patient_id")
+    saved = notes.where((F.col("role") == "assistant") & (F.length("text") > 300)).groupBy("patient_id").agg(F.max_by("text", "turn").alias("text_after"))
+    source = notes.where((F.col("role") == "user") & (F.length("text") > 100)).groupBy("patient_id").agg(F.min_by("text", "turn").alias("text"))
+    return W.export_rows(notes.select("patient_id").distinct(), saved, source, "2024-01-01T00:00:00")
 
 
 @query("sink_run_meta")
