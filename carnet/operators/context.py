@@ -33,18 +33,24 @@ def _plain(w: Column) -> Column:
     return T.unaccent(F.lower(w))
 
 
-def close_words(df: DataFrame, keys: list[str], text: str, keywords: DataFrame, cutoff: int) -> DataFrame:
-    """(keys, word, lex) for the words of each note close to a keyword, accents aside. Distinct words of the corpus are
-    scored once, and the few close ones are looked up in the notes."""
-    per_note = df.select(*keys, F.explode(F.array_distinct(F.transform(T.plain_words(F.col(text)), _plain))).alias("word"))
-    close = fuzzy_pairs(per_note.select("word").distinct(), keywords, cutoff=cutoff).select("word", "lex")
+def _lower(w: Column) -> Column:
+    return F.lower(w)
+
+
+def close_words(df: DataFrame, keys: list[str], text: str, keywords: DataFrame, cutoff: int, scorer: str = "edit") -> DataFrame:
+    """(keys, word, lex) for the words of each note close to a keyword: accents aside with the edit score, as written with
+    the indel score. Distinct words of the corpus are scored once, and the few close ones are looked up in the notes."""
+    form = _lower if scorer == "indel" else _plain
+    per_note = df.select(*keys, F.explode(F.array_distinct(F.transform(T.plain_words(F.col(text)), form))).alias("word"))
+    close = fuzzy_pairs(per_note.select("word").distinct(), keywords, cutoff=cutoff, scorer=scorer).select("word", "lex")
     return per_note.join(as_lookup(close), "word")
 
 
-def kwic_fuzzy(df: DataFrame, keys: list[str], text: str, keywords: DataFrame, n: int = 10, cutoff: int = 80) -> DataFrame:
+def kwic_fuzzy(df: DataFrame, keys: list[str], text: str, keywords: DataFrame, n: int = 10, cutoff: int = 80, scorer: str = "edit") -> DataFrame:
     """Context of words close to a keyword (column ``lex``): hits are gathered per note, contexts are cut inside it."""
-    hits = close_words(df, keys, text, keywords, cutoff).groupBy(*keys).agg(F.collect_set("word").alias("hitset"))
-    return windows(df.join(hits, keys), keys, T.plain_words(F.col(text)), lambda w: F.array_contains("hitset", _plain(w)), n)
+    form = _lower if scorer == "indel" else _plain
+    hits = close_words(df, keys, text, keywords, cutoff, scorer).groupBy(*keys).agg(F.collect_set("word").alias("hitset"))
+    return windows(df.join(hits, keys), keys, T.plain_words(F.col(text)), lambda w: F.array_contains("hitset", form(w)), n)
 
 
 def topic_hits(df: DataFrame, keys: list[str], text: str, topics: DataFrame) -> DataFrame:
@@ -53,10 +59,11 @@ def topic_hits(df: DataFrame, keys: list[str], text: str, topics: DataFrame) ->
     return words.join(topics, "keyword").groupBy(*keys, "topic").agg(F.count("*").alias("n_keywords"))
 
 
-def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tuple[str, ...]], cutoff: int = 80) -> DataFrame:
-    """Hit / no hit for each note and each of a fixed list of topics, by fuzzy keyword match, accents aside."""
-    listed = df.sparkSession.createDataFrame([(topic, k) for topic, ks in topics.items() for k in ks], "topic string, lex string").select("topic", _plain(F.col("lex")).alias("lex"))
-    met = close_words(df, keys, text, listed.select("lex").distinct(), cutoff).join(F.broadcast(listed), "lex")
+def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tuple[str, ...]], cutoff: int = 80, scorer: str = "indel") -> DataFrame:
+    """Hit / no hit for each note and each of a fixed list of topics, by fuzzy keyword match."""
+    form = _lower if scorer == "indel" else _plain
+    listed = df.sparkSession.createDataFrame([(topic, k) for topic, ks in topics.items() for k in ks], "topic string, lex string").select("topic", form(F.col("lex")).alias("lex"))
+    met = close_words(df, keys, text, listed.select("lex").distinct(), cutoff, scorer).join(F.broadcast(listed), "lex")
     hits = met.groupBy(*keys).agg(F.collect_set("topic").alias("__t"))
     flags = F.array(*[F.struct(F.lit(t).alias("topic"), F.coalesce(F.array_contains("__t", t), F.lit(False)).alias("hit")) for t in topics])
     return df.select(*keys).join(hits, keys, "left").select(*keys, F.explode(flags).alias("f")).select(*keys, "f.topic", "f.hit")

@@ -175,4 +175,10 @@ def patient_suggestions(notes: DataFrame, keys: list[str], text: str, dictionary
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.withColumn("suggestion_key", F.concat_ws("::", "family", "token_source", "match"))
+    return out.withColumn("suggestion_key", F.concat_ws("::", "family", "token_source", "match")).withColumn(
+        "is_auto", F.col("family").isin(*[name for name, (_, auto) in K.FAMILIES.items() if auto]) & (F.col("match") != ""))
+
+
+def in_reading_order(suggestions: DataFrame, keys: list[str]) -> DataFrame:
+    """Automatic suggestions first, then by family, occurrences and token, inside each note."""
+    return suggestions.orderBy(*keys, F.desc("is_auto"), "family", F.desc("patient_occ"), "token_source")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as TY
 
 from carnet import constants as K
 from carnet.functions import text as T
@@ -220,35 +222,71 @@ def with_automatic(suggestions: DataFrame) -> DataFrame:
     return suggestions.withColumn("family_label", F.coalesce(label, F.col("category"))).withColumn("is_auto", auto & (F.length("match") > 0))
 
 
-def _pieces(df: DataFrame, word: str, cutoff: int, own: bool) -> DataFrame:
+# How many edits a score allows two words of lengths n and o, and which lengths o can then have. The edit score is
+# 100 * (1 - distance / longer length); the indel score counts insertions and deletions against both lengths and is
+# rounded to an integer, so half a point is allowed for.
+SCORERS = {
+    "edit": ("{slack} * greatest(n, o) div 100", "n * {cutoff} div 100", "n * 100 div {cutoff} + 1"),
+    "indel": ("(2 * {slack} + 1) * (n + o) div 200", "n * (2 * {cutoff} - 1) div (401 - 2 * {cutoff})", "n * (401 - 2 * {cutoff}) div (2 * {cutoff} - 1) + 1"),
+}
+
+
+def _pieces(df: DataFrame, word: str, cutoff: int, own: bool, scorer: str) -> DataFrame:
     """(word, __k): keys under which two words scoring at least ``cutoff`` must meet.
 
-    A score of at least ``cutoff`` allows ``k = (100 - cutoff) * longer / 100`` edits. Cut the lexicon word in k + 1 pieces:
-    at least one piece survives untouched in the other word, moved by at most k places. ``own`` gives the pieces of the
-    lexicon word, otherwise every place of the searched word where a piece could be. ``o`` is the other word's length.
+    A score allows some number k of edits. Cut the lexicon word in k + 1 pieces: at least one piece survives untouched in
+    the other word, moved by at most k places. ``own`` gives the pieces of the lexicon word, otherwise every place of the
+    searched word where a piece could be. ``o`` is the other word's length.
     """
+    edits, shortest, longest = (e.format(cutoff=cutoff, slack=100 - cutoff) for e in SCORERS[scorer])
     rows = df.where(F.length(word) > 0).select(word, F.length(word).alias("n"))
-    rows = rows.withColumn("o", F.expr(f"explode(sequence(greatest(1, n * {cutoff} div 100), n * 100 div {cutoff} + 1))"))
-    rows = rows.withColumn("k", F.expr(f"{100 - cutoff} * greatest(n, o) div 100")).where("abs(n - o) <= k")
-    rows = rows.withColumn("i", F.expr("explode(sequence(0L, k))"))
+    rows = rows.withColumn("o", F.expr(f"explode(sequence(greatest(1, {shortest}), {longest}))"))
+    rows = rows.withColumn("k", F.expr(edits)).where("abs(n - o) <= k")
     lex, other = ("n", "o") if own else ("o", "n")
-    rows = rows.withColumn("size", F.expr(f"{lex} div (k + 1) + if(i >= k + 1 - {lex} % (k + 1), 1, 0)"))
-    rows = rows.withColumn("start", F.expr(f"i * ({lex} div (k + 1)) + greatest(0, i - (k + 1 - {lex} % (k + 1)))"))
+    # More pieces than letters: an empty piece always survives, so such words meet under their lengths alone.
+    rows = rows.withColumn("i", F.expr(f"explode(if(k >= {lex}, array(-1L), sequence(0L, k)))"))
+    rows = rows.withColumn("size", F.expr(f"if(i < 0, 0, {lex} div (k + 1) + if(i >= k + 1 - {lex} % (k + 1), 1, 0))"))
+    rows = rows.withColumn("start", F.expr(f"if(i < 0, 0, i * ({lex} div (k + 1)) + greatest(0, i - (k + 1 - {lex} % (k + 1))))"))
     if own:
         rows = rows.withColumn("at", F.col("start"))
     else:
-        rows = rows.where("greatest(0, start - k) <= least(n - size, start + k)")
-        rows = rows.withColumn("at", F.expr("explode(sequence(greatest(0, start - k), least(n - size, start + k)))"))
+        rows = rows.where("i < 0 OR greatest(0, start - k) <= least(n - size, start + k)")
+        rows = rows.withColumn("at", F.expr("explode(if(i < 0, array(0L), sequence(greatest(0, start - k), least(n - size, start + k))))"))
     key = F.expr(f"concat({lex}, '/', {other}, '/', i, '/', substring({word}, cast(at AS INT) + 1, cast(size AS INT)))")
     return rows.select(word, key.alias("__k"))
 
 
-def fuzzy_pairs(words: DataFrame, lexicon: DataFrame, word: str = "word", lex: str = "lex", cutoff: int = 80) -> DataFrame:
-    """(word, lex, score) for every pair scoring at least ``cutoff`` on 100 * (1 - distance / longer length). Exact:
-    candidates come from equality of pieces, and only candidates are measured."""
-    a, b = _pieces(words, word, cutoff, False), _pieces(lexicon, lex, cutoff, True)
+def _indel_score():
+    """Indel score of word pairs in Arrow batches, from the length of the longest common subsequence (bit-parallel)."""
+
+    @F.pandas_udf(TY.DoubleType())
+    def score(left: pd.Series, right: pd.Series) -> pd.Series:
+        def one(a: str, b: str) -> float:
+            places: dict[str, int] = {}
+            for i, ch in enumerate(a):
+                places[ch] = places.get(ch, 0) | 1 << i
+            every = (1 << len(a)) - 1
+            state = every
+            for ch in b:
+                hit = state & places.get(ch, 0)
+                state = (state + hit) | (state - hit)
+            common = (~state & every).bit_count()
+            return float(round(200.0 * common / (len(a) + len(b))))
+
+        return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="float64")
+
+    return score
+
+
+def fuzzy_pairs(words: DataFrame, lexicon: DataFrame, word: str = "word", lex: str = "lex", cutoff: int = 80, scorer: str = "edit") -> DataFrame:
+    """(word, lex, score) for every pair scoring at least ``cutoff``. Exact: candidates come from equality of pieces, and
+    only candidates are measured."""
+    a, b = _pieces(words, word, cutoff, False, scorer), _pieces(lexicon, lex, cutoff, True, scorer)
+    pairs = a.join(b, "__k").select(word, lex)
+    if scorer == "indel":
+        return pairs.distinct().withColumn("score", _indel_score()(F.col(word), F.col(lex))).where(F.col("score") >= cutoff)
     score = F.round(100.0 * (1 - F.levenshtein(word, lex) / F.greatest(F.length(word), F.length(lex))), 2)
-    return a.join(b, "__k").select(word, lex, score.alias("score")).where(F.col("score") >= cutoff).distinct()
+    return pairs.select(word, lex, score.alias("score")).where(F.col("score") >= cutoff).distinct()
 
 
 def fuzzy_nearest(words: DataFrame, lexicon: DataFrame, cutoff: int = 80) -> DataFrame:

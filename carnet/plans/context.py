@@ -36,9 +36,19 @@ KEYWORDS = "SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS k FROM p
     round(100.0 * (1 - levenshtein(strip_accents(lower(w)), k)::DOUBLE / greatest(length(strip_accents(lower(w))), length(k))), 2) >= 80)""", 10, "conversations", "conv_id, turn"))
 def kwic_fuzzy(spark, d):
     """Words close to a part name, or to a status letter followed by 'tionment'."""
+    return X.kwic_fuzzy(table(spark, d, "conversations"), ["conv_id", "turn"], "text", keywords(spark, d))
+
+
+def keywords(spark, d):
     names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("lex"))
     status = table(spark, d, "orders").select(F.concat(F.lower("o_orderstatus"), F.lit("tionment")).alias("lex"))
-    return X.kwic_fuzzy(table(spark, d, "conversations"), ["conv_id", "turn"], "text", as_lookup(names.unionByName(status).distinct(), 20_000))
+    return as_lookup(names.unionByName(status).distinct(), 20_000)
+
+
+@query("kwic_fuzzy_indel")
+def kwic_fuzzy_indel(spark, d):
+    """The same keywords by the indel score on words as written."""
+    return X.kwic_fuzzy(table(spark, d, "conversations"), ["conv_id", "turn"], "text", keywords(spark, d), scorer="indel")
 
 
 @query("kwic_topics", rf"""

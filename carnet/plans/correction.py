@@ -218,11 +218,12 @@ def corr_apply(spark, d):
           UNION ALL SELECT doc_id, 'ABBREV_SURE', key, value, occ, NULL FROM w JOIN sure ON key = form
           UNION ALL SELECT doc_id, 'ABBREV_AMBIGU', form, '', occ, 'Possibles : ' || note FROM a WHERE r = 1
           UNION ALL SELECT doc_id, 'NOISE', lower(form), '', sum(occ)::BIGINT, 'Artefact ETL (valeur manquante) – à ignorer' FROM w WHERE lower(form) IN ('nan', 'none', 'null') GROUP BY doc_id, lower(form))
-    SELECT *, family || '::' || token_source || '::' || match AS suggestion_key FROM u""")
+    SELECT *, family || '::' || token_source || '::' || match AS suggestion_key, family IN ('DICT', 'ABBREV_SURE') AND match <> '' AS is_auto FROM u""")
 def corr_patient_sug(spark, d):
     sure, ambiguous = I.abbreviations(spark, d)
-    return C.patient_suggestions(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.correction_dictionary(spark, d)), I.phrase_dictionary(spark, d),
-                                 sure, ambiguous, ("DICT", "ABBREV_SURE", "ABBREV_AMBIGU", "NOISE"))
+    found = C.patient_suggestions(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.correction_dictionary(spark, d)), I.phrase_dictionary(spark, d),
+                                  sure, ambiguous, ("DICT", "ABBREV_SURE", "ABBREV_AMBIGU", "NOISE"))
+    return C.in_reading_order(found, ["doc_id"])
 
 
 @query("corr_family_select", SQL_ALL + f"SELECT token_source, category FROM allsug WHERE category IN {S.words_in(K.DEFAULT_FAMILIES)}")

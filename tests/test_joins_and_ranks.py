@@ -56,6 +56,24 @@ def test_fuzzy_pairs_equal_brute_force(spark, cutoff):
         assert nearest == min((y for y in right if score(word, y) >= cutoff), key=lambda y: (-score(word, y), y))
 
 
+def indel_score(a: str, b: str) -> float:
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return float(round(200.0 * row[-1] / (len(a) + len(b))))
+
+
+@pytest.mark.parametrize("cutoff", [80, 60])
+def test_indel_pairs_equal_brute_force(spark, cutoff):
+    left, right = random_words(120, "abc", 9, 7), random_words(120, "abc", 9, 8)
+    a = spark.createDataFrame([(w,) for w in left], "word string")
+    b = spark.createDataFrame([(w,) for w in right], "lex string")
+    got = {(r["word"], r["lex"]): r["score"] for r in G.fuzzy_pairs(a, b, cutoff=cutoff, scorer="indel").collect()}
+    assert got == {(x, y): indel_score(x, y) for x in left for y in right if indel_score(x, y) >= cutoff}
+
+
 def hot_frame(spark, n=3000):
     """One key holds two thirds of the rows."""
     return spark.range(n).select("id", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 7 + 1).cast("int").alias("grp"), ((F.col("id") * 37) % 1000).alias("x"))
