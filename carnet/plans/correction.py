@@ -155,9 +155,11 @@ def corr_occ(spark, d):
 @query("corr_occ_phrase", rf"""
     WITH {I.SQL_PHRASES},
     p AS (SELECT doc_id, u.piece, u.pos FROM documents, unnest(regexp_extract_all(text, '[{S.W}]+|[^{S.W}]+')) WITH ORDINALITY AS u(piece, pos)),
-    g AS (SELECT doc_id, lower(piece) AS a, lead(piece, 1) OVER w AS sep, lower(lead(piece, 2) OVER w) AS b, coalesce(lead(piece, 3) OVER w, '') AS nxt FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-    SELECT doc_id, key, value, count(*) AS occ FROM g JOIN phrases ON key = a || ' ' || b
-    WHERE regexp_matches(sep, '^{S.SP}+$') AND NOT regexp_matches(nxt, '^[''’]') GROUP BY ALL""")
+    g AS (SELECT doc_id, pos, lower(piece) AS a, lead(piece, 1) OVER w AS sep, lower(lead(piece, 2) OVER w) AS b, coalesce(lead(piece, 3) OVER w, '') AS nxt FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    h AS (SELECT doc_id, key, value, pos - 2 * row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS run FROM g JOIN phrases ON key = a || ' ' || b
+          WHERE regexp_matches(sep, '^{S.SP}+$') AND NOT regexp_matches(nxt, '^[''’]')),
+    n AS (SELECT doc_id, key, value, run, (count(*) + 1) // 2 AS hits FROM h GROUP BY ALL)
+    SELECT doc_id, key, value, CAST(sum(hits) AS BIGINT) AS occ FROM n GROUP BY ALL""")
 def corr_occ_phrase(spark, d):
     return C.phrase_occurrences(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.phrase_dictionary(spark, d)))
 

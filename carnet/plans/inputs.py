@@ -73,7 +73,7 @@ def phrase_dictionary(spark, d) -> DataFrame:
 
 
 SQL_PHRASES = f"""
-    phrases AS (SELECT DISTINCT array_to_string(ts[1:2], ' ') AS key, '<' || upper(array_to_string(ts[1:2], ' ')) || '>' AS value
+    phrases AS (SELECT DISTINCT array_to_string(ts[1:2], ' ') AS key, '<' || {S.upper("array_to_string(ts[1:2], ' ')")} || '>' AS value
                 FROM (SELECT {S.tokens('text')} AS ts FROM benchmark) WHERE len(ts) >= 2)"""
 
 

@@ -38,3 +38,8 @@ def sentences(x: str) -> str:
 
 def join_sentences(x: str) -> str:
     return f"array_to_string(list_transform({x}, lambda s: CASE WHEN regexp_matches(s, '[.!?]$') THEN s ELSE s || '.' END), ' ')"
+
+
+def upper(x: str) -> str:
+    """Capitals the way both the JVM and Python spell them: a sharp s becomes SS."""
+    return f"upper(replace({x}, 'ß', 'ss'))"

@@ -176,20 +176,20 @@ def sug_diacritics_multi(spark, d):
     return G.diacritics_multi(V.vocab_count(notes, pairs), G.valid_words(I.token_table(spark, d)))
 
 
-@query("sug_abbrev_sure", sug("", family_select("ABBREV_SURE", "value", 100, source="tok JOIN sure ON key = upper(token)",
-                                                where=f"{UPPER_TOKEN} AND upper(token) NOT IN (SELECT key FROM amb)"), "," + I.SQL_ABBREVIATIONS))
+@query("sug_abbrev_sure", sug("", family_select("ABBREV_SURE", "value", 100, source=f"tok JOIN sure ON key = {S.upper('token')}",
+                                                where=f"{UPPER_TOKEN} AND {S.upper('token')} NOT IN (SELECT key FROM amb)"), "," + I.SQL_ABBREVIATIONS))
 def sug_abbrev_sure(spark, d):
     return G.abbrev_sure(I.token_table(spark, d), *I.abbreviations(spark, d))
 
 
-@query("sug_abbrev_ambiguous", sug("", family_select("ABBREV_AMBIGU", expansions="array_to_string(expansions, ' | ')", source="tok JOIN amb ON key = upper(token)"),
+@query("sug_abbrev_ambiguous", sug("", family_select("ABBREV_AMBIGU", expansions="array_to_string(expansions, ' | ')", source=f"tok JOIN amb ON key = {S.upper('token')}"),
                                    "," + I.SQL_ABBREVIATIONS))
 def sug_abbrev_ambiguous(spark, d):
     return G.abbrev_ambiguous(I.token_table(spark, d), I.abbreviations(spark, d)[1])
 
 
 @query("sug_abbrev_candidate", sug("", family_select(
-    "ABBREV_CANDIDATE", where=f"{CANDIDATE} AND upper(token) NOT IN (SELECT key FROM sure UNION SELECT key FROM amb)"), "," + I.SQL_ABBREVIATIONS))
+    "ABBREV_CANDIDATE", where=f"{CANDIDATE} AND {S.upper('token')} NOT IN (SELECT key FROM sure UNION SELECT key FROM amb)"), "," + I.SQL_ABBREVIATIONS))
 def sug_abbrev_candidate(spark, d):
     return G.abbrev_candidate(I.token_table(spark, d), *I.abbreviations(spark, d))
 
@@ -217,7 +217,7 @@ def sug_enrich(spark, d):
 SQL_ALL = sug("", f""",
     j AS (SELECT token, n, status, zipf, word_like, dict.value AS dv, accented, sure.value AS sv, amb.expansions AS mv, typos.m AS tv
           FROM tok LEFT JOIN dict ON dict.key = lower(token) LEFT JOIN accents ON accents.k = strip_accents(lower(token))
-          LEFT JOIN sure ON sure.key = upper(token) LEFT JOIN amb ON amb.key = upper(token) LEFT JOIN typos ON typos.w = lower(token)),
+          LEFT JOIN sure ON sure.key = {S.upper('token')} LEFT JOIN amb ON amb.key = {S.upper('token')} LEFT JOIN typos ON typos.w = lower(token)),
     c AS (SELECT *, CASE WHEN {FIX} AND dv IS NOT NULL THEN 'MANUAL_DICT'
             WHEN {FIX} AND {ALLOWED} AND {ADDS.format(t='lower(token)')} THEN 'DIACRITICS_STRICT' WHEN mv IS NOT NULL THEN 'ABBREV_AMBIGU'
             WHEN sv IS NOT NULL AND {UPPER_TOKEN} THEN 'ABBREV_SURE' WHEN {CANDIDATE} THEN 'ABBREV_CANDIDATE'
