@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnet.llm import chat, decontam, mixing, tokencount, urlfilter
-from carnet.llm.common import read
+from carnet.llm import chat, decontam, mixing, tokencount, toxicity, urlfilter
+from carnet.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: A document is rejected from this score on.
+TOXIC_FROM = 0.3
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; rows of the held-out fold give no labels."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"), ~held)
+    scored = toxicity.score(docs, model, "t")
+    return scored.select("doc_id", held.alias("held_out"), "t.score", (F.col("t.score") >= TOXIC_FROM).cast("int").alias("predicted"), F.size("t.passages").alias("n_passages"))
+
+
 @query("op4_mix")
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
