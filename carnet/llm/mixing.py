@@ -42,7 +42,7 @@ class Plan:
     min_blocks: int = 64
     shard_slots: int = 4096
     seed: int = 17
-    bucket_docs: int = 20_000
+    bucket_docs: int = 2_000
 
 
 def word_count(text: Column) -> Column:
