@@ -139,11 +139,10 @@ class Model:
         n, found = self.scan(text)
         evidence, passages = 0.0, []
         for first, last, score in found:
-            expected = self.chance * n * math.exp(-score)
-            if expected < self.settings.alpha:
-                passages.append({"first": first, "last": last, "score": score, "expected": expected})
-            if expected < 1:
-                evidence -= math.log(expected)
+            rare = score - math.log(self.chance * n)  # ln(1 / expected)
+            if rare > -math.log(self.settings.alpha):
+                passages.append({"first": first, "last": last, "score": score, "expected": math.exp(-rare)})
+            evidence += max(rare, 0.0)
         evidence = min(evidence, MOST)
         return {"score": 1 / (1 + math.exp(-(self.intercept + self.slope * evidence))), "n_tokens": n, "evidence": evidence, "passages": passages}
 
@@ -204,8 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, settings: Settings =
     scanned = cut_lineage(scanned)
     seen, size = scanned.where("toxic = 0").agg(F.sum(F.size(F.filter("scores", lambda s: s >= settings.floor))), F.sum("n")).first()
     chance = ((seen or 0) + 0.5) * math.exp(settings.floor) / max(1, size or 0)
-    expected = F.transform("scores", lambda s: F.lit(chance) * F.col("n") * F.exp(-s))
-    evidence = F.least(F.aggregate(F.filter(expected, lambda e: e < 1), F.lit(0.0), lambda total, e: total - F.log(e)), F.lit(MOST))
+    usual = F.log(F.lit(chance) * F.col("n"))
+    evidence = F.least(F.aggregate("scores", F.lit(0.0), lambda total, s: total + F.greatest(s - usual, F.lit(0.0))), F.lit(MOST))
     cells = scanned.groupBy((F.round(evidence * CELLS) / CELLS).alias("x")).agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).orderBy("x").collect()
     intercept, slope = logistic([tuple(r) for r in cells])
     return Model(scores, chance, intercept, slope, settings)
