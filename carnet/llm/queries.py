@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnet.llm import chat, decontam, mixing, simhash, tokencount, toxicity, urlfilter
+from carnet.llm import chat, decontam, mixing, pii, simhash, tokencount, toxicity, urlfilter
 from carnet.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,17 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), with_text=False).taken()
 
 
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(read(spark, sf_dir, "documents"))
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number, pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where this machine keeps a public tokenizer's file."""
     import public_tokenizers
