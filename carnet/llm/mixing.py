@@ -159,7 +159,7 @@ class Mix:
         return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def texts(self) -> DataFrame:
-        """The mix itself: one row per slot with source, pass, block index and the block's words, single-spaced."""
+        """The mix itself: one row per slot with source, pass, block index, the block's words, single-spaced, and the ids of its documents."""
         # Through an array of one, the words of a text are cut out once, not once per block.
         words = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
         start, end, block = F.col("start"), F.col("start") + F.col("size"), F.col("block")
@@ -171,10 +171,10 @@ class Mix:
 
             return F.transform(F.sequence(F.floor(start / block), F.floor((end - 1) / block)), piece)
 
-        cut = self.docs.where("size > 0").select("owner", "start", F.explode(F.transform(words, pieces)[0]).alias("p")).select("owner", "start", "p.*")
-        blocks = cut.groupBy("owner", "index").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("parts"))
-        blocks = blocks.select("owner", "index", F.array_join(F.col("parts.piece"), " ").alias("text"))
-        return self.slots.join(blocks, ["owner", "index"]).select("shard", "slot", F.col("owner.source").alias("source"), F.col("pass"), F.col("index").alias("block"), "text")
+        cut = self.docs.where("size > 0").select("doc_id", "owner", "start", F.explode(F.transform(words, pieces)[0]).alias("p")).select("doc_id", "owner", "start", "p.*")
+        blocks = cut.groupBy("owner", "index").agg(F.array_sort(F.collect_list(F.struct("start", "piece", "doc_id"))).alias("parts"))
+        blocks = blocks.select("owner", "index", F.array_join(F.col("parts.piece"), " ").alias("text"), F.col("parts.doc_id").alias("doc_ids"))
+        return self.slots.join(blocks, ["owner", "index"]).select("shard", "slot", F.col("owner.source").alias("source"), F.col("pass"), F.col("index").alias("block"), "text", "doc_ids")
 
 
 def mix(docs: DataFrame, plan: Plan = Plan(), doc_id: str = "doc_id", text: str = "text", source: str = "source", with_text: bool = True) -> Mix:

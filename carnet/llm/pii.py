@@ -43,7 +43,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Generators of candidates: address-like words, and runs of digits and separators.
 ADDRESS = r"(?<![^\s@<>\"'])[^\s@<>\"']++(?:@|\x20?[(\[]at[)\]]\x20?)[^\s@<>\"']++"
-NUMBER = r"(?<![0-9A-Za-z])[(]?[0-9][0-9\x20().\-/]{5,}[0-9]"
+NUMBER = r"(?<![0-9A-Za-z])[(]?[0-9][0-9\x20().\-/]{5,}[0-9](?![0-9A-Za-z])"
 CUES = {"email": r"(?i)(e-?mail|contact|write|address)", "ip": r"(?i)(\bip\b|host|server|addr)", "card": r"(?i)(card|visa|master|amex|credit|pay)", "phone": r"(?i)(phone|tel|call|fax|mobile|cell|dial)"}
 FEATURES = ("kind", "digits", "groups", "parens", "sep", "lead", "trail", "cue")
 #: Upper bound of distinct feature values, from the numbers of values of each feature.

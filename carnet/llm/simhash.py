@@ -29,10 +29,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carnet.llm.common import text_bytes
+from carnet.llm.common import fresh, text_bytes
 from carnet.session import cut_lineage
 
 WORDS = 3
@@ -208,11 +209,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def rooted(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows (fp, root) of all distinct fingerprints of ``rows``; root is the same for all of a component."""
+    distinct = cut_lineage(rows.select("fp").distinct())
+    roots = components(links(distinct, most=most)).withColumnRenamed("node", "fp")
+    return cut_lineage(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """Rows (doc_id, fp, component_id), one per document; component_id is the smallest id of the documents linked to it, directly or not."""
     rows = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")))
-    firsts = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    rooted = components(links(firsts.select("fp"), most=most))
-    named = firsts.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(least, "root").select("fp", "component_id"), "fp")
+    firsts = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(rooted(rows, most), "fp")
+    firsts = cut_lineage(firsts)
+    least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(firsts.join(least, "root").select("fp", "component_id"), "fp")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """The documents without near-duplicates: of each component the row of the smallest id stays (a row without id only if none has one; of
+    repeated rows one). Columns are those of ``docs``. Texts move once, to meet the rows that stay."""
+    key, nth = fresh(docs, "key"), fresh(docs, "nth")
+    identity = F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    rows = cut_lineage(docs.select(identity.alias("key"), fingerprint(F.col(text)).alias("fp")))
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("key.doc_id").isNull().alias("last"), "key")).alias("best"))
+    best = best.join(rooted(rows, most), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.key").alias(key))
+    met = docs.withColumn(key, identity).join(best, key, "left_semi")
+    return met.withColumn(nth, F.row_number().over(W.partitionBy(key).orderBy(key))).where(F.col(nth) == 1).select(docs.columns)
