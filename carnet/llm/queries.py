@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnet.llm import chat, decontam, mixing, pii, simhash, tokencount, toxicity, urlfilter
+from carnet.llm import chat, decontam, langmodel, mixing, pii, simhash, tokencount, toxicity, urlfilter
 from carnet.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+@query("op6_lm")
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of those outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 7) == 2
+    model = langmodel.train(docs.where(~held), part=F.xxhash64("doc_id"))
+    scored = langmodel.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where this machine keeps a public tokenizer's file."""
     import public_tokenizers
