@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnet.llm import chat, decontam, langmodel, mixing, pii, simhash, tokencount, toxicity, urlfilter
+from carnet.llm import chat, decontam, langmodel, mixing, neighbours, pii, simhash, tokencount, toxicity, urlfilter
 from carnet.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_neighbours")
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector."""
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 #: A document is rejected from this score on.
 TOXIC_FROM = 0.3
 
