@@ -16,17 +16,12 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
 def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letter, derived from Unicode decomposition."""
+    """Every letter that Unicode decomposes into one base character with accents, and that base."""
     source, target = [], []
-    for code in range(0xC0, 0x24F + 1):
-        char = chr(code)
-        parts = unicodedata.normalize("NFD", char)
-        base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
-        if len(parts) > 1 and len(base) == 1:
-            source.append(char)
-            target.append(base)
-    for code in range(0x1E00, 0x1EFF + 1):
+    for code in range(0xC0, 0x20000):
         char = chr(code)
+        if not unicodedata.decomposition(char):
+            continue
         parts = unicodedata.normalize("NFD", char)
         base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
         if len(parts) > 1 and len(base) == 1:

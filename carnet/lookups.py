@@ -29,6 +29,12 @@ def as_lookup(dim: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     return with_strategy(cut_lineage(dim), max_rows)
 
 
+def one_value(dictionary: DataFrame) -> DataFrame:
+    """One entry per key: entries with a NULL key or value say nothing, and of several values the smallest counts."""
+    whole = dictionary.where(F.col("key").isNotNull() & F.col("value").isNotNull())
+    return whole.groupBy("key").agg(F.min("value").alias("value"))
+
+
 def small_entries(written: DataFrame, max_rows: int = LITERAL_ROWS) -> dict[str, str] | None:
     """Entries of a stored dictionary small enough to stand in the plan, else None. At most ``max_rows + 1`` rows are fetched."""
     rows = written.select("key", "value").limit(max_rows + 1).collect()

@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
 
-# Named entities met in page text.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\xa0", "&amp;": "&"}
+# A numeric or named character reference; the closing semicolon of a number may be missing.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
+NAMED = {name: text for name, text in html.entities.html5.items() if name.endswith(";")}
+# Numbers 128 to 159 stand for the characters of the Windows code page, as browsers read them.
+WINDOWS = {str(n): bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+
+
+def _literal_map(values: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _numbered(ref: Column) -> Column:
+    """Character of a numeric reference; numbers that are no character give the replacement character."""
+    digits = F.regexp_replace(ref, "[&#xX;]", "")
+    code = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(F.regexp_replace(digits, "^0+(?=[0-9])", ""))
+    number = F.when(F.length(code) <= 7, code.cast("int")).otherwise(-1)
+    fine = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(fine, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(_literal_map(WINDOWS), code), char)
 
 
 def unescape(c: Column) -> Column:
-    """Decimal and common named character entities to characters."""
-    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,5});"), F.lit(1)))
-    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("int")), 4, "0")), "UTF-16BE")
-    out = F.aggregate(codes, c, lambda text, code: F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), char(code)))
-    for entity, plain in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+    """Numeric (decimal, hexadecimal) and named character references to characters, each once; unknown names stay."""
+    named = _literal_map(NAMED)
+    found = F.transform(F.regexp_extract_all(c, F.lit(f"({REFERENCE})"), F.lit(1)), lambda ref: F.when(ref.startswith("&#"), _numbered(ref)).otherwise(F.coalesce(F.try_element_at(named, F.substring(ref, F.lit(2), F.length(ref))), ref)))
+    pieces = F.zip_with(F.split(c, REFERENCE, -1), found, lambda text, char: F.concat(F.coalesce(text, F.lit("")), F.coalesce(char, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
 def clean_expansion(c: Column) -> Column:

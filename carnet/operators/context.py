@@ -69,12 +69,13 @@ def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tup
     return df.select(*keys).join(hits, keys, "left").select(*keys, F.explode(flags).alias("f")).select(*keys, "f.topic", "f.hit")
 
 
-def ngram_mentions(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 3) -> DataFrame:
-    """Mentions of gazetteer terms (term, label) among the 1 to 3 word sequences of a note, with their position.
+def ngram_mentions(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame) -> DataFrame:
+    """Mentions of gazetteer terms (term, label) among the word sequences of a note, up to the longest term, with their position.
     Terms of a small gazetteer are picked out inside the note, so only mentions leave it; ``gazetteer`` should be stored."""
     ts = df.select(*keys, T.norm_tokens(F.col(text)).alias("__t"))
     terms = small_entries(gazetteer.select(F.col("term").alias("key"), F.col("label").alias("value")))
-    if terms == {}:
+    longest = gazetteer.agg(F.max(F.size(F.split("term", " ")))).first()[0]
+    if not longest:
         return ts.select(*keys, F.lit(0).alias("pos"), F.lit("").alias("term"), F.lit("").alias("label"), F.lit(1.0).alias("score")).where(F.lit(False))
     sequences = ", ".join(f"if(i + {n} <= size(__t), struct(cast(i AS INT) AS pos, array_join(slice(__t, i + 1, {n}), ' ') AS term), null)" for n in range(1, longest + 1))
     if terms is None:

@@ -1,8 +1,8 @@
 """Corpus correction with dictionaries.
 
 A small dictionary is part of the plan, so the text is rewritten where it is read. With a larger one the distinct words of
-each note are joined with it, the few hits are gathered per note, and the note is rewritten from its own small hit map:
-the words of the corpus are never shuffled.
+each note are joined with it, the few hits are gathered per note, and the note is rewritten from its own small hit map.
+A broadcast dictionary moves no word of the corpus; one beyond the bounds of ``lookups`` moves the distinct words of each note.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
-from carnet.lookups import replace_tokens, small_entries, with_strategy
+from carnet.lookups import one_value, replace_tokens, small_entries, with_strategy
 from carnet.session import cut_lineage
 
 BATCH_SPLIT = "[ /,.-]"
@@ -36,7 +36,7 @@ def correct_tokens(notes: DataFrame, keys: list[str], text: str, dictionary: Dat
     """Replace tokens found in the dictionary after splitting on blanks, slashes, commas, dots and hyphens.
     As in the original data, every token is followed by a space. A small dictionary is applied where the text is read;
     a larger one goes through the hits of each note."""
-    stored = cut_lineage(dictionary.select("key", "value"))
+    stored = cut_lineage(one_value(dictionary))
     entries = small_entries(stored)
     rows = notes.select(*keys, F.split(F.col(text), BATCH_SPLIT).alias("__parts"))
     if entries is not None:

@@ -13,9 +13,9 @@ from carnet.operators.ranking import rank_in_buckets, rank_in_hash_order, with_g
 
 
 def prepare_notes(notes: DataFrame, patient: str, order: str, text: str, dictionary: DataFrame | None = None, *, lower: bool = True, special: bool = True,
-                  accents: bool = True, numbers: bool = True, concat: bool = True, stopwords: bool = True, part: Column | None = None) -> DataFrame:
+                  accents: bool = True, numbers: bool = True, concat: bool = True, stopwords: bool = True) -> DataFrame:
     """The configurable text chain: case, special characters, dictionary, accents, numbers, one text per patient, stop
-    words. Result: patient, order or part, and the token list."""
+    words. Result: patient (and order, unless joined to one text) and the token list."""
     c = F.col(text)
     c = F.lower(c) if lower else c
     c = T.remove_special(c) if special else c
@@ -27,10 +27,9 @@ def prepare_notes(notes: DataFrame, patient: str, order: str, text: str, diction
     c = F.array_join(T.drop_number_tokens(F.split(c, " ")), " ") if numbers else c
     rows = rows.select(patient, order, c.alias("__text"))
     if concat:
-        rows = N.concat_by_id(rows, patient, order, "__text", part if part is not None else F.lit(0))
-        order = "part"
+        rows = N.concat_by_id(rows, patient, order, "__text")
     tokens = T.words(F.col("__text"))
-    return rows.select(patient, order, (T.drop_stopwords(tokens) if stopwords else tokens).alias("tokens"))
+    return rows.select(patient, *([] if concat else [order]), (T.drop_stopwords(tokens) if stopwords else tokens).alias("tokens"))
 
 
 def tf_idf(notes: DataFrame, keys: list[str], tokens: Column, max_vocab: int) -> DataFrame:

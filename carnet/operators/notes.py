@@ -20,11 +20,10 @@ def ordered_join(value: str, order: list[str], sep: str = " ") -> Column:
     return F.array_join(F.transform(packed, lambda s: s["__v"]), sep)
 
 
-def concat_by_id(df: DataFrame, key: str, order: str, text: str, part: Column, alias: str | None = None, sep: str = " ") -> DataFrame:
-    """Text per patient in note order. ``part`` is monotone in ``order`` and bounds how much one group can hold:
-    reading the parts of a patient in order gives the whole text, and patients with few notes have one part."""
-    bounded = df.select(key, part.cast("long").alias("part"), order, text)
-    return bounded.groupBy(key, "part").agg(ordered_join(text, [order], sep).alias(alias or text))
+def concat_by_id(df: DataFrame, key: str, order: str, text: str, alias: str | None = None, sep: str = " ") -> DataFrame:
+    """One text per patient in note order, whatever the number of notes. A text is one cell, so a patient's notes together have to
+    fit in one (2 GB); statistics on words count (patient, token) rows instead and need no such text."""
+    return df.select(key, order, text).groupBy(key).agg(ordered_join(text, [order], sep).alias(alias or text))
 
 
 def join_text_columns(df: DataFrame, columns: list[str], alias: str = "joined") -> DataFrame:
@@ -43,11 +42,14 @@ def text_columns(df: DataFrame) -> DataFrame:
 
 
 def patch_sentences(saved: DataFrame, edits: DataFrame, key: str, parts: str, original: str) -> DataFrame:
-    """Replace sentence ``idx`` of the saved sentences; a shorter saved list is padded from the original.
-    Edits past the end are refused: they give no row."""
+    """Replace the sentences ``idx`` of the saved sentences, all edits of a document together, one row per document; a shorter saved
+    list is padded from the original. Of several edits of one sentence the last in code-point order counts. Edits past the end are
+    refused, and a document with no other edit has no row."""
     padded = F.concat(F.col(parts), F.slice(F.col(original), F.size(parts) + 1, F.greatest(F.size(original) - F.size(parts), F.lit(0))))
-    joined = saved.join(edits, key).withColumn("__base", padded).where(F.col("idx") < F.size("__base"))
-    patched = F.transform("__base", lambda s, i: F.when(i == F.col("idx"), F.col("sentence")).otherwise(s))
+    changes = edits.where(F.col("idx") >= 0).groupBy(key, "idx").agg(F.max("sentence").alias("sentence"))
+    changes = changes.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "sentence"))).alias("__edits"))
+    joined = saved.join(changes, key).withColumn("__base", padded).where(F.array_min(F.map_keys("__edits")) < F.size("__base"))
+    patched = F.transform("__base", lambda s, i: F.coalesce(F.try_element_at("__edits", i), s))
     return joined.select(key, T.join_sentences(patched).alias("patched"))
 
 

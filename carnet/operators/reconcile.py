@@ -117,12 +117,14 @@ def source_texts(patients: DataFrame, comparison: DataFrame, mapping: DataFrame,
 
 
 def reset_sentences(saved: DataFrame, engine: DataFrame, resets: DataFrame, key: str) -> DataFrame:
-    """Sentence ``idx`` of a saved text put back to the engine's sentence. The saved row goes away when the text then
-    equals the engine's; a request outside either text is refused and leaves the saved text as it was."""
-    joined = saved.select(key, F.col("text").alias("__s")).join(engine.select(key, F.col("text").alias("__e")), key).join(resets, key, "left")
+    """Sentences ``idx`` of a saved text put back to the engine's sentences, all requests of a text together. The saved row goes away
+    when the text then equals the engine's; a request outside either text is refused, and without another the saved text stays."""
+    asked = resets.groupBy(key).agg(F.collect_set("idx").alias("__idx"))
+    joined = saved.select(key, F.col("text").alias("__s")).join(engine.select(key, F.col("text").alias("__e")), key).join(asked, key, "left")
     mine, theirs = T.sentences(F.col("__s")), T.sentences(F.col("__e"))
-    valid = F.col("idx").isNotNull() & (F.col("idx") >= 0) & (F.col("idx") < F.size(mine)) & (F.col("idx") < F.size(theirs))
-    put_back = F.transform(mine, lambda s, i: F.when(i == F.col("idx"), F.get(theirs, F.col("idx"))).otherwise(s))
+    ends = F.least(F.size(mine), F.size(theirs))
+    valid = F.coalesce(F.exists("__idx", lambda i: (i >= 0) & (i < ends)), F.lit(False))
+    put_back = F.transform(mine, lambda s, i: F.when(F.array_contains("__idx", i) & (i < F.size(theirs)), F.get(theirs, i)).otherwise(s))
     done = joined.withColumn("__new", F.when(valid, T.join_sentences(put_back)).otherwise(F.col("__s"))).withColumn("__valid", valid)
     kept = done.where(~F.col("__valid") | (F.trim("__new") != F.trim("__e")))
     return kept.select(key, F.col("__new").alias("text"))

@@ -37,7 +37,7 @@ def drop_columns_and_empty(df: DataFrame, names: list[str]) -> DataFrame:
 def two_level(df: DataFrame, keys: list[str], prefix: str, sep: str = ">") -> DataFrame:
     """Long form of 'prefix Section>Field' columns as (nature, acte, value)."""
     long = to_long(df, keys)
-    bare = F.when(F.col("column_name").startswith(prefix), F.substring("column_name", len(prefix) + 1, 10000)).otherwise(F.col("column_name"))
+    bare = F.when(F.col("column_name").startswith(prefix), F.substring("column_name", F.lit(len(prefix) + 1), F.length("column_name"))).otherwise(F.col("column_name"))
     parts = F.split(bare, sep)
     return long.select(*keys, F.trim(F.get(parts, F.lit(0))).alias("nature"), F.trim(F.coalesce(F.get(parts, F.lit(1)), F.lit(""))).alias("acte"), "value")
 
@@ -176,7 +176,7 @@ def repair_malformed(df: DataFrame, columns: list[str], sep: str = ";") -> DataF
     bad = lambda c: c.contains("\n") & c.contains(";;")
     own = [F.when(bad(F.col(c)), F.get(F.split(clean(F.col(c)), "\n"), F.lit(0))).otherwise(F.col(c)).alias(c) for c in columns]
     none = F.array().cast("array<string>")
-    swallowed = F.concat(*[F.when(bad(F.col(c)), F.slice(F.split(clean(F.col(c)), "\n"), 2, 1 << 20)).otherwise(none) for c in columns])
+    swallowed = F.concat(*[F.when(bad(F.col(c)), F.slice(F.split(clean(F.col(c)), "\n"), F.lit(2), F.size(F.split(clean(F.col(c)), "\n")))).otherwise(none) for c in columns])
     lines = df.select(F.explode(swallowed).alias("line")).where(F.trim("line") != "")
     fields = F.split("line", sep)
     records = lines.select(*[F.get(fields, F.lit(i)).alias(c) for i, c in enumerate(columns)])

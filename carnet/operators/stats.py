@@ -9,6 +9,7 @@ from itertools import combinations
 
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
@@ -182,9 +183,19 @@ def select_f(df: DataFrame, features: list[str], outcome: str, k: int = 20) -> D
     return _top(parts.select("feature", F.round(score, 4).alias("score")), k)
 
 
-def select_mi(df: DataFrame, features: list[str], outcome: str, k: int = 20) -> DataFrame:
-    """Mutual information (nats) of each discrete feature with the outcome, from joint counts."""
-    cells = contingency(df, features, outcome)
+def binned(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
+    """Numeric columns replaced by the number of their equal-width bin (from 0); limits of all columns come from one aggregate."""
+    limits = df.agg(*[F.struct(F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi")).alias(c) for c in columns]).first().asDict()
+    number = lambda c: F.least(F.lit(bins - 1), F.floor((F.col(c) - limits[c]["lo"]) / (limits[c]["hi"] - limits[c]["lo"]) * bins)).cast("int")
+    return df.withColumns({c: number(c) if limits[c]["lo"] is not None and limits[c]["lo"] < limits[c]["hi"] else F.when(F.col(c).isNotNull(), 0) for c in columns})
+
+
+def select_mi(df: DataFrame, features: list[str], outcome: str, k: int = 20, bins: int | None = None) -> DataFrame:
+    """Mutual information (nats) of each feature with the outcome, from joint counts. With ``bins``, numeric features are first put in that
+    many bins of equal width; without, every distinct value is a category."""
+    kinds = dict(df.dtypes)
+    numeric = [f for f in features if bins and kinds[f].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
+    cells = contingency(binned(df, numeric, bins) if numeric else df, features, outcome)
     rows = cells.groupBy("feature", "value").agg(F.sum("n").alias("r"))
     cols = cells.groupBy("feature", "cls").agg(F.sum("n").alias("c"))
     total = cells.groupBy("feature").agg(F.sum("n").alias("t"))
@@ -193,62 +204,99 @@ def select_mi(df: DataFrame, features: list[str], outcome: str, k: int = 20) ->
     return _top(joined.groupBy("feature").agg(F.round(mi, 6).alias("score")), k)
 
 
-def kth_smallest(df: DataFrame, column: str, k: int) -> float:
-    """Exact k-th smallest value (1-based). Each pass counts 1,024 even buckets of the remaining range and keeps one;
-    only bucket counts reach the driver, however many rows or distinct values there are."""
-    values = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
-    lo, hi = values.agg(F.min("x"), F.max("x")).first()
-    below = 0
-    while lo != hi:
-        bucket = F.least(F.lit(1023), F.floor((F.col("x") - lo) / (hi - lo) * 1024))
-        found = values.where(F.col("x").between(lo, hi)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        for row in found.orderBy("b").collect():
-            if below + row["n"] >= k:
-                lo, hi = row["lo"], row["hi"]
-                break
-            below += row["n"]
-    return lo
+def order_values(df: DataFrame, wanted: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """Exact k-th smallest values (1-based) of several columns at once, NULL left out, in the order -Infinity, numbers, Infinity, NaN. Each pass
+    counts 1,024 even buckets of every range still open and keeps one; only bucket counts reach the driver, and all columns
+    share the passes. A range always narrows, since its ends fall in different buckets."""
+    x = {c: F.col(c).cast("double") for c in wanted}
+    finite = {c: ~F.isnan(v) & (F.abs(v) != float("inf")) for c, v in x.items()}
+    first = df.agg(*[F.struct(F.count_if(v == float("-inf")).alias("low"), F.count_if(finite[c]).alias("n"), F.count_if(v == float("inf")).alias("high"),
+                              F.min(F.when(finite[c], v)).alias("lo"), F.max(F.when(finite[c], v)).alias("hi")).alias(c) for c, v in x.items()]).first().asDict()
+    out, open_ = {}, {}
+    for c, ks in wanted.items():
+        s = first[c]
+        for k in ks:
+            if k <= s["low"]:
+                out[c, k] = float("-inf")
+            elif k <= s["low"] + s["n"]:
+                open_[c, k] = (s["lo"], s["hi"], s["low"])
+            else:
+                out[c, k] = float("inf") if k <= s["low"] + s["n"] + s["high"] else float("nan")
+    while open_:
+        out |= {t: lo for t, (lo, hi, _) in open_.items() if lo == hi}
+        open_ = {t: r for t, r in open_.items() if r[0] != r[1]}
+        if not open_:
+            break
+        cells = []
+        for nth, ((c, _), (lo, hi, _)) in enumerate(open_.items()):
+            half = 0.5 if math.isinf(hi - lo) else 1.0
+            at = F.floor((x[c] * half - lo * half) / (hi * half - lo * half) * 1024)
+            cells.append(F.when(finite[c] & x[c].between(lo, hi), F.struct(F.lit(nth).alias("t"), F.least(F.lit(1023), at).alias("b"), x[c].alias("x"))))
+        counted = df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s")).groupBy("s.t", "s.b").agg(F.count("*").alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
+        names, done = list(open_), set()
+        for row in counted.orderBy("t", "b").collect():
+            target = names[row["t"]]
+            if target not in done:
+                _, _, below = open_[target]
+                if below + row["n"] >= target[1]:
+                    open_[target] = (row["lo"], row["hi"], below)
+                    done.add(target)
+                else:
+                    open_[target] = (*open_[target][:2], below + row["n"])
+    return out
+
+
+def exact_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Median of each column, None without values; the middle two are averaged."""
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    middle = {c: sorted({(n + 1) // 2, n // 2 + 1}) for c, n in sizes.items() if n}
+    values = order_values(df, middle) if middle else {}
+    return {c: sum(values[c, k] for k in middle[c]) / len(middle[c]) if c in middle else None for c in columns}
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:
-    n = df.where(F.col(column).isNotNull()).count()
-    if n == 0:
-        return None
-    middle = kth_smallest(df, column, (n + 1) // 2)
-    return middle if n % 2 else (middle + kth_smallest(df, column, n // 2 + 1)) / 2
+    return exact_medians(df, [column])[column]
 
 
-def most_frequent(df: DataFrame, column: str):
-    """Most frequent value, the smallest on ties: counted in parallel, then the best row is taken."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    best = counted.agg(F.min(F.struct((-F.col("n")).alias("k"), F.col(column).alias("v"))).alias("b")).first()["b"]
-    return None if best is None else best["v"]
+def most_frequent(df: DataFrame, columns: list[str]) -> dict:
+    """Most frequent value of each column, the smallest on ties: all columns are counted in one pass as text, numbers compare as numbers."""
+    kinds = dict(df.dtypes)
+    number = lambda c: F.col(c).cast("double") if kinds[c] not in ("string", "boolean", "date", "timestamp") else F.lit(None).cast("double")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), number(c).alias("x"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    counted = df.select(F.explode(cells).alias("s")).where("s.v IS NOT NULL").groupBy("s.i", "s.x", "s.v").agg(F.count("*").alias("n"))
+    best = counted.groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("k"), "x", "v")).alias("b")).collect()
+    return {columns[r["i"]]: r["b"]["v"] for r in best}
 
 
 def impute(df: DataFrame, columns: list[str], strategy: str = "mean") -> DataFrame:
-    """Missing cells replaced by the column's mean, median or most frequent value."""
+    """Missing cells replaced by the column's mean, median or most frequent value, found for all columns together."""
     if strategy == "mean":
         fills = df.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
     elif strategy == "median":
-        fills = {c: exact_median(df, c) for c in columns}
+        fills = exact_medians(df, columns)
     elif strategy == "most_frequent":
-        fills = {c: most_frequent(df, c) for c in columns}
+        found, kinds = most_frequent(df, columns), dict(df.dtypes)
+        return df.withColumns({c: F.coalesce(F.col(c), F.lit(found.get(c)).cast(kinds[c])) for c in columns})
     else:
         raise ValueError(strategy)
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(fills[c])) for c in columns})
 
 
-# Dummy columns are part of the schema, so a column with more categories is refused.
-MAX_CATEGORIES = 5_000
-
-
 def one_hot(df: DataFrame, column: str, zero_name: str = "aucun") -> DataFrame:
-    """Dummy 0 / 1 columns named 'column_value'; a text '0' is called ``zero_name``. The category list becomes the schema."""
+    """Dummy 0 / 1 columns named 'column_value'; a text '0' is called ``zero_name``. The category list becomes the schema, however long it is;
+    for columns with very many categories :func:`one_hot_sparse` keeps one vector column instead."""
     value = F.when(F.col(column).cast("string") == "0", zero_name).otherwise(F.col(column).cast("string"))
-    names = sorted(r[0] for r in df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect())
-    if len(names) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} categories: too many for one column each")
-    return df.withColumns({f"{column}_{n}": F.coalesce((value == n).cast("int"), F.lit(0)) for n in names}).drop(column)
+    names = sorted(r[0] for r in df.select(value.alias("v")).where(F.col("v").isNotNull()).distinct().collect())
+    return df.select(*[f"`{c}`" for c in df.columns if c != column], *[F.coalesce((value == n).cast("int"), F.lit(0)).alias(f"{column}_{n}") for n in names])
+
+
+def one_hot_sparse(df: DataFrame, column: str) -> DataFrame:
+    """The wide form of the same encoding: a sparse 0 / 1 vector in column 'column_onehot', one slot per category in sorted order."""
+    coded = ordinal_encode(df, column)
+    slots = df.select(column).where(F.col(column).isNotNull()).distinct().count()
+    encoder = OneHotEncoder(inputCols=[f"{column}_code"], outputCols=[f"{column}_onehot"], dropLast=False, handleInvalid="keep")
+    padded = coded.withColumn(f"{column}_code", F.coalesce(F.col(f"{column}_code"), F.lit(slots)))
+    return encoder.fit(padded).transform(padded).drop(column, f"{column}_code")
 
 
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as TY
 from carnet import constants as K
 from carnet.functions import text as T
 from carnet.lookups import as_lookup
+from carnet.session import cut_lineage
 
 SUGGESTION_COLUMNS = ["token_source", "match", "count", "score", "edit_dist", "category", "expansions"]
 # Words stand under about twenty keys each in the edit-distance join, so fewer of them may be broadcast.
@@ -124,23 +125,26 @@ def _deletions(df: DataFrame, word: str) -> DataFrame:
 
 
 def _edit_keys(df: DataFrame, word: str, own_deletion: str, whole: str) -> DataFrame:
+    """Keys of 64 bits, so a key row has the same size for every word."""
     cut = _deletions(df, word)
-    same_place = F.concat(F.lit("S"), F.col("__pos").cast("string"), F.lit(":"), F.col("__rest"))
-    shorter = F.when(F.col("__once"), F.concat(F.lit(own_deletion), F.col("__rest")))
+    same_place = F.xxhash64(F.lit("S"), F.col("__pos"), F.col("__rest"))
+    shorter = F.when(F.col("__once"), F.xxhash64(F.lit(own_deletion), F.lit(0), F.col("__rest")))
     cut = cut.select(*df.columns, F.explode(F.array(same_place, shorter)).alias("__k")).where(F.col("__k").isNotNull())
-    return cut.unionByName(df.select("*", F.concat(F.lit(whole), F.col(word)).alias("__k")))
+    return cut.unionByName(df.select("*", F.xxhash64(F.lit(whole), F.lit(0), F.col(word)).alias("__k")))
 
 
 def edit1_pairs(left: DataFrame, right: DataFrame, left_word: str, right_word: str) -> DataFrame:
     """All (left, right) word pairs at edit distance exactly 1, found by equality joins only.
 
     Two words differ by one substitution when deleting the same position gives the same rest, and by one insertion when
-    a deletion of one is the other. Keys carry the case they stand for, so a match needs no distance check and each pair
-    is found once. The number of partners of a key is bounded by the alphabet, not by the data.
+    a deletion of one is the other. Keys carry the case they stand for, so each pair is found once; a pair is then checked, as
+    keys are hashes. Left words longer than any right word by more than one letter get no keys. The number of partners of a
+    key is bounded by the alphabet, not by the data. ``right`` is read twice: hand over a stored table.
     """
-    a = _edit_keys(left, left_word, "R:", "L:")
+    longest = right.agg(F.max(F.length(right_word))).first()[0] or 0
+    a = _edit_keys(left.where(F.length(left_word) <= longest + 1), left_word, "R:", "L:")
     b = _edit_keys(right, right_word, "L:", "R:")
-    return a.join(b, "__k").where(F.col(left_word) != F.col(right_word)).drop("__k")
+    return a.join(b, "__k").where(F.levenshtein(left_word, right_word) == 1).drop("__k")
 
 
 def typo_eligible() -> Column:
@@ -231,8 +235,9 @@ SCORERS = {
 }
 
 
-def _pieces(df: DataFrame, word: str, cutoff: int, own: bool, scorer: str) -> DataFrame:
-    """(word, __k): keys under which two words scoring at least ``cutoff`` must meet.
+def _pieces(df: DataFrame, word: str, cutoff: int, own: bool, scorer: str, lengths: list[int]) -> DataFrame:
+    """(word, __k): keys under which two words scoring at least ``cutoff`` must meet. A searched word only gets keys for the
+    ``lengths`` that words of the lexicon have: one that no such length can match gets none, however long it is.
 
     A score allows some number k of edits. Cut the lexicon word in k + 1 pieces: at least one piece survives untouched in
     the other word, moved by at most k places. ``own`` gives the pieces of the lexicon word, otherwise every place of the
@@ -240,7 +245,10 @@ def _pieces(df: DataFrame, word: str, cutoff: int, own: bool, scorer: str) -> Da
     """
     edits, shortest, longest = (e.format(cutoff=cutoff, slack=100 - cutoff) for e in SCORERS[scorer])
     rows = df.where(F.length(word) > 0).select(word, F.length(word).alias("n"))
-    rows = rows.withColumn("o", F.expr(f"explode(sequence(greatest(1, {shortest}), {longest}))"))
+    if own:
+        rows = rows.withColumn("o", F.expr(f"explode(sequence(greatest(1, {shortest}), {longest}))"))
+    else:
+        rows = rows.withColumn("o", F.expr(f"explode(filter(array({', '.join(map(str, lengths))}), x -> x between greatest(1, {shortest}) and {longest}))"))
     rows = rows.withColumn("k", F.expr(edits)).where("abs(n - o) <= k")
     lex, other = ("n", "o") if own else ("o", "n")
     # More pieces than letters: an empty piece always survives, so such words meet under their lengths alone.
@@ -252,7 +260,7 @@ def _pieces(df: DataFrame, word: str, cutoff: int, own: bool, scorer: str) -> Da
     else:
         rows = rows.where("i < 0 OR greatest(0, start - k) <= least(n - size, start + k)")
         rows = rows.withColumn("at", F.expr("explode(if(i < 0, array(0L), sequence(greatest(0, start - k), least(n - size, start + k))))"))
-    key = F.expr(f"concat({lex}, '/', {other}, '/', i, '/', substring({word}, cast(at AS INT) + 1, cast(size AS INT)))")
+    key = F.expr(f"xxhash64(cast({lex} AS INT), cast({other} AS INT), cast(i AS INT), substring({word}, cast(at AS INT) + 1, cast(size AS INT)))")
     return rows.select(word, key.alias("__k"))
 
 
@@ -281,7 +289,10 @@ def _indel_score():
 def fuzzy_pairs(words: DataFrame, lexicon: DataFrame, word: str = "word", lex: str = "lex", cutoff: int = 80, scorer: str = "edit") -> DataFrame:
     """(word, lex, score) for every pair scoring at least ``cutoff``. Exact: candidates come from equality of pieces, and
     only candidates are measured."""
-    a, b = _pieces(words, word, cutoff, False, scorer), _pieces(lexicon, lex, cutoff, True, scorer)
+    lengths = sorted(r[0] for r in lexicon.select(F.length(lex)).where(F.length(lex) > 0).distinct().collect())
+    if not lengths:
+        lengths = [0]
+    a, b = _pieces(words, word, cutoff, False, scorer, lengths), _pieces(lexicon, lex, cutoff, True, scorer, lengths)
     pairs = a.join(b, "__k").select(word, lex)
     if scorer == "indel":
         return pairs.distinct().withColumn("score", _indel_score()(F.col(word), F.col(lex))).where(F.col("score") >= cutoff)
@@ -289,8 +300,23 @@ def fuzzy_pairs(words: DataFrame, lexicon: DataFrame, word: str = "word", lex: s
     return pairs.select(word, lex, score.alias("score")).where(F.col("score") >= cutoff).distinct()
 
 
-def fuzzy_nearest(words: DataFrame, lexicon: DataFrame, cutoff: int = 80) -> DataFrame:
-    """Best lexicon word of each word among those scoring at least ``cutoff``; ties by code-point order."""
-    scored = fuzzy_pairs(words, lexicon, cutoff=cutoff)
-    best = scored.groupBy("word").agg(F.min(F.struct((-F.col("score")).alias("k"), "lex")).alias("b"))
+# Lexicon words compared with a word at once.
+NEAREST_BLOCK = 2_000
+
+
+def fuzzy_nearest(words: DataFrame, lexicon: DataFrame, cutoff: float = 0) -> DataFrame:
+    """Best lexicon word (``lex``) of every distinct word, if it scores at least ``cutoff``; ties by code-point order. The best may score low, so
+    no key can find it: the lexicon is dealt into blocks of a bounded number of words, each word is scored against a block in one
+    expression, and only its best of each block goes on."""
+    stored = cut_lineage(lexicon.select("lex").where("lex <> ''").distinct())
+    n, size = stored.agg(F.count("*"), F.coalesce(F.sum(F.length("lex")), F.lit(0))).first()
+    blocks = max(1, -(-n // NEAREST_BLOCK))
+    lists = stored.groupBy(F.pmod(F.xxhash64("lex"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("lex").alias("lexs"))
+    lists = F.broadcast(lists) if size <= 16 << 20 else lists
+    asked = words.select("word").where("word <> ''").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Few bytes, much work per row: spread over the cores instead of joined to few partitions.
+    asked = asked.repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "word", "block")
+    far = lambda l: 1 - F.levenshtein("word", l) / F.greatest(F.length("word"), F.length(l))
+    scored = asked.join(lists, "block").select("word", F.array_min(F.transform("lexs", lambda l: F.struct((-F.round(100.0 * far(l), 2)).alias("k"), l.alias("lex")))).alias("b"))
+    best = scored.groupBy("word").agg(F.min("b").alias("b")).where(-F.col("b.k") >= cutoff)
     return best.select("word", F.col("b.lex").alias("nearest"), (-F.col("b.k")).alias("score"))

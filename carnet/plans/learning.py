@@ -25,11 +25,11 @@ RANK = "row_number() OVER (PARTITION BY {g} ORDER BY md5({k}::VARCHAR), {k})"
     a AS (SELECT conv_id, turn, replace(replace(replace(replace(replace(replace(replace(replace(replace(strip_accents(t), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE'),
                  'ß', 'ss'), 'ø', 'o'), 'Ø', 'O'), '’', ''''), '‘', '''') AS t FROM c),
     n AS (SELECT conv_id, turn, array_to_string(list_filter(string_split(t, ' '), lambda x: NOT regexp_matches(x, '\p{{Nd}}')), ' ') AS t FROM a),
-    j AS (SELECT conv_id, turn // 256 AS part, string_agg(t, ' ' ORDER BY turn) AS t FROM n GROUP BY 1, 2)
-    SELECT conv_id, part, array_to_string(list_filter(regexp_extract_all(t, '[{S.W}'']+'), lambda x: x NOT IN {S.STOPWORDS}), ' ') AS tokens FROM j""")
+    j AS (SELECT conv_id, string_agg(t, ' ' ORDER BY turn) AS t FROM n GROUP BY 1)
+    SELECT conv_id, array_to_string(list_filter(regexp_extract_all(t, '[{S.W}'']+'), lambda x: x NOT IN {S.STOPWORDS}), ' ') AS tokens FROM j""")
 def prep_text(spark, d):
     notes = table(spark, d, "conversations")
-    prepared = Y.prepare_notes(notes, "conv_id", "turn", "text", I.correction_dictionary(spark, d), part=F.floor(F.col("turn") / 256))
+    prepared = Y.prepare_notes(notes, "conv_id", "turn", "text", I.correction_dictionary(spark, d))
     return prepared.withColumn("tokens", F.array_join("tokens", " "))
 
 

@@ -220,20 +220,22 @@ def text_source_pick(spark, d):
 
 
 EDITED = S.join_sentences("list_transform(ss, lambda x, i: CASE WHEN i <= 2 THEN 'Edit: ' || x ELSE x END)")
-PUT_BACK = S.join_sentences("list_transform(mine, lambda x, i: CASE WHEN i = idx + 1 THEN theirs[i] ELSE x END)")
+PUT_BACK = S.join_sentences("list_transform(mine, lambda x, i: CASE WHEN i <= len(theirs) AND (i = idx + 1 OR i = 2 AND doc_id % 2 = 1) THEN theirs[i] ELSE x END)")
 
 
 @query("correction_reset", f"""
     WITH a AS (SELECT doc_id, {S.sentences('text')} AS ss FROM documents),
     b AS (SELECT doc_id, CAST(doc_id % 3 AS INT) AS idx, {EDITED} AS saved, {S.join_sentences('ss')} AS engine FROM a),
     c AS (SELECT *, {S.sentences('saved')} AS mine, {S.sentences('engine')} AS theirs FROM b),
-    r AS (SELECT doc_id, engine, idx < len(mine) AND idx < len(theirs) AS ok, saved, {PUT_BACK} AS put FROM c)
+    r AS (SELECT doc_id, engine, (idx < len(mine) AND idx < len(theirs)) OR (doc_id % 2 = 1 AND len(mine) > 1 AND len(theirs) > 1) AS ok, saved, {PUT_BACK} AS put FROM c)
     SELECT doc_id, CASE WHEN ok THEN put ELSE saved END AS text FROM r WHERE NOT ok OR trim(put) <> trim(engine)""")
 def correction_reset(spark, d):
-    """Every document has a saved text with its first two sentences edited; sentence ``doc_id % 3`` is reset."""
+    """Every document has a saved text with its first two sentences edited; sentence ``doc_id % 3`` is reset, in every
+    other document the second one too."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     edited = F.transform(T.sentences(F.col("text")), lambda s, i: F.when(i < 2, F.concat(F.lit("Edit: "), s)).otherwise(s))
     saved = docs.select("doc_id", T.join_sentences(edited).alias("text"))
     resets = docs.select("doc_id", (F.col("doc_id") % 3).cast("int").alias("idx"))
+    resets = resets.unionByName(docs.where(F.col("doc_id") % 2 == 1).select("doc_id", F.lit(1).alias("idx")))
     engine = docs.select("doc_id", T.join_sentences(T.sentences(F.col("text"))).alias("text"))
     return J.reset_sentences(saved, engine, resets, "doc_id")

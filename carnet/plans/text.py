@@ -120,16 +120,19 @@ def txt_join_sentences(spark, d):
         FROM documents),
     e AS (SELECT doc_id, text, orig, orig[1:2] AS saved, CAST(doc_id % 4 AS INT) AS idx FROM s),
     p AS (SELECT doc_id, idx, list_concat(saved, orig[len(saved) + 1:]) AS base FROM e),
-    r AS (SELECT doc_id, list_transform(base, lambda x, i: CASE WHEN i = idx + 1 THEN 'Edit ' || doc_id ELSE x END) AS parts
-          FROM p WHERE idx < len(base))
+    r AS (SELECT doc_id, list_transform(base, lambda x, i: CASE WHEN i = idx + 1 THEN 'Edit ' || doc_id WHEN i = 1 AND doc_id % 2 = 1 THEN 'First ' || doc_id ELSE x END) AS parts
+          FROM p WHERE idx < len(base) OR (doc_id % 2 = 1 AND len(base) > 0))
     SELECT doc_id, array_to_string(list_transform(parts, lambda x: CASE WHEN regexp_matches(x, '[.!?]$') THEN x ELSE x || '.' END), ' ') AS patched
     FROM r""")
 def txt_sentence_patch(spark, d):
-    """Each document's saved text keeps two lines; line ``doc_id % 4`` is edited, missing lines come from the original."""
+    """Each document's saved text keeps two lines; line ``doc_id % 4`` is edited, in every other document the first line too; missing lines
+    come from the original."""
     lines = T.drop_empty(F.transform(F.split(F.col("text"), "\n"), T.strip_space))
     docs = table(spark, d, "documents").select("doc_id", lines.alias("original"), F.slice(lines, 1, 2).alias("saved"))
     edits = docs.select("doc_id", (F.col("doc_id") % 4).cast("int").alias("idx"),
                         F.concat(F.lit("Edit "), F.col("doc_id").cast("string")).alias("sentence"))
+    more = docs.where(F.col("doc_id") % 2 == 1).select("doc_id", F.lit(0).alias("idx"), F.concat(F.lit("First "), F.col("doc_id").cast("string")).alias("sentence"))
+    edits = edits.unionByName(more)
     return notes.patch_sentences(docs, edits, "doc_id", "saved", "original")
 
 
@@ -166,21 +169,19 @@ def txt_stopwords(spark, d):
 
 
 @query("txt_concat_by_id", """
-    SELECT conv_id, CAST(turn // 256 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY turn) AS text
-    FROM conversations GROUP BY 1, 2""")
+    SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1""")
 def txt_concat_by_id(spark, d):
-    """One text per patient, in parts of 256 notes so that no patient grows without bound in one task."""
     notes_df = table(spark, d, "conversations")
-    return notes.concat_by_id(notes_df, "conv_id", "turn", "text", part=F.floor(F.col("turn") / 256))
+    return notes.concat_by_id(notes_df, "conv_id", "turn", "text")
 
 
 @query("txt_concat_columns", """
-    SELECT conv_id, CAST(turn // 256 AS BIGINT) AS part, string_agg(concat_ws(' ', nullif(trim(role), ''), nullif(trim(text), '')), ' ' ORDER BY turn) AS text
-    FROM conversations GROUP BY 1, 2""")
+    SELECT conv_id, string_agg(concat_ws(' ', nullif(trim(role), ''), nullif(trim(text), '')), ' ' ORDER BY turn) AS text
+    FROM conversations GROUP BY 1""")
 def txt_concat_columns(spark, d):
     notes_df = table(spark, d, "conversations")
     joined = notes.join_text_columns(notes_df, ["role", "text"])
-    return notes.concat_by_id(joined, "conv_id", "turn", "joined", part=F.floor(F.col("turn") / 256), alias="text")
+    return notes.concat_by_id(joined, "conv_id", "turn", "joined", alias="text")
 
 
 @query("txt_text_columns", """

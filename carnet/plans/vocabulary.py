@@ -253,11 +253,20 @@ def sug_automatic(spark, d):
     return G.with_automatic(all_suggestions(spark, d)).select("token_source", "category", "family_label", "is_auto")
 
 
-@query("token_nearest_fuzzy")
+# Words in ASCII spelling, since edit distances in SQL count bytes.
+ASCII = "replace(replace(replace(replace(strip_accents({}), 'œ', 'oe'), 'æ', 'ae'), 'ß', 'ss'), 'ø', 'o')"
+
+
+@query("token_nearest_fuzzy", rf"""
+    WITH {I.SQL_REFERENCE},
+    words AS MATERIALIZED (SELECT DISTINCT {ASCII.format('t')} AS word FROM (SELECT unnest({S.tokens('text')}) AS t FROM conversations)),
+    names AS MATERIALIZED (SELECT DISTINCT {ASCII.format('w')} AS lex FROM lex),
+    scored AS (SELECT word, lex, round(100.0 * (1 - levenshtein(word, lex)::DOUBLE / greatest(length(word), length(lex))), 2) AS score FROM words, names)
+    SELECT word, arg_min(lex, {{'k': -score, 'l': lex}}) AS nearest, max(score) AS score FROM scored GROUP BY word""")
 def token_nearest_fuzzy(spark, d):
-    """Conversation words against the lexicon, scores of 80 and more."""
-    words = table(spark, d, "conversations").select(F.explode(T.norm_tokens(F.col("text"))).alias("word")).distinct()
-    return G.fuzzy_nearest(words, as_lookup(I.lexicon(spark, d).withColumnRenamed("word", "lex"), G.EDIT_LOOKUP_ROWS))
+    """The best lexicon word of every conversation word, accents aside."""
+    words = table(spark, d, "conversations").select(F.explode(T.norm_tokens(F.col("text"))).alias("word"))
+    return G.fuzzy_nearest(words.select(T.unaccent(F.col("word"), "ascii").alias("word")), I.lexicon(spark, d).select(T.unaccent(F.col("word"), "ascii").alias("lex")))
 
 
 SQL_SPELL = f"""{I.SQL_REFERENCE},

@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,11 +29,13 @@ def get_session(app: str = "carnet", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's ``spark.checkpoint.dir``; a private one only if unset."""
+    """Folder every executor can reach: the session's ``spark.checkpoint.dir``; a private one only if unset in local mode, where there is one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="carnet-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -41,7 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a written intermediate table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/carnet/{label}-{uuid.uuid4().hex}"
+    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def work_root(spark: SparkSession) -> str:
+    """The application's own folder for written tables."""
+    return f"{shared_dir(spark).rstrip('/')}/carnet/{spark.sparkContext.applicationId}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table, on any file system Spark can reach."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all tables the application wrote with :func:`work_path`; call it when their results have been read."""
+    drop_path(spark, work_root(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

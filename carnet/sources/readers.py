@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
@@ -20,15 +21,18 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options)
 
 def read_csv_with_late_header(spark: SparkSession, path: str, required: list[str], header_line: int = 2, sep: str = ",") -> DataFrame:
     """A CSV whose header may come after some title lines: when a required column is missing, the names are taken from
-    line ``header_line`` (counted from 0) and the lines up to it are dropped."""
+    line ``header_line`` (counted from 0) and the lines up to it are dropped, in each file by position. Lines are numbered only inside
+    the first block of a file, where its header is."""
     first = read_table(spark, path, "csv", sep=sep, multiLine=False)
     if all(c in first.columns for c in required):
         return first
-    lead = [r[0] for r in spark.read.text(path).limit(header_line + 1).collect()]
-    if len(lead) <= header_line:
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    start = lines.where("block = 0").withColumn("nth", F.row_number().over(W.partitionBy("file").orderBy("at")) - 1)
+    header = start.where(F.col("nth") == header_line).orderBy("file").limit(1).collect()
+    if not header:
         require_columns(first, required)
-    names = [c.strip() for c in lead[header_line].split(sep)]
-    rows = spark.read.text(path).where(~F.col("value").isin(*lead))
+    names = [c.strip() for c in header[0]["value"].split(sep)]
+    rows = start.where(F.col("nth") > header_line).select("value").unionByName(lines.where("block > 0").select("value"))
     schema = ", ".join(f"`{n}` string" for n in names)
     parsed = rows.select(F.from_csv("value", schema, {"sep": sep}).alias("r")).select("r.*")
     require_columns(parsed, required)
