@@ -59,11 +59,17 @@ def topic_hits(df: DataFrame, keys: list[str], text: str, topics: DataFrame) ->
     return words.join(topics, "keyword").groupBy(*keys, "topic").agg(F.count("*").alias("n_keywords"))
 
 
-def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tuple[str, ...]], cutoff: int = 80, scorer: str = "indel") -> DataFrame:
-    """Hit / no hit for each note and each of a fixed list of topics, by fuzzy keyword match."""
+def topic_flags(df: DataFrame, keys: list[str], text: str, topics: dict[str, tuple[str, ...]], cutoff: int = 80, scorer: str = "indel", exact: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Hit / no hit for each note and each of a fixed list of topics, by fuzzy keyword match; ``exact`` gives abbreviations of topics that
+    only match as whole words, in any case of letters."""
     form = _lower if scorer == "indel" else _plain
     listed = df.sparkSession.createDataFrame([(topic, k) for topic, ks in topics.items() for k in ks], "topic string, lex string").select("topic", form(F.col("lex")).alias("lex"))
     met = close_words(df, keys, text, listed.select("lex").distinct(), cutoff, scorer).join(F.broadcast(listed), "lex")
+    met = met.select(*keys, "topic")
+    if exact:
+        words = F.transform(T.plain_words(F.col(text)), lambda w: F.lower(w))
+        found = F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(a.lower()) for a in listed_])), F.lit(topic)) for topic, listed_ in exact.items()]))
+        met = met.unionByName(df.select(*keys, F.explode(found).alias("topic")))
     hits = met.groupBy(*keys).agg(F.collect_set("topic").alias("__t"))
     flags = F.array(*[F.struct(F.lit(t).alias("topic"), F.coalesce(F.array_contains("__t", t), F.lit(False)).alias("hit")) for t in topics])
     return df.select(*keys).join(hits, keys, "left").select(*keys, F.explode(flags).alias("f")).select(*keys, "f.topic", "f.hit")

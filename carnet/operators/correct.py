@@ -56,10 +56,10 @@ def bounded_words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(BOUNDED_WORDS), F.lit(0))
 
 
-def word_occurrences(notes: DataFrame, keys: list[str], words: Column, dictionary: DataFrame) -> DataFrame:
-    """Number of occurrences of each dictionary word in each note (key, value, occ)."""
+def word_occurrences(notes: DataFrame, keys: list[str], words: Column, dictionary: DataFrame, *carry: str) -> DataFrame:
+    """Number of occurrences of each dictionary word in each note (key, value, further columns ``carry`` of the dictionary, occ)."""
     long = notes.select(*keys, F.explode(words).alias("key"))
-    return long.join(dictionary.select("key", "value"), "key").groupBy(*keys, "key", "value").agg(F.count("*").alias("occ"))
+    return long.join(dictionary.select(*carry, "key", "value"), "key").groupBy(*keys, *carry, "key", "value").agg(F.count("*").alias("occ"))
 
 
 def phrase_pattern(source: Column, ignore_case: bool = True) -> Column:
@@ -72,24 +72,28 @@ def phrase_pattern(source: Column, ignore_case: bool = True) -> Column:
     return F.concat(F.lit("(?iU)" if ignore_case else "(?U)"), edge, core, edge, F.lit(APOSTROPHE_GUARD))
 
 
-def phrase_occurrences(notes: DataFrame, keys: list[str], text: str, phrases: DataFrame, ignore_case: bool = True) -> DataFrame:
-    """Occurrences of each phrase in each note. A note meets a phrase when it holds the first word of the phrase; the
-    phrases met are gathered per note and counted there, so a text is read once however many phrases it meets."""
-    first = phrases.select("key", "value", F.get(T.plain_words(F.lower("key")), F.lit(0)).alias("__w"))
-    met = notes.select(*keys, F.explode(F.array_distinct(T.plain_words(F.lower(text)))).alias("__w")).join(first, "__w")
-    met = met.groupBy(*keys).agg(F.collect_list(F.struct("key", "value")).alias("__p"))
-    counted = F.transform("__p", lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"),
-                                                   F.regexp_count(F.col(text), phrase_pattern(p["key"], ignore_case)).cast("long").alias("occ")))
+def phrase_occurrences(notes: DataFrame, keys: list[str], text: str, phrases: DataFrame, ignore_case: bool = True, *carry: str) -> DataFrame:
+    """Occurrences of each phrase in each note. A note meets a phrase when it holds its first two words side by side (its first word, if it
+    has no other), so phrases with a common beginning do not all meet every note. The phrases met are gathered per note and
+    counted there, so a text is read once however many phrases it meets."""
+    start = F.array_join(F.slice(T.plain_words(F.lower("key")), 1, 2), " ")
+    first = phrases.select(*carry, "key", "value", start.alias("__w"))
+    words = T.plain_words(F.lower(text))
+    # Through an array of one the words of a note are cut out once.
+    met = F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))))[0]
+    met = notes.select(*keys, F.explode(met).alias("__w")).where(F.col("__w").isNotNull()).join(first, "__w")
+    met = met.groupBy(*keys).agg(F.collect_list(F.struct(*carry, "key", "value")).alias("__p"))
+    counted = F.transform("__p", lambda p: F.struct(*[p[c].alias(c) for c in (*carry, "key", "value")], F.regexp_count(F.col(text), phrase_pattern(p["key"], ignore_case)).cast("long").alias("occ")))
     rows = notes.select(*keys, text).join(met, keys).select(*keys, F.explode(F.filter(counted, lambda c: c["occ"] > 0)).alias("c"))
-    return rows.select(*keys, "c.key", "c.value", "c.occ")
+    return rows.select(*keys, *[f"c.{c}" for c in carry], "c.key", "c.value", "c.occ")
 
 
-def entry_occurrences(notes: DataFrame, keys: list[str], text: str, words: Column, dictionary: DataFrame, ignore_case: bool = True) -> DataFrame:
+def entry_occurrences(notes: DataFrame, keys: list[str], text: str, words: Column, dictionary: DataFrame, ignore_case: bool = True, *carry: str) -> DataFrame:
     """Occurrences of dictionary entries: plain words by equality, entries with other characters by their pattern."""
     plain = F.col("key").rlike(rf"^[{T.WORD}]+$")
-    found = word_occurrences(notes, keys, words, dictionary.where(plain))
+    found = word_occurrences(notes, keys, words, dictionary.where(plain), *carry)
     others = dictionary.where(~plain)
-    return found if others.isEmpty() else found.unionByName(phrase_occurrences(notes, keys, text, others, ignore_case))
+    return found if others.isEmpty() else found.unionByName(phrase_occurrences(notes, keys, text, others, ignore_case, *carry))
 
 
 def apply_pairs(text: Column, pairs: Column) -> Column:
@@ -120,15 +124,14 @@ def annotate_abbreviations(notes: DataFrame, keys: list[str], text: str, choices
 
 
 def match_spans(notes: DataFrame, keys: list[str], text: str, dictionary: DataFrame) -> DataFrame:
-    """Character spans of dictionary words: start, end (exclusive) and matched text. Only notes with a hit are cut up;
-    offsets are running lengths inside one note."""
-    met = hits_per_note(notes, keys, F.transform(T.plain_words(F.col(text)), lambda w: F.lower(w)), dictionary).select(*keys)
+    """Character spans of dictionary words: start, end (exclusive) and matched text. Offsets are summed up inside the note, over its words and what
+    stands between them; only the words leave it, each with its span, and meet the dictionary."""
     pieces = F.regexp_extract_all(F.col(text), F.lit(rf"[{T.WORD}]+|[^{T.WORD}]+"), F.lit(0))
-    long = notes.join(met, keys, "left_semi").select(*keys, F.posexplode(pieces).alias("pos", "piece"))
-    upto = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    placed = long.withColumn("end", F.sum(F.length("piece")).over(upto)).withColumn("start", F.col("end") - F.length("piece"))
-    joined = placed.join(dictionary.select("key", "value"), F.lower("piece") == F.col("key"))
-    return joined.select(*keys, "start", "end", F.col("piece").alias("matched"), "key", "value")
+    spans = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, piece: string>>").alias("out")), lambda acc, p: F.struct(
+        (acc["at"] + F.length(p)).alias("at"), F.when(p.rlike(rf"^[{T.WORD}]"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), p.alias("piece")))).otherwise(acc["out"]).alias("out")))["out"]
+    long = notes.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.start", (F.col("s.start") + F.length("s.piece")).alias("end"), F.col("s.piece").alias("matched"))
+    joined = long.join(dictionary.select("key", "value"), F.lower("matched") == F.col("key"))
+    return joined.select(*keys, "start", "end", "matched", "key", "value")
 
 
 def noise_counts(notes: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -150,28 +153,59 @@ def ambiguous_occurrences(notes: DataFrame, keys: list[str], text: str, ambiguou
     return best.select(*keys, F.col("b.form").alias("token_source"), F.col("b.occ").alias("occ"), "note")
 
 
+# Families that a list of suggestions can bring along; MANUAL_DICT goes to the dictionary families.
+LISTED = ("TYPO", "DIACRITICS_STRICT", "DIACRITICS_MULTI", "ABBREV_CANDIDATE", "EXPERT_NORMALIZATION", "MORPHO_AGREEMENT", "ENRICH_METIER", "ALERTE_SEMANTIQUE", "MANUAL_DICT")
+
+
+def listed_entries(listed: DataFrame, enabled: tuple[str, ...]) -> DataFrame:
+    """(family, key, value) of listed suggestions (category, token_source, match): sources in lower case, no artefacts, manual entries as
+    words or phrases of the dictionary."""
+    key = F.lower(F.trim("token_source"))
+    several = key.rlike(r"\s")
+    family = F.when(F.col("category") == "MANUAL_DICT", F.when(several, "PHRASE_DICT").otherwise("DICT")).otherwise(F.col("category"))
+    rows = listed.where(F.col("category").isin(*[f for f in LISTED if f in enabled])).select(family.alias("family"), key.alias("key"), F.coalesce(F.trim("match"), F.lit("")).alias("value"))
+    return rows.where((F.col("key") != "") & ~F.col("key").isin(*K.NOISE_TOKENS) & F.col("family").isin(*enabled))
+
+
 def patient_suggestions(notes: DataFrame, keys: list[str], text: str, dictionary: DataFrame, phrases: DataFrame, sure: DataFrame,
-                        ambiguous: DataFrame, enabled: tuple[str, ...]) -> DataFrame:
-    """Every enabled family with an occurrence in the note: one row per (note, family, source, match)."""
+                        ambiguous: DataFrame, enabled: tuple[str, ...], listed: DataFrame | None = None) -> DataFrame:
+    """Every enabled family with an occurrence in the note: one row per (note, family, source, match).
+
+    Words of all families are looked up together: the dictionary, the phrases and the ``listed`` suggestions are one table with a family
+    column, so a note's words leave it once. Abbreviations and artefacts look at words as written."""
+    unknown = sorted(set(enabled) - set(K.FAMILIES) - {"MANUAL_DICT"})
+    if unknown:
+        raise ValueError(f"unknown families {unknown}")
     none = F.lit(None).cast("string")
     shape = lambda df, family, source, match, note=none: df.select(
-        *keys, F.lit(family).alias("family"), source.alias("token_source"), match.alias("match"), F.col("occ").alias("patient_occ"), note.alias("note"))
-    parts = []
+        *keys, family.alias("family"), source.alias("token_source"), match.alias("match"), F.col("occ").alias("patient_occ"), note.alias("note"))
+    entries = []
     if "DICT" in enabled:
-        parts.append(shape(entry_occurrences(notes, keys, text, bounded_words(F.col(text)), dictionary), "DICT", F.col("key"), F.col("value")))
+        entries.append(dictionary.select(F.lit("DICT").alias("family"), "key", "value"))
     if "PHRASE_DICT" in enabled:
-        parts.append(shape(phrase_occurrences(notes, keys, text, phrases), "PHRASE_DICT", F.col("key"), F.col("value")))
+        entries.append(phrases.select(F.lit("PHRASE_DICT").alias("family"), "key", "value"))
+    if listed is not None and set(enabled) & set(LISTED):
+        entries.append(listed_entries(listed, enabled))
+    parts = []
+    if entries:
+        together = entries[0]
+        for more in entries[1:]:
+            together = together.unionByName(more)
+        together = with_strategy(cut_lineage(together.distinct()))
+        parts.append(shape(entry_occurrences(notes, keys, text, bounded_words(F.col(text)), together, True, "family"), F.col("family"), F.col("key"), F.col("value")))
     if "ABBREV_SURE" in enabled:
-        parts.append(shape(entry_occurrences(notes, keys, text, T.plain_words(F.col(text)), sure, ignore_case=False), "ABBREV_SURE", F.col("key"), F.col("value")))
+        parts.append(shape(entry_occurrences(notes, keys, text, T.plain_words(F.col(text)), sure, ignore_case=False), F.lit("ABBREV_SURE"), F.col("key"), F.col("value")))
     if "ABBREV_AMBIGU" in enabled:
-        parts.append(shape(ambiguous_occurrences(notes, keys, text, ambiguous), "ABBREV_AMBIGU", F.col("token_source"), F.lit(""),
+        parts.append(shape(ambiguous_occurrences(notes, keys, text, ambiguous), F.lit("ABBREV_AMBIGU"), F.col("token_source"), F.lit(""),
                            F.concat(F.lit("Possibles : "), F.col("note"))))
     if "INTENSITY" in enabled:
         found = F.regexp_extract_all(F.col(text), F.lit(T.INTENSITY_TEXT), F.lit(0))
         counted = notes.select(*keys, F.explode(found).alias("tok")).groupBy(*keys, "tok").agg(F.count("*").alias("occ"))
-        parts.append(shape(counted, "INTENSITY", F.col("tok"), T.intensity_text(F.col("tok"))))
+        parts.append(shape(counted, F.lit("INTENSITY"), F.col("tok"), T.intensity_text(F.col("tok"))))
     if "NOISE" in enabled:
-        parts.append(shape(noise_counts(notes, keys, text), "NOISE", F.col("token"), F.lit(""), F.lit("Artefact ETL (valeur manquante) – à ignorer")))
+        parts.append(shape(noise_counts(notes, keys, text), F.lit("NOISE"), F.col("token"), F.lit(""), F.lit("Artefact ETL (valeur manquante) – à ignorer")))
+    if not parts:
+        parts.append(shape(notes.where(F.lit(False)).withColumn("occ", F.lit(0).cast("long")), none, none, none))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -180,5 +214,6 @@ def patient_suggestions(notes: DataFrame, keys: list[str], text: str, dictionary
 
 
 def in_reading_order(suggestions: DataFrame, keys: list[str]) -> DataFrame:
-    """Automatic suggestions first, then by family, occurrences and token, inside each note."""
-    return suggestions.orderBy(*keys, F.desc("is_auto"), "family", F.desc("patient_occ"), "token_source")
+    """The suggestions of a note next to each other, automatic ones first, then by family, occurrences and token. Notes are dealt out by
+    key and sorted inside each task: no order among notes is needed."""
+    return suggestions.repartition(*keys).sortWithinPartitions(*keys, F.desc("is_auto"), "family", F.desc("patient_occ"), "token_source")

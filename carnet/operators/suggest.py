@@ -189,12 +189,16 @@ def suggest_all(tokens: DataFrame, dictionary: DataFrame, sure: DataFrame, ambig
     rows = rows.join(sure.select(F.col("key").alias("sk"), F.col("value").alias("sv")), up == F.col("sk"), "left")
     rows = rows.join(ambiguous.select(F.col("key").alias("mk"), F.array_join("expansions", " | ").alias("mv")), up == F.col("mk"), "left")
     rows = rows.join(typo_matches(tokens).select(F.col("word").alias("tk"), F.col("match").alias("tv")), low == F.col("tk"), "left")
+    several = to_fix(tokens).where(F.col("token").contains(" ")).select("token", "n")
+    several = diacritics_multi(several, valid_words(tokens)).select(F.col("token_source").alias("pk"), F.col("match").alias("pv"))
+    rows = rows.join(several, F.col("token") == F.col("pk"), "left")
     fix = F.col("status") != "valid"
     mark = T.intensity_token(low)
     is_sure = F.col("sk").isNotNull() & is_upper_token(F.col("token"))
     rules = [
         ("MANUAL_DICT", fix & F.col("dk").isNotNull(), F.col("dv"), 100.0, 0),
         ("DIACRITICS_STRICT", fix & accents_allowed() & F.coalesce(adds_accents(low, F.col("accented")), F.lit(False)), F.col("accented"), 100.0, 0),
+        ("DIACRITICS_MULTI", fix & F.col("pk").isNotNull(), F.col("pv"), 100.0, 0),
         ("ABBREV_AMBIGU", F.col("mk").isNotNull(), F.lit(""), 0.0, 0),
         ("ABBREV_SURE", is_sure, F.col("sv"), 100.0, 0),
         ("ABBREV_CANDIDATE", candidate_rule(), F.lit(""), 0.0, 0),
@@ -203,6 +207,7 @@ def suggest_all(tokens: DataFrame, dictionary: DataFrame, sure: DataFrame, ambig
         ("ENRICH_METIER", fix & enrich_rule(), F.lit(""), 0.0, 0),
         ("REJECTED", fix, F.lit(""), 0.0, 0),
     ]
+    rules.sort(key=lambda r: K.FAMILY_PRIORITY.index(r[0]))
     chosen = F.coalesce(*[F.when(cond, F.struct(match.alias("match"), F.lit(score).alias("score"), F.lit(dist).alias("edit_dist"),
                                                 F.lit(name).alias("category"))) for name, cond, match, score, dist in rules])
     picked = rows.withColumn("__s", chosen).where(F.col("__s").isNotNull())

@@ -65,7 +65,7 @@ def kwic_topics(spark, d):
 @query("kwic_topic_flags")
 def kwic_topic_flags(spark, d):
     """The fixed medical topics, hit or no hit for every conversation turn."""
-    return X.topic_flags(table(spark, d, "conversations"), ["conv_id", "turn"], "text", K.TOPICS)
+    return X.topic_flags(table(spark, d, "conversations"), ["conv_id", "turn"], "text", K.TOPICS, exact=K.TOPIC_ABBREVIATIONS)
 
 
 def gazetteer(spark, d):

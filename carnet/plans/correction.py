@@ -152,14 +152,16 @@ def corr_occ(spark, d):
     return C.word_occurrences(table(spark, d, "documents"), ["doc_id"], C.bounded_words(F.col("text")), as_lookup(I.correction_dictionary(spark, d)))
 
 
-@query("corr_occ_phrase", rf"""
-    WITH {I.SQL_PHRASES},
+SQL_PHRASE_COUNTS = rf"""
     p AS (SELECT doc_id, u.piece, u.pos FROM documents, unnest(regexp_extract_all(text, '[{S.W}]+|[^{S.W}]+')) WITH ORDINALITY AS u(piece, pos)),
     g AS (SELECT doc_id, pos, lower(piece) AS a, lead(piece, 1) OVER w AS sep, lower(lead(piece, 2) OVER w) AS b, coalesce(lead(piece, 3) OVER w, '') AS nxt FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
     h AS (SELECT doc_id, key, value, pos - 2 * row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS run FROM g JOIN phrases ON key = a || ' ' || b
           WHERE regexp_matches(sep, '^{S.SP}+$') AND NOT regexp_matches(nxt, '^[''’]')),
-    n AS (SELECT doc_id, key, value, run, (count(*) + 1) // 2 AS hits FROM h GROUP BY ALL)
-    SELECT doc_id, key, value, CAST(sum(hits) AS BIGINT) AS occ FROM n GROUP BY ALL""")
+    n AS (SELECT doc_id, key, value, run, (count(*) + 1) // 2 AS hits FROM h GROUP BY ALL),
+    phrase_counts AS (SELECT doc_id, key, value, CAST(sum(hits) AS BIGINT) AS occ FROM n GROUP BY ALL)"""
+
+
+@query("corr_occ_phrase", f"WITH {I.SQL_PHRASES}, {SQL_PHRASE_COUNTS} SELECT * FROM phrase_counts")
 def corr_occ_phrase(spark, d):
     return C.phrase_occurrences(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.phrase_dictionary(spark, d)))
 
@@ -207,24 +209,30 @@ def corr_apply(spark, d):
     return C.apply_corrections(docs, ["doc_id"], "text", words.unionByName(phrases))
 
 
-@query("corr_patient_sug", rf"""
-    WITH {I.SQL_REFERENCE}, {I.SQL_DICTIONARY}, {I.SQL_ABBREVIATIONS},
+@query("corr_patient_sug", SQL_ALL + rf""", {I.SQL_PHRASES}, {SQL_PHRASE_COUNTS},
+    listed AS (SELECT DISTINCT CASE category WHEN 'MANUAL_DICT' THEN 'DICT' ELSE category END AS family, lower(token_source) AS key, match AS value FROM allsug
+               WHERE category IN ('MANUAL_DICT', 'TYPO', 'DIACRITICS_STRICT', 'DIACRITICS_MULTI', 'ABBREV_CANDIDATE', 'ENRICH_METIER') AND lower(token_source) NOT IN ('nan', 'none', 'null')),
+    entries AS MATERIALIZED (SELECT 'DICT' AS family, key, value FROM dict UNION SELECT family, key, value FROM listed),
     cs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{S.W}]+')) AS form FROM documents),
     w AS (SELECT doc_id, form, count(*) AS occ FROM cs GROUP BY ALL),
     forms AS (SELECT key, array_to_string(expansions, ' / ') AS note, 1 AS prio, key AS form FROM amb
               UNION ALL SELECT key, array_to_string(expansions, ' / '), 2, upper(left(key, 1)) || lower(substr(key, 2)) FROM amb WHERE length(key) <= 4
               UNION ALL SELECT key, array_to_string(expansions, ' / '), 3, lower(key) FROM amb WHERE lower(key) IN {S.words_in(K.LOWER_MATCH_WHITELIST)}),
     a AS (SELECT doc_id, form, occ, note, row_number() OVER (PARTITION BY doc_id, key ORDER BY prio) AS r FROM w JOIN forms USING (form)),
-    u AS (SELECT doc_id, 'DICT' AS family, key AS token_source, value AS match, count(*) AS patient_occ, NULL::VARCHAR AS note
-          FROM (SELECT doc_id, unnest({SQL_BOUNDED}) AS key FROM documents) JOIN dict USING (key) GROUP BY doc_id, key, value
+    u AS (SELECT doc_id, family, key AS token_source, value AS match, count(*) AS patient_occ, NULL::VARCHAR AS note
+          FROM (SELECT doc_id, unnest({SQL_BOUNDED}) AS key FROM documents) JOIN entries USING (key) GROUP BY doc_id, family, key, value
+          UNION ALL SELECT doc_id, family, key, value, len(regexp_extract_all(lower(text), '(^|[^{S.W}])' || key || '([^{S.W}''’]|$)')), NULL
+          FROM documents JOIN (SELECT * FROM entries WHERE regexp_matches(key, '^[{S.W}]+(-[{S.W}]+)+$')) ON regexp_matches(lower(text), '(^|[^{S.W}])' || key || '([^{S.W}''’]|$)')
+          UNION ALL SELECT doc_id, 'PHRASE_DICT', key, value, occ, NULL FROM phrase_counts
           UNION ALL SELECT doc_id, 'ABBREV_SURE', key, value, occ, NULL FROM w JOIN sure ON key = form
           UNION ALL SELECT doc_id, 'ABBREV_AMBIGU', form, '', occ, 'Possibles : ' || note FROM a WHERE r = 1
           UNION ALL SELECT doc_id, 'NOISE', lower(form), '', sum(occ)::BIGINT, 'Artefact ETL (valeur manquante) – à ignorer' FROM w WHERE lower(form) IN ('nan', 'none', 'null') GROUP BY doc_id, lower(form))
-    SELECT *, family || '::' || token_source || '::' || match AS suggestion_key, family IN ('DICT', 'ABBREV_SURE') AND match <> '' AS is_auto FROM u""")
+    SELECT *, family || '::' || token_source || '::' || match AS suggestion_key, family IN {S.words_in([k for k, (_, auto) in K.FAMILIES.items() if auto])} AND match <> '' AS is_auto FROM u""")
 def corr_patient_sug(spark, d):
+    """Every family, with the suggestions on the vocabulary as the listed ones."""
     sure, ambiguous = I.abbreviations(spark, d)
     found = C.patient_suggestions(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.correction_dictionary(spark, d)), I.phrase_dictionary(spark, d),
-                                  sure, ambiguous, ("DICT", "ABBREV_SURE", "ABBREV_AMBIGU", "NOISE"))
+                                  sure, ambiguous, (*K.FAMILIES, "MANUAL_DICT"), all_suggestions(spark, d))
     return C.in_reading_order(found, ["doc_id"])
 
 

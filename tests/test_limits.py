@@ -111,3 +111,36 @@ def test_binned_mutual_information(spark):
     rows = spark.range(400).select((F.col("id") + 0.5).alias("x"), F.lit(1.0).alias("same"), (F.col("id") >= 200).cast("int").alias("y"))
     scores = {r["feature"]: r["score"] for r in stats.select_mi(rows, ["x", "same"], "y", bins=10).collect()}
     assert abs(scores["x"] - math.log(2)) < 1e-6 and abs(scores["same"]) < 1e-9
+
+
+def test_families_of_the_patient_view(spark):
+    rows = spark.createDataFrame([(1, "Un mot deux mots, IRM et PMA; nan fort+++ eleve au-dela bon jour bon soir")], "id long, text string")
+    dictionary = spark.createDataFrame([("mot", "MOT")], "key string, value string")
+    phrases = spark.createDataFrame([("bon jour", "bonjour"), ("bon soir", "bonsoir"), ("bon midi", "x")], "key string, value string")
+    sure = spark.createDataFrame([("IRM", "imagerie")], "key string, value string")
+    unclear = spark.createDataFrame([("PMA", ["a", "b"])], "key string, expansions array<string>")
+    listed = spark.createDataFrame([("TYPO", "Eleve", "élève"), ("MANUAL_DICT", "deux mots", "2 mots"), ("MANUAL_DICT", "et", "&"), ("ENRICH_METIER", "absent", ""), ("TYPO", "nan", "x"), ("ABBREV_CANDIDATE", "au-dela", "")],
+                                   "category string, token_source string, match string")
+    every = ("DICT", "PHRASE_DICT", "ABBREV_SURE", "ABBREV_AMBIGU", "INTENSITY", "NOISE", "TYPO", "ABBREV_CANDIDATE", "ENRICH_METIER", "MANUAL_DICT")
+    found = correct.patient_suggestions(rows, ["id"], "text", dictionary, phrases, sure, unclear, every, listed)
+    got = {(r["family"], r["token_source"], r["match"], r["patient_occ"], r["is_auto"]) for r in correct.in_reading_order(found, ["id"]).collect()}
+    assert got == {("DICT", "mot", "MOT", 1, True), ("PHRASE_DICT", "bon jour", "bonjour", 1, True), ("PHRASE_DICT", "bon soir", "bonsoir", 1, True), ("PHRASE_DICT", "deux mots", "2 mots", 1, True),
+                   ("DICT", "et", "&", 1, True), ("ABBREV_SURE", "IRM", "imagerie", 1, True), ("ABBREV_AMBIGU", "PMA", "", 1, False), ("INTENSITY", "fort+++", "fort (+++)", 1, True),
+                   ("NOISE", "nan", "", 1, False), ("TYPO", "eleve", "élève", 1, True), ("ABBREV_CANDIDATE", "au-dela", "", 1, False)}
+    with pytest.raises(ValueError):
+        correct.patient_suggestions(rows, ["id"], "text", dictionary, phrases, sure, unclear, ("TYPOS",))
+    assert correct.patient_suggestions(rows, ["id"], "text", dictionary, phrases, sure, unclear, ()).count() == 0
+
+
+def test_accents_of_several_words_claim_a_token(spark):
+    tokens = spark.createDataFrame([("douleur aigue", 3, "invalid", 0.0, 1), ("aiguë", 2, "valid", 3.0, 1), ("mot", 1, "invalid", 0.0, 1)], "token string, n long, status string, zipf double, word_like int")
+    none = spark.createDataFrame([], "key string, value string")
+    unclear = spark.createDataFrame([], "key string, expansions array<string>")
+    got = {r["token_source"]: (r["category"], r["match"]) for r in suggest.suggest_all(tokens, none, none, unclear).collect()}
+    assert got["douleur aigue"] == ("DIACRITICS_MULTI", "douleur aiguë")
+
+
+def test_topics_by_abbreviation(spark):
+    rows = spark.createDataFrame([(1, "une IRM hier"), (2, "irmx"), (3, None)], "id long, text string")
+    flags = {(r["id"], r["topic"]): r["hit"] for r in context.topic_flags(rows, ["id"], "text", {"IRM": (), "douleur": ("douleur",)}, exact={"IRM": ("IRM",)}).collect()}
+    assert flags[1, "IRM"] and not flags[2, "IRM"] and not flags[1, "douleur"] and len(flags) == 6
