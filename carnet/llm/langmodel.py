@@ -34,12 +34,12 @@ from carnet.session import cut_lineage
 
 #: The end of a text; no word can hold a blank.
 END = " "
-TOP, SHAPES = 23, 24
+TOP, SHAPES = 15, 16
 CLASSES = TOP + 1 + SHAPES
 KINDS = 4
 BLOCKS = 16
-#: Tokens worked on at once.
-CHUNK = 32_768
+#: Tokens worked on at once, and splits of the table that one gradient task takes.
+CHUNK, SPLITS = 32_768, 4
 
 
 @dataclass(frozen=True)
@@ -58,56 +58,86 @@ def shape(word: Column) -> Column:
     return (F.lit(TOP + 1) + F.crc32(F.substring(word.cast("binary"), -2, 2)) % SHAPES).cast("int")
 
 
-class _Codes(dict):
-    """Word -> class + 64 * hash of the word; answers are kept, up to ``KEEP``."""
+class _Logs(dict):
+    """Frequent word -> log10(count + 1); -1 for all others."""
 
-    KEEP = 300_000
+    def __missing__(self, word: bytes) -> float:
+        return -1.0
 
-    def __init__(self, top: list[bytes]):
-        super().__init__({w: i + 64 * zlib.crc32(w) for i, w in enumerate(top)})
-        self.top = top
-        self.room = self.KEEP
 
-    def __missing__(self, word: bytes) -> int:
-        code = TOP + 1 + zlib.crc32(word[-2:]) % SHAPES + 64 * zlib.crc32(word)
-        if self.room:
-            self.room -= 1
-            self[word] = code
-        return code
+# Words are found and hashed in a byte array: ASCII white space divides, and the hash of a word is a polynomial in its bytes modulo 2^64.
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SHAPE2 = np.array([zlib.crc32(bytes((i >> 8, i & 255))) % SHAPES for i in range(1 << 16)], np.int64)
+_SHAPE1 = np.array([zlib.crc32(bytes((i,))) % SHAPES for i in range(256)], np.int64)
+#: Bytes hashed at once.
+PIECE = 1 << 20
 
-    def __reduce__(self):
-        return _Codes, (self.top,)
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-class _Logs(dict):
-    """Frequent word -> log10(count + 1); -1 for all others."""
 
-    def __missing__(self, word: bytes) -> float:
-        return -1.0
+_UP, _DOWN = _powers(_BASE, PIECE + 2), _powers(_INVERSE, PIECE + 2)
 
 
-def batches(codes: _Codes, texts: list[bytes]) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray]]:
-    """Groups of texts of about ``4 * CHUNK`` tokens: their words, all codes with an end per text, and the start of each text."""
-    group, size = [], 0
-    for i, text in enumerate(texts):
-        group.append(text.lower().split())
-        size += len(group[-1]) + 1
-        if size >= 4 * CHUNK or i + 1 == len(texts):
-            flat = np.empty(size, np.int64)
-            starts, at = [], 0
-            for words in group:
-                starts.append(at)
-                flat[at:at + len(words)] = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                at += len(words) + 1
-                flat[at - 1] = TOP
-            yield group, flat, np.array(starts)
-            group, size = [], 0
-
-
-def features(flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends, hashes and shape classes of all words of a lower-case text."""
+    a = np.frombuffer(text, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _BLANK[a], [True])).astype(np.int8)))
+    first, end = edge[::2], edge[1::2]
+    hashes = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        # As many words as fit in a piece, or one longer word alone.
+        upto = max(at + 1, int(np.searchsorted(end, first[at] + PIECE, "right")))
+        lo, hi = int(first[at]), int(end[upto - 1])
+        up, down = (_UP, _DOWN) if hi - lo <= PIECE else (_powers(_BASE, hi - lo + 1), _powers(_INVERSE, hi - lo + 1))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((a[lo:hi].astype(np.uint64) + np.uint64(1)) * up[:hi - lo], dtype=np.uint64)))
+        hashes[at:upto] = (sums[end[at:upto] - lo] - sums[first[at:upto] - lo]) * down[first[at:upto] - lo]
+        at = upto
+    last = a[end - 1].astype(np.int64)
+    shapes = np.where(end - first > 1, _SHAPE2[(a[np.maximum(end - 2, 0)].astype(np.int64) << 8) | last], _SHAPE1[last])
+    return end, hashes, shapes + TOP + 1
+
+
+class Coder:
+    """Classes and hashes of tokens, given the words that have a class of their own."""
+
+    def __init__(self, top: list[bytes]):
+        own = np.array([word_hashes(w)[1][0] for w in top], np.uint64)
+        self.order = np.argsort(own)
+        self.own = own[self.order]
+
+    def batches(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of texts of about ``PIECE`` bytes: number of texts, classes and hashes of all tokens with an end per text, start of each text."""
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            group.append(text.lower())
+            size += len(text) + 1
+            if size >= PIECE or i + 1 == len(texts):
+                end, hashes, shapes = word_hashes(b"\n".join(group))
+                if len(self.own):
+                    at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+                    shapes = np.where(self.own[at] == hashes, self.order[at], shapes)
+                borders = np.cumsum([len(t) + 1 for t in group])
+                owner = np.searchsorted(borders, end, "left")
+                counts = np.bincount(owner, minlength=len(group)) + 1
+                starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+                cls, word = np.full(counts.sum(), TOP, np.int64), np.full(counts.sum(), 1, np.uint64)
+                place = np.arange(len(hashes)) + owner
+                cls[place], word[place] = shapes, hashes
+                yield len(group), cls, word, starts
+                group, size = [], 0
+
+
+def features(word: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     """Rows of the weight matrix that speak for each token, one per kind; before a text stands nothing (hash 0)."""
-    word = (flat >> 6).astype(np.uint64)
-    place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat))))
+    place = np.arange(len(word)) - np.repeat(starts, np.diff(np.append(starts, len(word))))
     back = []
     for k in (1, 2, 3):
         moved = np.zeros_like(word)
@@ -115,33 +145,42 @@ def features(flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
         moved[place < k] = 0
         back.append(moved)
     pair = (back[0] * np.uint64(0x9E3779B97F4A7C15)) ^ (back[1] * np.uint64(0xC2B2AE3D27D4EB4F))
-    kinds = [*back, pair ^ (pair >> np.uint64(29))]
+    kinds = [h ^ (h >> np.uint64(29)) for h in (*back, pair)]
     return np.stack([((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) % np.uint64(width) + np.uint64(i * width) for i, h in enumerate(kinds)]).astype(np.int64)
 
 
-def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log-probabilities of all classes for the tokens with these feature rows; the last weight row is the bias."""
-    z = weights[rows[0]] + weights[-1]
+def class_sums(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the weights of all classes for the tokens with these feature rows; the last weight row is the bias. Steps are clipped in
+    training, so exponentials of the sums are finite."""
+    z = np.take(weights, rows[0], axis=0, mode="clip")
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        z += np.take(weights, r, axis=0, mode="clip")
+    z += weights[-1]
     return z
 
 
-def add_gradient(total: np.ndarray, weights: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> None:
+def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of all classes."""
+    z = class_sums(weights, rows)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def add_gradient(total: np.ndarray, weights: np.ndarray, cls: np.ndarray, rows: np.ndarray) -> None:
     """Add the log-likelihood gradient of the tokens to ``total``, whose last column counts the tokens of a row."""
-    for at in range(0, len(flat), CHUNK):
+    width = (len(weights) - 1) // KINDS
+    for at in range(0, len(cls), CHUNK):
         part = rows[:, at:at + CHUNK]
-        miss = -np.exp(class_logs(weights, part))
-        miss[np.arange(len(miss)), flat[at:at + CHUNK] & 63] += 1
-        total[-1, :-1] += miss.sum(axis=0)
+        miss = np.exp(class_sums(weights, part))
+        miss /= -miss.sum(axis=1, keepdims=True)
+        miss[np.arange(len(miss)), cls[at:at + CHUNK]] += 1
+        total[-1, :-1] += miss.sum(axis=0, dtype=np.float64)
         total[-1, -1] += len(miss)
         for r in part:
-            order = np.argsort(r.astype(np.uint16 if len(weights) < 1 << 16 else np.uint32), kind="stable")
+            order = np.argsort((r % width).astype(np.uint16 if width <= 1 << 16 else np.uint32), kind="stable")
             first = np.flatnonzero(np.diff(r[order], prepend=-1))
-            total[r[order[first]], :-1] += np.add.reduceat(miss[order], first, axis=0)
-            total[r[order[first]], -1] += np.diff(np.append(first, len(r)))
+            met = r[order[first]]
+            total[met, :-1] += np.add.reduceat(miss[order], first, axis=0)
+            total[met, -1] += np.diff(np.append(first, len(r)))
 
 
 @dataclass
@@ -165,20 +204,20 @@ def _summed(key, table):
 
 
 def gradient(texts: DataFrame, weights: np.ndarray, top: list[bytes], settings: Settings) -> np.ndarray:
-    """Gradient over all texts. Each task gives one sum, in blocks; tasks are as many as cores, so what moves does not grow with the texts."""
+    """Gradient over all texts. Each task sums over a few splits of the table and gives one sum, in blocks."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast((weights, top))
 
     def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, words = shared.value
-        codes = _Codes(words)
-        total = np.zeros((len(held), CLASSES + 1), np.float32)
+        coder = Coder(words)
+        total = np.zeros((len(held), CLASSES + 1), np.float64)
         for batch in arrived:
-            for _, flat, starts in batches(codes, batch.column("text").to_pylist()):
-                add_gradient(total, held, flat, features(flat, starts, settings.width))
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "part": pa.array([b.tobytes() for b in np.array_split(total.ravel(), BLOCKS)], pa.binary())})
+            for _, cls, word, starts in coder.batches(batch.column("text").to_pylist()):
+                add_gradient(total, held, cls, features(word, starts, settings.width))
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "part": pa.array([b.tobytes() for b in np.array_split(total.ravel().astype(np.float32), BLOCKS)], pa.binary())})
 
-    tasks = texts.coalesce(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(run, "block int, part binary")
+    tasks = texts.coalesce(max(1, spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // SPLITS)).mapInArrow(run, "block int, part binary")
     blocks = tasks.groupBy("block").applyInArrow(_summed, "block int, part binary").orderBy("block").collect()
     flat = np.concatenate([np.frombuffer(bytes(b["part"]), np.float64) for b in blocks]) if blocks else np.zeros(len(weights) * (CLASSES + 1))
     return flat.reshape(len(weights), CLASSES + 1)
@@ -223,16 +262,17 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     @F.arrow_udf("struct<seen: long, known: long, logs: double, fixed: double, rare: array<string>>")
     def measure(texts: pa.Array) -> pa.Array:
         weights, top, mass, logs, end, width = shared.value
-        codes, known = _Codes(top), _Logs(logs)
-        out = []
-        for group, flat, starts in batches(codes, [t.as_py() for t in texts]):
-            rows, cls = features(flat, starts, width), flat & 63
-            each = np.empty(len(flat))
-            for at in range(0, len(flat), CHUNK):
-                z = class_logs(weights, rows[:, at:at + CHUNK])
-                each[at:at + CHUNK] = z[np.arange(len(z)), cls[at:at + CHUNK]]
+        known, out = _Logs(logs), []
+        raw = [t.as_py() for t in texts]
+        for n, cls, word, starts in Coder(top).batches(raw):
+            rows = features(word, starts, width)
+            each = np.empty(len(cls))
+            for at in range(0, len(cls), CHUNK):
+                z = class_sums(weights, rows[:, at:at + CHUNK])
+                each[at:at + CHUNK] = z[np.arange(len(z)), cls[at:at + CHUNK]] - np.log(np.exp(z, out=z).sum(axis=1))
             fixed = np.add.reduceat(each / math.log(10) - mass[cls], starts)
-            for words, value in zip(group, fixed.tolist()):
+            for text, value in zip(raw[len(out):len(out) + n], fixed.tolist()):
+                words = text.lower().split()
                 found = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
                 rare = np.flatnonzero(found < 0).tolist()
                 out.append({"seen": len(words) + 1, "known": len(words) - len(rare), "logs": float(found[found >= 0].sum()) + end, "fixed": value, "rare": [words[i].decode("utf-8", "replace") for i in rare]})

@@ -50,26 +50,46 @@ def test_model_is_a_distribution(spark):
     rows = [(i, f"a{i % 4} b{i % 6} c{i % 30}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = langmodel.train(docs, part=F.col("doc_id"), settings=langmodel.Settings(width=64, table=5))
-    codes = langmodel._Codes(model.top)
-    _, flat, starts = next(langmodel.batches(codes, [b"a1 b1 c1"]))
-    logs = langmodel.class_logs(model.weights, langmodel.features(flat, starts, 64))[2]
+    coder = langmodel.Coder(model.top)
+    _, _, word, starts = next(coder.batches([b"a1 b1 c1"]))
+    logs = langmodel.class_logs(model.weights, langmodel.features(word, starts, 64))[2]
     counts = {r["word"].encode(): r["c"] for r in model.counts.collect()}
-    total = sum(math.exp(logs[codes[w] & 63]) * (c + 1) / model.mass[codes[w] & 63] for w, c in counts.items()) + math.exp(logs[langmodel.TOP])
+    own = {w: int(next(coder.batches([w]))[1][0]) for w in counts}
+    total = sum(math.exp(logs[own[w]]) * (c + 1) / model.mass[own[w]] for w, c in counts.items()) + math.exp(logs[langmodel.TOP])
     unseen = sum(math.exp(logs[k]) / model.mass[k] for k in range(langmodel.TOP + 1, langmodel.CLASSES))
     assert abs(total + unseen - 1) < 1e-6
 
 
+def test_words_are_found_and_hashed_alike_everywhere():
+    rng = np.random.default_rng(2)
+    texts = [b"", b" ", b"a", b"\xc3\xa9 ab\x0b\x1cc  d\r\n", b"x" * (langmodel.PIECE + 5) + b" y x", b"end ", b" lead"]
+    texts += [bytes(rng.choice(list(b"ab c\n\xff\x00"), 200).astype(np.uint8)) for _ in range(40)]
+    coder = langmodel.Coder([b"ab"])
+    seen = {}
+    at = 0
+    for n, cls, word, starts in coder.batches(texts):
+        ends = [*starts[1:], len(cls)]
+        for text, lo, hi in zip(texts[at:at + n], starts, ends):
+            words = text.lower().split()
+            assert hi - lo == len(words) + 1 and cls[hi - 1] == langmodel.TOP
+            for w, c, h in zip(words, cls[lo:hi], word[lo:hi]):
+                assert seen.setdefault(w, (c, h)) == (c, h)
+                assert c == (0 if w == b"ab" else langmodel.TOP + 1 + zlib.crc32(w[-2:]) % langmodel.SHAPES)
+        at += n
+    assert at == len(texts) and len({h for _, h in seen.values()}) == len(seen)
+
+
 def test_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(1)
-    flat = rng.integers(0, langmodel.CLASSES, 300) + 64 * rng.integers(0, 99, 300)
-    rows = langmodel.features(flat, np.array([0, 100]), 16)
+    cls = rng.integers(0, langmodel.CLASSES, 300)
+    rows = langmodel.features(rng.integers(0, 99, 300).astype(np.uint64), np.array([0, 100]), 16)
     weights = rng.normal(size=(65, langmodel.CLASSES)) * 0.3
 
     def likelihood(w):
-        return langmodel.class_logs(w, rows)[np.arange(300), flat & 63].sum()
+        return langmodel.class_logs(w, rows)[np.arange(300), cls].sum()
 
     total = np.zeros((65, langmodel.CLASSES + 1))
-    langmodel.add_gradient(total, weights, flat, rows)
+    langmodel.add_gradient(total, weights, cls, rows)
     for _ in range(20):
         i, j = rng.integers(0, 65), rng.integers(0, langmodel.CLASSES)
         moved = weights.copy()
