@@ -85,6 +85,15 @@ def harvest(pages: DataFrame, page_id: str, html: str) -> DataFrame:
     return last.withColumn("kind", F.when(sure, "sure").otherwise("ambiguous"))
 
 
+def with_defaults(sure: DataFrame, ambiguous: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Given dictionaries with the default abbreviations added; given entries win, of both kinds."""
+    spark = sure.sparkSession
+    known = sure.select("key").unionByName(ambiguous.select("key")).distinct()
+    more_sure = spark.createDataFrame(list(K.DEFAULT_SURE_ABBREVIATIONS.items()), "key string, value string").join(known, "key", "left_anti")
+    more_unclear = spark.createDataFrame(list(K.DEFAULT_AMBIGUOUS_ABBREVIATIONS.items()), "key string, expansions array<string>").join(known, "key", "left_anti")
+    return sure.select("key", "value").unionByName(more_sure), ambiguous.select("key", "expansions").unionByName(more_unclear)
+
+
 def merge(local_sure: DataFrame, found_sure: DataFrame, local_amb: DataFrame, found_amb: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Local entries win; black-listed keys are never sure; a sure key is not ambiguous."""
     sure = local_sure.select("key", F.col("value").alias("l")).join(found_sure.select("key", F.col("value").alias("r")), "key", "full")

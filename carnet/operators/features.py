@@ -134,8 +134,13 @@ def upsample_patients(notes: DataFrame, patient: str, order: str, outcome: str,
     if left > 0 and givers:
         lasts = with_global_rank(from_end.where(F.col("__back") == 1), [F.col(patient)], "__turn").drop("__back")
         rounds = F.lit(left // givers) + (F.col("__turn") <= left % givers).cast("long")
-        extra = lasts.where(rounds > 0).withColumn("copy", F.explode(F.sequence(F.lit(2).cast("long"), rounds + 1))).drop("__turn")
-        out = out.unionByName(extra)
+        # The copies of a giver are made in blocks, spread over the tasks when there are many.
+        blocks = lasts.withColumn("__rounds", rounds).where("__rounds > 0").withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor((F.col("__rounds") - 1) / COPIES_PER_TASK))))
+        if left // givers >= COPIES_PER_TASK:
+            blocks = blocks.repartition(patient, "__block")
+        first = F.col("__block") * COPIES_PER_TASK + 2
+        extra = blocks.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("__rounds") + 1, first + COPIES_PER_TASK - 1))))
+        out = out.unionByName(extra.drop("__turn", "__rounds", "__block"))
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from carnet.operators import evaluate as E
 from carnet.operators.features import fold_by_labels
 from carnet.operators.stats import at_most_one_of_pair
+from carnet.session import cut_lineage
 
 SEED = 42
 
@@ -82,7 +84,7 @@ class CohortEvaluator(Evaluator):
 
 def out_of_fold(df: DataFrame, kind: str, keep: list[str], labels: list[str], key: str, folds: int = 5, **params) -> DataFrame:
     """Out-of-fold predictions with folds balanced over label combinations."""
-    folded = fold_by_labels(df, labels, key, folds).persist()
+    folded = cut_lineage(fold_by_labels(df, labels, key, folds))
     parts = [multi_output(folded.where(F.col("fold") != k), folded.where(F.col("fold") == k), kind, [*keep, "fold"], labels, **params) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -107,12 +109,17 @@ def grid_search(df: DataFrame, kind: str, grid: dict[str, list], metric: str = "
 
 
 def univariate_models(df: DataFrame, columns: list[str], kind: str, key: str, label: str = "label", folds: int = 5, min_sensitivity: float = 0.5,
-                      min_specificity: float = 0.8, **params) -> DataFrame:
-    """Mean sensitivity and specificity of a model on each single feature, and whether it passes both limits."""
-    rows = []
-    for c in columns:
-        scores = cv_scores(assemble(df, [c]), kind, key, label, folds, **params).agg(F.avg("sensitivity").alias("s"), F.avg("specificity").alias("p")).first()
-        rows.append((c, round(scores["s"] or 0.0, 2), round(scores["p"] or 0.0, 2)))
+                      min_specificity: float = 0.8, parallelism: int = 4, **params) -> DataFrame:
+    """Mean sensitivity and specificity of a model on each single feature, and whether it passes both limits. The table is stored once, and
+    ``parallelism`` features are fitted at a time."""
+    stored = cut_lineage(df)
+
+    def scored(c: str) -> tuple[str, float, float]:
+        scores = cv_scores(assemble(stored, [c]), kind, key, label, folds, **params).agg(F.avg("sensitivity").alias("s"), F.avg("specificity").alias("p")).first()
+        return c, round(scores["s"] or 0.0, 2), round(scores["p"] or 0.0, 2)
+
+    with ThreadPool(parallelism) as pool:
+        rows = pool.map(scored, columns)
     out = df.sparkSession.createDataFrame(rows, "feature string, sensitivity double, specificity double")
     return out.withColumn("kept", (F.col("sensitivity") >= min_sensitivity) & (F.col("specificity") >= min_specificity))
 

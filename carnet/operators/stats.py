@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as TY
 
+from carnet import constants as K
 from carnet.operators.ranking import with_global_rank
 
 # Workers get the p-value helpers with the task, so the package need not be installed on executors.
@@ -359,7 +360,7 @@ def constant_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if row[c]]
 
 
-def at_most_one_of_pair(columns: list[str], pairs) -> list[str]:
+def at_most_one_of_pair(columns: list[str], pairs=K.CORRELATED_PAIRS) -> list[str]:
     """Columns in order, without those whose declared partner was already taken."""
     partner: dict[str, set[str]] = {}
     for a, b in pairs:

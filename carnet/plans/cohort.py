@@ -241,8 +241,9 @@ def feature_exclusions(spark, d):
 
 @query("drop_anapath", "SELECT o_orderkey, o_custkey FROM orders")
 def drop_anapath(spark, d):
-    targets = {c: F.lit(1) for c in K.LEAK_TARGETS[:3]}
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").withColumns(targets).drop(*K.LEAK_TARGETS)
+    """Status, price and priority of an order stand for the leaking targets."""
+    named = dict(zip(("o_orderstatus", "o_totalprice", "o_orderpriority"), K.LEAK_TARGETS))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", *named).withColumnsRenamed(named).drop(*K.LEAK_TARGETS)
 
 
 @query("target_stages", """
@@ -259,10 +260,11 @@ def target_stages(spark, d):
                       F.count(F.when((F.col("any") == 1) & (F.col("deep") == 0), 1)).alias("n_superficial"))
 
 
-@query("drop_constant_labels", "SELECT doc_id, quality, toxic FROM labels")
+@query("drop_constant_labels", "SELECT doc_id, toxic FROM labels WHERE quality = 1")
 def drop_constant_labels(spark, d):
-    labels = table(spark, d, "labels").withColumn("never", F.lit(0)).withColumn("unknown", F.lit(None).cast("int"))
-    return labels.drop(*Z.constant_columns(labels, ["quality", "toxic", "never", "unknown"]))
+    """Among the documents of good quality that label is constant."""
+    labels = table(spark, d, "labels").where("quality = 1")
+    return labels.drop(*Z.constant_columns(labels, ["quality", "toxic"]))
 
 
 @query("get_cat_list", f"WITH {SQL_LINES} " + " UNION ALL ".join(

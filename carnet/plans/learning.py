@@ -13,6 +13,7 @@ from carnet.plans import cohort
 from carnet.plans import inputs as I
 from carnet.plans import sqlparts as S
 from carnet.registry import query, spread, table
+from carnet.session import cut_lineage
 
 RANK = "row_number() OVER (PARTITION BY {g} ORDER BY md5({k}::VARCHAR), {k})"
 
@@ -277,7 +278,7 @@ register_classifier("gbt", maxIter=5, maxDepth=3)
 @query("multi_output")
 def multi_output(spark, d):
     train, test = train_test(spark, d)
-    return M.multi_output(train.persist(), test, "logreg", ["vec_id"], ["odd", "high"], maxIter=10)
+    return M.multi_output(cut_lineage(train), test, "logreg", ["vec_id"], ["odd", "high"], maxIter=10)
 
 
 @query("cv_scores")
@@ -302,12 +303,12 @@ def lines(spark, d):
 
 @query("univariate_model")
 def univariate_model(spark, d):
-    return M.univariate_models(lines(spark, d), LINE_COLUMNS[1:3], "tree", "key", folds=2, maxDepth=3)
+    return M.univariate_models(lines(spark, d), LINE_COLUMNS, "tree", "key", folds=2, maxDepth=3)
 
 
 @query("stepwise")
 def stepwise(spark, d):
-    rows = lines(spark, d).persist()
+    rows = cut_lineage(lines(spark, d))
     train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
     start = M.fit_predict(M.assemble(train, LINE_COLUMNS[:1]), M.assemble(test, LINE_COLUMNS[:1]), "tree", [], maxDepth=3)
     base = E.confusion(start).first()
@@ -322,7 +323,7 @@ def feature_importance(spark, d):
 
 @query("feature_subset_eval")
 def feature_subset_eval(spark, d):
-    rows = lines(spark, d).persist()
+    rows = cut_lineage(lines(spark, d))
     subsets = {"all": LINE_COLUMNS, "no price": [c for c in LINE_COLUMNS if c != "l_extendedprice"], "price only": ["l_extendedprice"]}
     return M.subset_scores(rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test"), subsets, "tree", maxDepth=4)
 
@@ -331,7 +332,8 @@ def feature_subset_eval(spark, d):
 def missing_impact(spark, d):
     """Sensitivity, specificity and threshold of a tree for each pair of missing-data cut-offs, next to what is left."""
     sheet = cohort.sheet(spark, d).withColumns({"status": F.when(F.col("status") == "F", 1.0).when(F.col("status") == "O", 0.0), "prio": F.length("prio").cast("double")})
-    sheet = sheet.withColumn("label", (F.col("price") > 300000).cast("double")).where(F.col("label").isNotNull()).withColumn("split", Y.hash_split(F.col("id"), 0.8)).persist()
+    sheet = sheet.withColumn("label", (F.col("price") > 300000).cast("double")).where(F.col("label").isNotNull()).withColumn("split", Y.hash_split(F.col("id"), 0.8))
+    sheet = cut_lineage(sheet)
     columns = ["price", "cust", "status", "prio"]
     shares = PR.column_shares(sheet, columns)
     out = None

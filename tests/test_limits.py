@@ -144,3 +144,24 @@ def test_topics_by_abbreviation(spark):
     rows = spark.createDataFrame([(1, "une IRM hier"), (2, "irmx"), (3, None)], "id long, text string")
     flags = {(r["id"], r["topic"]): r["hit"] for r in context.topic_flags(rows, ["id"], "text", {"IRM": (), "douleur": ("douleur",)}, exact={"IRM": ("IRM",)}).collect()}
     assert flags[1, "IRM"] and not flags[2, "IRM"] and not flags[1, "douleur"] and len(flags) == 6
+
+
+def test_default_abbreviations_give_way(spark):
+    sure = spark.createDataFrame([("IRM", "own"), ("TV", "own too")], "key string, value string")
+    unclear = spark.createDataFrame([("RAS", ["a", "b"])], "key string, expansions array<string>")
+    s, u = abbrev.with_defaults(sure, unclear)
+    s, u = {r["key"]: r["value"] for r in s.collect()}, {r["key"]: list(r["expansions"]) for r in u.collect()}
+    assert s["IRM"] == "own" and "RAS" not in s and s["HPV"] == "papillomavirus humain"
+    assert "TV" not in u and u["RAS"] == ["a", "b"] and u["AW"] == ["arrêt de travail"]
+
+
+def test_declared_partners():
+    assert stats.at_most_one_of_pair(["g", "p", "age", "irm.oma", "echo.oma"]) == ["g", "age", "irm.oma"]
+
+
+def test_many_copies_of_one_giver(spark):
+    rows = [(1, 0, 1)] + [(2 + i % 3, i, 0) for i in range(2_500)]
+    notes_ = spark.createDataFrame(rows, "p long, at long, y int")
+    out = features.upsample_patients(notes_, "p", "at", "y", F.floor(F.col("at") / 256))
+    copies = [r["copy"] for r in out.where("y = 1").collect()]
+    assert len(copies) == 2_500 and len(set(copies)) == 2_500
