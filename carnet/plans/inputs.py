@@ -34,20 +34,20 @@ def token_table(spark, d, tokens=raw_tokens) -> DataFrame:
 
 
 SQL_REFERENCE = f"""
-    ref AS (SELECT t, count(*) AS c FROM (SELECT unnest({S.tokens('text')}) AS t FROM conversations) GROUP BY t),
-    zipfs AS (SELECT t, round(log10(c * 1e9 / (SELECT sum(c)::DOUBLE FROM ref)), 2) AS z FROM ref),
-    lex AS (SELECT DISTINCT unnest({S.tokens('text')}) AS w FROM benchmark)"""
+    ref AS MATERIALIZED (SELECT t, count(*) AS c FROM (SELECT unnest({S.tokens('text')}) AS t FROM conversations) GROUP BY t),
+    zipfs AS MATERIALIZED (SELECT t, round(log10(c * 1e9 / (SELECT sum(c)::DOUBLE FROM ref)), 2) AS z FROM ref),
+    lex AS MATERIALIZED (SELECT DISTINCT unnest({S.tokens('text')}) AS w FROM benchmark)"""
 
 
 def sql_token_table(source: str = f"list_filter(string_split(trim(regexp_replace(text, '{S.SP}+', ' ', 'g')), ' '), lambda t: t <> '')") -> str:
     """CTEs ending in ``tok`` (token, n, zipf, word_like, status)."""
     return SQL_REFERENCE + rf""",
-    counted AS (SELECT t AS token, count(*) AS n FROM (SELECT unnest({source}) AS t FROM documents) GROUP BY t),
+    counted AS MATERIALIZED (SELECT t AS token, count(*) AS n FROM (SELECT unnest({source}) AS t FROM documents) GROUP BY t),
     marked AS (SELECT token, n, coalesce(z, 0.0) AS zipf, strip_accents(lower(token)) AS k,
                       CAST(regexp_matches(token, '^[{S.LET}][{S.LET}''\-]*$') AS INT) AS word_like, w IS NOT NULL AS in_lex,
                       bool_or(token <> strip_accents(token)) OVER (PARTITION BY strip_accents(lower(token))) AS twin
                FROM counted LEFT JOIN zipfs ON zipfs.t = lower(token) LEFT JOIN lex ON lex.w = lower(token)),
-    tok AS (SELECT token, n, zipf, word_like,
+    tok AS MATERIALIZED (SELECT token, n, zipf, word_like,
                    CASE WHEN {S.is_function_word('token')} THEN 'valid' WHEN word_like = 0 THEN 'invalid'
                         WHEN k <> '' AND twin AND token = strip_accents(token) THEN 'to_fix'
                         WHEN in_lex OR zipf >= 2.5 THEN 'valid' ELSE 'invalid' END AS status

@@ -123,7 +123,7 @@ def family_select(category, match="''", score=0.0, dist=0, expansions="''", sour
 
 FIX = "status <> 'valid'"
 ACCENTS = f"""
-    accents AS (SELECT strip_accents(w) AS k, min(w) AS accented FROM (SELECT DISTINCT lower(token) AS w FROM tok WHERE status = 'valid')
+    accents AS MATERIALIZED (SELECT strip_accents(w) AS k, min(w) AS accented FROM (SELECT DISTINCT lower(token) AS w FROM tok WHERE status = 'valid')
                 WHERE NOT {S.is_function_word('w')} GROUP BY 1)"""
 ADDS = "strip_accents({t}) = {t} AND strip_accents(accented) <> accented AND accented <> {t}"
 ALLOWED = f"length(token) > 3 AND NOT {S.is_function_word('token')} AND word_like = 1"
@@ -136,14 +136,15 @@ ELIGIBLE = r"""(word_like = 1 AND length(token) >= 5 AND NOT regexp_matches(toke
     AND NOT (regexp_matches(token, '\p{L}') AND regexp_replace(regexp_replace(token, '[^\p{L}]', '', 'g'), '\p{Lu}', '', 'g') = '')
     AND NOT (zipf > 0 AND zipf >= 2.5))"""
 TYPO = f"""
-    f AS (SELECT DISTINCT lower(token) AS w, zipf FROM tok WHERE {FIX} AND {ELIGIBLE}),
-    v AS (SELECT DISTINCT lower(token) AS w FROM tok WHERE status = 'valid'),
-    fd AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS rest FROM (SELECT DISTINCT w FROM f), unnest(range(1, length(w) + 1)) AS u(i)),
-    vd AS (SELECT w, i, substr(w, 1, i - 1) || substr(w, i + 1) AS rest FROM v, unnest(range(1, length(w) + 1)) AS u(i)),
+    f AS MATERIALIZED (SELECT DISTINCT lower(token) AS w, zipf FROM tok WHERE {FIX} AND {ELIGIBLE}),
+    v AS MATERIALIZED (SELECT DISTINCT lower(token) AS w FROM tok WHERE status = 'valid'),
+    fd AS MATERIALIZED (SELECT w, i, hash(substr(w, 1, i - 1) || substr(w, i + 1)) AS rest FROM (SELECT DISTINCT w FROM f WHERE length(w) <= (SELECT max(length(w)) + 1 FROM v)), unnest(range(1, length(w) + 1)) AS u(i)),
+    vd AS MATERIALIZED (SELECT w, i, hash(substr(w, 1, i - 1) || substr(w, i + 1)) AS rest FROM v, unnest(range(1, length(w) + 1)) AS u(i)),
     near AS (SELECT fd.w, vd.w AS m FROM fd JOIN vd ON fd.i = vd.i AND fd.rest = vd.rest AND fd.w <> vd.w
-             UNION SELECT fd.w, v.w FROM fd JOIN v ON fd.rest = v.w UNION SELECT f.w, vd.w FROM f JOIN vd ON vd.rest = f.w),
-    best AS (SELECT w, min(m) AS m FROM near GROUP BY w),
-    typos AS (SELECT DISTINCT best.w, m FROM best JOIN f USING (w) LEFT JOIN zipfs ON zipfs.t = m
+             UNION SELECT fd.w, v.w FROM fd JOIN v ON fd.rest = hash(v.w) AND length(fd.w) = length(v.w) + 1
+             UNION SELECT f.w, vd.w FROM f JOIN vd ON vd.rest = hash(f.w) AND length(vd.w) = length(f.w) + 1),
+    best AS MATERIALIZED (SELECT w, min(m) AS m FROM near GROUP BY w),
+    typos AS MATERIALIZED (SELECT DISTINCT best.w, m FROM best JOIN f USING (w) LEFT JOIN zipfs ON zipfs.t = m
               WHERE coalesce(z, 0) = 0 OR f.zipf = 0 OR z - f.zipf >= 1.0)"""
 
 
