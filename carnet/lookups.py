@@ -1,8 +1,8 @@
 """Dictionaries as lookup sides, chosen by their measured size.
 
 * up to ``LITERAL_ROWS`` entries: part of the plan itself, so the text is rewritten where it is read, without a shuffle;
-* up to ``LOOKUP_ROWS`` entries: broadcast;
-* beyond: a sort-merge join, whose hot keys adaptive execution splits.
+* up to ``LOOKUP_ROWS`` entries and ``LOOKUP_BYTES`` of text: broadcast;
+* beyond: a join that adaptive execution chooses, and whose hot keys it splits.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from carnet.session import cut_lineage
 
 LITERAL_ROWS = 2_000
 LOOKUP_ROWS = 200_000
+LOOKUP_BYTES = 32 << 20
 
 
 def with_strategy(written: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """A stored dimension with the join strategy its row count allows."""
-    small = written.limit(max_rows + 1).count() <= max_rows
-    return written.hint("broadcast" if small else "merge")
+    """A stored dimension with a broadcast hint if its measured rows and bytes allow it; beyond, Spark chooses the join at run time."""
+    size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in written.columns]))))
+    n, total = written.limit(max_rows + 1).agg(F.count("*"), size).first()
+    return F.broadcast(written) if n <= max_rows and (total or 0) <= LOOKUP_BYTES else written
 
 
 def as_lookup(dim: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:

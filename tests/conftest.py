@@ -9,11 +9,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 @pytest.fixture(scope="session")
 def spark():
-    from carnet.session import get_session
+    from carnet.session import clear_work, get_session
 
     session = get_session(app="tests", master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 
