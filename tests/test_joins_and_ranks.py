@@ -159,11 +159,19 @@ def test_confusion_counts_sum_to_rows(spark):
 def test_lookup_strategies_give_the_same_rows(spark):
     facts = spark.range(1000).select((F.col("id") % 10).cast("string").alias("key"), "id")
     dim = spark.createDataFrame([(str(i), f"v{i}") for i in range(5)], "key string, value string")
-    small = facts.join(lookups.as_lookup(dim), "key")
-    large = facts.join(lookups.as_lookup(dim, max_rows=2), "key")
-    assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 500
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    # Beyond the bounds there is no hint: Spark's own thresholds decide, so without any of those the large one is not broadcast.
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in thresholds:
+            spark.conf.set(name, "-1")
+        small = facts.join(lookups.as_lookup(dim), "key")
+        large = facts.join(lookups.as_lookup(dim, max_rows=2), "key")
+        assert sorted(small.collect()) == sorted(large.collect()) and small.count() == 500
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in thresholds:
+            spark.conf.unset(name)
 
 
 def test_truncation_keeps_patients_without_anchor(spark):
