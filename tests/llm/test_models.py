@@ -60,6 +60,13 @@ def test_model_is_a_distribution(spark):
     assert abs(total + unseen - 1) < 1e-6
 
 
+def test_the_23_most_frequent_words_have_classes_of_their_own():
+    """The softmax chooses among 48 classes: 23 words, the end, 24 groups of all other words."""
+    words = [b"w%d" % i for i in range(23)]
+    _, cls, _, _ = next(langmodel.Coder(words[:langmodel.TOP]).batches([b" ".join(words)]))
+    assert cls[:-1].tolist() == list(range(23)) and langmodel.CLASSES == 48
+
+
 def test_words_are_found_and_hashed_alike_everywhere():
     rng = np.random.default_rng(2)
     texts = [b"", b" ", b"a", b"\xc3\xa9 ab\x0b\x1cc  d\r\n", b"x" * (langmodel.PIECE + 5) + b" y x", b"end ", b" lead"]
