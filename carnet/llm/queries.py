@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnet.llm import chat, decontam, langmodel, mixing, neighbours, pii, simhash, tokencount, toxicity, urlfilter
+from carnet.llm import chat, decontam, langmodel, merkle, mixing, neighbours, pii, simhash, tokencount, toxicity, urlfilter
 from carnet.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,3 +184,37 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_hit = decontam.n_hit(F.col("found"))
     return found.select("doc_id", "found.n_words", n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def merkle_sql(source_levels: int = 6, top_levels: int = 5) -> str:
+    """The manifest level by level: ``a`` holds the leaves with what they fold to, ``s`` and ``t`` the nodes of each level. A tree that has come to one node stays as it is."""
+    def h(x: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || {x}, '-')"
+
+    bits = "list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"xor(list_reduce({bits}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+    head = " || ".join(h(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    ctes = [f"""leafs AS (SELECT *, sha256({head} || {h('text')}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {h("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered FROM documents)""",
+            "s0 AS MATERIALIZED (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS node, doc_id, leaf, tampered FROM leafs)",
+            "a0 AS (SELECT doc_id, g, i, leaf, coalesce(tampered, leaf) AS folded, '' AS proof FROM s0)"]
+
+    def climb(name: str, levels: int, key: str) -> None:
+        for k in range(levels):
+            ctes.append(f"{name}r{k} AS (SELECT g, i // 16 AS run, list(node ORDER BY i) AS nodes, any_value(total) AS total FROM (SELECT g, i, node, count(*) OVER (PARTITION BY g) AS total FROM {name}{k}) GROUP BY g, i // 16)")
+            ctes.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, run AS i, CASE WHEN total = 1 THEN nodes[1] ELSE sha256(array_to_string(nodes, '')) END AS node FROM {name}r{k})")
+            left, right = "array_to_string(nodes[1:i % 16], '')", "array_to_string(nodes[i % 16 + 2:], '')"
+            ctes.append(f"""{key}{k + 1} AS (SELECT a.* REPLACE (i // 16 AS i, CASE WHEN total = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded, CASE WHEN total = 1 THEN proof ELSE proof || {left} || {right} END AS proof)
+                FROM {key}{k} a JOIN {name}r{k} r ON a.g IS NOT DISTINCT FROM r.g AND a.i // 16 = r.run)""")
+
+    climb("s", source_levels, "a")
+    ctes.append(f"t0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS i, node, g AS name FROM s{source_levels})")
+    ctes.append(f"b0 AS (SELECT a.doc_id, 0 AS g, t0.i, a.leaf, t0.node AS subroot, a.folded, a.proof FROM a{source_levels} a JOIN t0 ON a.g IS NOT DISTINCT FROM t0.name)")
+    climb("t", top_levels, "b")
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = node AS verified FROM b{top_levels}, t{top_levels}"
+
+
+@query("op12_manifest", merkle_sql())
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verdict of every document."""
+    docs = read(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    return merkle.manifest(docs).proofs().select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
