@@ -38,7 +38,7 @@ from carnet.session import cut_lineage
 FAN, HEIGHT = 16, 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPER = 5
-PAGE = "tree long, block long, leaves long, height int, nodes binary, root string"
+PAGE = "tree long, block long, n long, leaves long, height int, nodes binary, root string"
 PROOF = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, source string, leaf_no long"
 
 
@@ -153,7 +153,7 @@ def _builder(height: int):
         leaves, whole = table.column("hash").to_pylist(), table.column("n")[0].as_py()
         tall = tree_height(whole) if whole <= FAN ** height else height
         log = build(leaves, tall)
-        return pa.table({"tree": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()), "leaves": pa.array([len(leaves)], pa.int64()),
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([whole], pa.int64()), "leaves": pa.array([len(leaves)], pa.int64()),
                          "height": pa.array([tall], pa.int32()), "nodes": pa.array([pack(log)], pa.binary()), "root": [log[-1]]})
 
     return make
@@ -167,7 +167,7 @@ def tiers(nodes: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     most = nodes.agg(F.max("n")).first()[0] or 0
     while most:
         blocks = nodes.withColumn("block", (F.col("i") / span).cast("long"))
-        pages = cut_lineage(blocks.groupBy("tree", "block").applyInArrow(_builder(height), PAGE).join(_sizes(nodes), "tree"))
+        pages = cut_lineage(blocks.groupBy("tree", "block").applyInArrow(_builder(height), PAGE))
         out.append(pages)
         if most <= span:
             break
@@ -176,10 +176,6 @@ def tiers(nodes: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     return out
 
 
-def _sizes(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("tree").agg(F.max("n").alias("n"))
-
-
 @dataclass(frozen=True)
 class Manifest:
     """Trees of a dataset. ``leaves``: rows (tree, i, n, source, doc_id, leaf, tampered); ``pages``: the tiers of the sources' trees; ``top``: those of the tree

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carnet.llm import chat, decontam, langmodel, merkle, mixing, neighbours, pii, simhash, tokencount, toxicity, urlfilter
+from carnet.llm import centroids, chat, decontam, langid, langmodel, merkle, mixing, neighbours, pii, simhash, tokencount, toxicity, urlfilter
 from carnet.llm.common import fold, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +186,16 @@ def op10_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+@query("op11_langid")
+def op11_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; rows of the held-out fold teach nothing."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.where(~held).select("text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), model, "found")
+    return found.select("doc_id", held.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score", "found.second", "found.ambiguous")
+
+
 def merkle_sql(source_levels: int = 6, top_levels: int = 5) -> str:
     """The manifest level by level: ``a`` holds the leaves with what they fold to, ``s`` and ``t`` the nodes of each level. A tree that has come to one node stays as it is."""
     def h(x: str) -> str:
@@ -218,3 +228,27 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof and verdict of every document."""
     docs = read(spark, sf_dir, "documents").select(*merkle.FIELDS)
     return merkle.manifest(docs).proofs().select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every distance of every round, in integers; the nearest centroid is a minimum of (distance, number)."""
+    ctes = ["""kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+            "rows AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM kept)",
+            f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS j, v AS c FROM rows QUALIFY j < {k})"]
+    for n in range(rounds + 1):
+        gap = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, min({{'d': CAST({gap} AS BIGINT), 'j': j}}) AS best FROM rows, c{n} GROUP BY r)")
+        if n < rounds:
+            ctes.append(f"""m{n} AS (SELECT j, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT best.j AS j, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS n
+                FROM a{n} JOIN (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM rows) USING (r) GROUP BY best.j, i) GROUP BY j)""")
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT o.j, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN m{n} m USING (j))")
+    return f"""WITH {', '.join(ctes)}, found AS (SELECT r, best.j AS j, best.d AS d FROM a{rounds})
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM found JOIN rows USING (r) JOIN c{rounds} USING (j)"""
+
+
+@query("op13_centroids", centroids_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds, with sums of distances and the centroid's digest."""
+    return centroids.described(centroids.cluster(read(spark, sf_dir, "embeddings")))
