@@ -3,10 +3,14 @@
 A small dictionary is part of the plan, so the text is rewritten where it is read. With a larger one the distinct words of
 each note are joined with it, the few hits are gathered per note, and the note is rewritten from its own small hit map.
 A broadcast dictionary moves no word of the corpus; one beyond the bounds of ``lookups`` moves the distinct words of each note.
+
+Occurrences, spans and replacements of words and phrases come from one pass of an automaton over the note (``automaton``), however many entries there are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 from carnet import constants as K
 from carnet.functions import text as T
 from carnet.lookups import one_value, replace_tokens, small_entries, with_strategy
+from carnet.operators import automaton as A
 from carnet.session import cut_lineage
 
 BATCH_SPLIT = "[ /,.-]"
@@ -47,68 +52,31 @@ def correct_tokens(notes: DataFrame, keys: list[str], text: str, dictionary: Dat
     return fixed.select(*keys, F.concat(F.array_join("__fixed", " "), F.lit(" ")).alias(alias))
 
 
-APOSTROPHE_GUARD = r"(?!['’])"
-BOUNDED_WORDS = rf"(?U)\b\w+\b{APOSTROPHE_GUARD}"
-
-
-def bounded_words(c: Column) -> Column:
-    """Lower-case whole words not followed by an apostrophe."""
-    return F.regexp_extract_all(F.lower(c), F.lit(BOUNDED_WORDS), F.lit(0))
-
-
-def word_occurrences(notes: DataFrame, keys: list[str], words: Column, dictionary: DataFrame, *carry: str) -> DataFrame:
-    """Number of occurrences of each dictionary word in each note (key, value, further columns ``carry`` of the dictionary, occ)."""
-    long = notes.select(*keys, F.explode(words).alias("key"))
-    return long.join(dictionary.select(*carry, "key", "value"), "key").groupBy(*keys, *carry, "key", "value").agg(F.count("*").alias("occ"))
+def with_patterns(dictionary: DataFrame, ignore_case: bool = True, guard: bool = True) -> DataFrame:
+    """The dictionary with what the automaton looks for: a word looked for as written (``ignore_case`` False) may stand before an apostrophe, other entries may not."""
+    plain = F.col("key").rlike(rf"^[{T.WORD}]+$")
+    return dictionary.withColumn("cased", F.lit(not ignore_case)).withColumn("guard", F.lit(guard) & (F.lit(ignore_case) | ~plain))
 
 
-def phrase_pattern(source: Column, ignore_case: bool = True) -> Column:
-    """Pattern of a dictionary entry: any white space between its words, no apostrophe after it, and word boundaries
-    when it has several words or is word-like."""
-    parts = F.transform(T.space_tokens(T.squeeze(source)), T.quote_regex)
-    core = F.array_join(parts, r"\s+")
-    bounded = (F.size(parts) > 1) | ~source.rlike(rf"[^0-9{T.LETTERS}_\-]")
-    edge = F.when(bounded, F.lit(r"\b")).otherwise(F.lit(""))
-    return F.concat(F.lit("(?iU)" if ignore_case else "(?U)"), edge, core, edge, F.lit(APOSTROPHE_GUARD))
+def occurrences(notes: DataFrame, keys: list[str], text: str, entries: DataFrame, *carry: str) -> DataFrame:
+    """Occurrences of each entry (stored; key, value, cased, guard and the columns ``carry``) in each note, from one pass over the notes."""
+    hits = A.count(notes.select(*keys, text), text, entries, "__hits").select(*keys, F.explode("__hits").alias("h"))
+    hits = hits.groupBy(*keys, "h.key", "h.cased", "h.guard").agg(F.sum("h.occ").alias("occ"))
+    return hits.join(entries.select(*carry, "key", "value", "cased", "guard"), ["key", "cased", "guard"]).select(*keys, *carry, "key", "value", "occ")
 
 
 def phrase_occurrences(notes: DataFrame, keys: list[str], text: str, phrases: DataFrame, ignore_case: bool = True, *carry: str) -> DataFrame:
-    """Occurrences of each phrase in each note. A note meets a phrase when it holds its first two words side by side (its first word, if it
-    has no other), so phrases with a common beginning do not all meet every note. The phrases met are gathered per note and
-    counted there, so a text is read once however many phrases it meets."""
-    start = F.array_join(F.slice(T.plain_words(F.lower("key")), 1, 2), " ")
-    first = phrases.select(*carry, "key", "value", start.alias("__w"))
-    words = T.plain_words(F.lower(text))
-    # Through an array of one the words of a note are cut out once.
-    met = F.transform(F.array(words), lambda w: F.array_distinct(F.concat(w, F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))))[0]
-    met = notes.select(*keys, F.explode(met).alias("__w")).where(F.col("__w").isNotNull()).join(first, "__w")
-    met = met.groupBy(*keys).agg(F.collect_list(F.struct(*carry, "key", "value")).alias("__p"))
-    counted = F.transform("__p", lambda p: F.struct(*[p[c].alias(c) for c in (*carry, "key", "value")], F.regexp_count(F.col(text), phrase_pattern(p["key"], ignore_case)).cast("long").alias("occ")))
-    rows = notes.select(*keys, text).join(met, keys).select(*keys, F.explode(F.filter(counted, lambda c: c["occ"] > 0)).alias("c"))
-    return rows.select(*keys, *[f"c.{c}" for c in carry], "c.key", "c.value", "c.occ")
-
-
-def entry_occurrences(notes: DataFrame, keys: list[str], text: str, words: Column, dictionary: DataFrame, ignore_case: bool = True, *carry: str) -> DataFrame:
-    """Occurrences of dictionary entries: plain words by equality, entries with other characters by their pattern."""
-    plain = F.col("key").rlike(rf"^[{T.WORD}]+$")
-    found = word_occurrences(notes, keys, words, dictionary.where(plain), *carry)
-    others = dictionary.where(~plain)
-    return found if others.isEmpty() else found.unionByName(phrase_occurrences(notes, keys, text, others, ignore_case, *carry))
-
-
-def apply_pairs(text: Column, pairs: Column) -> Column:
-    """Apply (src, dst) pairs to a text, longest source first, then normalise time units."""
-    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct((-F.length(p["src"])).alias("k"), p["src"].alias("src"), p["dst"].alias("dst"))))
-    done = F.aggregate(ordered, text, lambda out, p: F.regexp_replace(out, phrase_pattern(p["src"]), T.quote_replacement(p["dst"])))
-    return T.time_units(done)
+    """Occurrences of each phrase of a stored dictionary in each note."""
+    return occurrences(notes, keys, text, with_patterns(phrases, ignore_case), *carry)
 
 
 def apply_corrections(notes: DataFrame, keys: list[str], text: str, suggestions: DataFrame) -> DataFrame:
-    """Corrected text of every note; ``suggestions`` has the note keys, key (source) and value (replacement)."""
+    """Corrected text of every note; ``suggestions`` has the note keys, key (source) and value (replacement). Longest sources are applied first, each
+    to what the earlier ones left, then time units are normalised."""
     pairs = suggestions.where((F.col("key") != "") & (F.col("value") != "")).groupBy(*keys).agg(
-        F.collect_list(F.struct(F.col("key").alias("src"), F.col("value").alias("dst"))).alias("pairs"))
+        F.collect_set(F.struct(F.col("key").alias("src"), F.col("value").alias("dst"))).alias("pairs"))
     rows = notes.select(*keys, text).join(pairs, keys, "left")
-    return rows.select(*keys, F.when(F.col("pairs").isNull(), T.time_units(F.col(text))).otherwise(apply_pairs(F.col(text), F.col("pairs"))).alias("corrected"))
+    return rows.select(*keys, T.time_units(A.rewrite(F.col(text), F.col("pairs"))).alias("corrected"))
 
 
 def annotate_abbreviations(notes: DataFrame, keys: list[str], text: str, choices: DataFrame) -> DataFrame:
@@ -118,20 +86,45 @@ def annotate_abbreviations(notes: DataFrame, keys: list[str], text: str, choices
     token = lambda p: F.concat(F.lit(r"(?U)\b"), T.quote_regex(p["key"]), F.lit(r"\b"))
     bare = F.aggregate("picked", F.col(text), lambda out, p: F.regexp_replace(
         out, F.concat(token(p), F.lit(r"\s*\[\s*[^]\r\n]*?\s*\]")), T.quote_replacement(p["key"])))
-    noted = F.aggregate("picked", bare, lambda out, p: F.regexp_replace(
-        out, token(p), T.quote_replacement(F.concat(p["key"], F.lit(" ["), p["value"], F.lit("]")))))
-    return rows.select(*keys, F.coalesce(noted, F.col(text)).alias("annotated"))
+    bare = F.when(F.contains(F.col(text), F.lit("[")), bare).otherwise(F.col(text))
+    pairs = F.transform("picked", lambda p: F.struct(p["key"].alias("src"), F.concat(p["key"], F.lit(" ["), p["value"], F.lit("]")).alias("dst")))
+    return rows.select(*keys, A.rewrite(bare, pairs, cased=True, guard=False, in_order=True).alias("annotated"))
+
 
+def match_spans(notes: DataFrame, keys: list[str], text: str, dictionary: DataFrame, guard: bool = False) -> DataFrame:
+    """Character spans of the words and phrases of a stored dictionary: start, end (exclusive) and matched text; overlapping ones are all given."""
+    entries = with_patterns(dictionary.select("key", "value")).withColumn("guard", F.lit(guard))
+    found = A.find(notes.select(*keys, text), text, entries, "__spans").select(*keys, F.explode("__spans").alias("s"))
+    return found.select(*keys, "s.start", "s.end", "s.matched", "s.key").join(dictionary.select("key", "value"), "key").select(*keys, "start", "end", "matched", "key", "value")
 
-def match_spans(notes: DataFrame, keys: list[str], text: str, dictionary: DataFrame) -> DataFrame:
-    """Character spans of dictionary words: start, end (exclusive) and matched text. Offsets are summed up inside the note, over its words and what
-    stands between them; only the words leave it, each with its span, and meet the dictionary."""
-    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"[{T.WORD}]+|[^{T.WORD}]+"), F.lit(0))
-    spans = F.aggregate(pieces, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start: long, piece: string>>").alias("out")), lambda acc, p: F.struct(
-        (acc["at"] + F.length(p)).alias("at"), F.when(p.rlike(rf"^[{T.WORD}]"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), p.alias("piece")))).otherwise(acc["out"]).alias("out")))["out"]
-    long = notes.select(*keys, F.explode(spans).alias("s")).select(*keys, "s.start", (F.col("s.start") + F.length("s.piece")).alias("end"), F.col("s.piece").alias("matched"))
-    joined = long.join(dictionary.select("key", "value"), F.lower("matched") == F.col("key"))
-    return joined.select(*keys, "start", "end", "matched", "key", "value")
+
+def family_entries(suggestions: DataFrame) -> DataFrame:
+    """What is looked for of each suggestion: abbreviations in capitals as written, all others in any case; an apostrophe may follow only sources with other
+    characters than those of words."""
+    source = F.trim("token_source")
+    cased = F.col("family").isin("ABBREV_SURE", "ABBREV_AMBIGU", "ABBREV_CANDIDATE") & (F.upper(source) == source) & source.rlike(r"\p{L}")
+    wordish = source.rlike(rf"\s|^[0-9{T.LETTERS}_\-]+$")
+    return suggestions.withColumn("__source", F.struct(source.alias("key"), cased.alias("cased"), wordish.alias("guard")))
+
+
+def family_spans(notes: DataFrame, keys: list[str], text: str, suggestions: DataFrame) -> DataFrame:
+    """Where the suggestions selected for each note (keys, family, token_source, match, is_auto) stand in it: start, end, matched text, family, token_source,
+    match, is_auto. Spans do not overlap: the longest source wins, then the left one. Suggestions of one source share its spans, one row each."""
+    facts = F.struct("family", "token_source", "match", "is_auto")
+    picked = family_entries(suggestions).groupBy(*keys, "__source").agg(F.array_sort(F.collect_set(facts)).alias("facts"))
+    picked = picked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("__source.key").alias("key"), F.col("__source.cased").alias("cased"), F.col("__source.guard").alias("guard"), "facts"))).alias("picked"))
+    rows = notes.select(*keys, text).join(picked, keys)
+    sources = F.transform("picked", lambda p: F.struct(p["key"].alias("key"), p["cased"].alias("cased"), p["guard"].alias("guard")))
+    spans = rows.select(*keys, "picked", F.explode(A.choose_spans(F.col(text), sources)).alias("s"))
+    named = spans.select(*keys, "s.start", "s.end", "s.matched", F.explode(F.get("picked", F.col("s.nth"))["facts"]).alias("f"))
+    return named.select(*keys, "start", "end", "matched", "f.*")
+
+
+def applied_spans(corrected: DataFrame, keys: list[str], text: str, suggestions: DataFrame) -> DataFrame:
+    """Where the replacements of applied suggestions stand in the corrected text, settled the same way by the length of the replacement."""
+    written = suggestions.where(F.trim("match") != "").select(*keys, F.lit("").alias("family"), F.col("match").alias("token_source"), F.struct("family", "token_source").alias("match"), "is_auto")
+    found = family_spans(corrected, keys, text, written)
+    return found.select(*keys, "start", "end", "matched", "match.family", "match.token_source", F.col("token_source").alias("match"), "is_auto")
 
 
 def noise_counts(notes: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -140,17 +133,13 @@ def noise_counts(notes: DataFrame, keys: list[str], text: str) -> DataFrame:
     return notes.select(*keys, F.explode(noise).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("occ"))
 
 
-def ambiguous_occurrences(notes: DataFrame, keys: list[str], text: str, ambiguous: DataFrame) -> DataFrame:
-    """Ambiguous abbreviations by written form: capitals first, else title case up to four letters, else a white-listed lower form."""
+def ambiguous_forms(ambiguous: DataFrame) -> DataFrame:
+    """Written forms of ambiguous abbreviations (key, note, prio, form): capitals first, else title case up to four letters, else a white-listed lower form."""
     forms = ambiguous.select("key", F.array_join("expansions", " / ").alias("note"), F.explode(F.array(
         F.struct(F.lit(1).alias("prio"), F.col("key").alias("form")),
         F.struct(F.lit(2).alias("prio"), F.when(F.length("key") <= 4, F.initcap(F.lower("key"))).alias("form")),
         F.struct(F.lit(3).alias("prio"), F.when(F.lower("key").isin(*K.LOWER_MATCH_WHITELIST), F.lower("key")).alias("form")))).alias("f"))
-    forms = forms.select("key", "note", "f.prio", "f.form").where(F.col("form").isNotNull())
-    words = notes.select(*keys, F.explode(T.plain_words(F.col(text))).alias("form"))
-    counted = words.join(forms, "form").groupBy(*keys, "key", "note", "prio", "form").agg(F.count("*").alias("occ"))
-    best = counted.groupBy(*keys, "key", "note").agg(F.min(F.struct("prio", "form", "occ")).alias("b"))
-    return best.select(*keys, F.col("b.form").alias("token_source"), F.col("b.occ").alias("occ"), "note")
+    return forms.select("key", "note", "f.prio", "f.form").where(F.col("form").isNotNull())
 
 
 # Families that a list of suggestions can bring along; MANUAL_DICT goes to the dictionary families.
@@ -171,39 +160,46 @@ def patient_suggestions(notes: DataFrame, keys: list[str], text: str, dictionary
                         ambiguous: DataFrame, enabled: tuple[str, ...], listed: DataFrame | None = None) -> DataFrame:
     """Every enabled family with an occurrence in the note: one row per (note, family, source, match).
 
-    Words of all families are looked up together: the dictionary, the phrases and the ``listed`` suggestions are one table with a family
-    column, so a note's words leave it once. Abbreviations and artefacts look at words as written."""
+    All families are looked for together: the dictionary, phrases, ``listed`` suggestions, abbreviations and artefacts are one table with a family column, and one
+    automaton finds them in one pass. Abbreviations are looked for as written."""
     unknown = sorted(set(enabled) - set(K.FAMILIES) - {"MANUAL_DICT"})
     if unknown:
         raise ValueError(f"unknown families {unknown}")
     none = F.lit(None).cast("string")
     shape = lambda df, family, source, match, note=none: df.select(
         *keys, family.alias("family"), source.alias("token_source"), match.alias("match"), F.col("occ").alias("patient_occ"), note.alias("note"))
+    whole = lambda df, family, ignore_case=True: with_patterns(df, ignore_case).select(
+        family.alias("family"), "key", "value", "cased", "guard", none.alias("base"), none.alias("note"), F.lit(0).alias("prio"))
     entries = []
     if "DICT" in enabled:
-        entries.append(dictionary.select(F.lit("DICT").alias("family"), "key", "value"))
+        entries.append(whole(dictionary.select("key", "value"), F.lit("DICT")))
     if "PHRASE_DICT" in enabled:
-        entries.append(phrases.select(F.lit("PHRASE_DICT").alias("family"), "key", "value"))
+        entries.append(whole(phrases.select("key", "value"), F.lit("PHRASE_DICT")))
     if listed is not None and set(enabled) & set(LISTED):
-        entries.append(listed_entries(listed, enabled))
-    parts = []
-    if entries:
-        together = entries[0]
-        for more in entries[1:]:
-            together = together.unionByName(more)
-        together = with_strategy(cut_lineage(together.distinct()))
-        parts.append(shape(entry_occurrences(notes, keys, text, bounded_words(F.col(text)), together, True, "family"), F.col("family"), F.col("key"), F.col("value")))
+        entries.append(whole(listed_entries(listed, enabled), F.col("family")))
     if "ABBREV_SURE" in enabled:
-        parts.append(shape(entry_occurrences(notes, keys, text, T.plain_words(F.col(text)), sure, ignore_case=False), F.lit("ABBREV_SURE"), F.col("key"), F.col("value")))
+        entries.append(whole(sure.select("key", "value"), F.lit("ABBREV_SURE"), ignore_case=False))
     if "ABBREV_AMBIGU" in enabled:
-        parts.append(shape(ambiguous_occurrences(notes, keys, text, ambiguous), F.lit("ABBREV_AMBIGU"), F.col("token_source"), F.lit(""),
-                           F.concat(F.lit("Possibles : "), F.col("note"))))
+        forms = ambiguous_forms(ambiguous).select(F.lit("ABBREV_AMBIGU").alias("family"), F.col("form").alias("key"), F.lit("").alias("value"), F.lit(True).alias("cased"), F.lit(False).alias("guard"),
+                                                  F.col("key").alias("base"), F.concat(F.lit("Possibles : "), F.col("note")).alias("note"), "prio")
+        entries.append(forms)
+    if "NOISE" in enabled:
+        noise = notes.sparkSession.createDataFrame([(t,) for t in K.NOISE_TOKENS], "key string")
+        entries.append(noise.select(F.lit("NOISE").alias("family"), "key", F.lit("").alias("value"), F.lit(False).alias("cased"), F.lit(False).alias("guard"), none.alias("base"),
+                                    F.lit("Artefact ETL (valeur manquante) – à ignorer").alias("note"), F.lit(0).alias("prio")))
+    parts = []
+    if entries:
+        together = with_strategy(cut_lineage(reduce(DataFrame.unionByName, entries).distinct()))
+        found = occurrences(notes, keys, text, together, "family", "base", "note", "prio")
+        if "ABBREV_AMBIGU" in enabled:  # of the forms of an abbreviation the first that the note has
+            first = found.where("base IS NOT NULL").groupBy(*keys, "base", "note").agg(F.min(F.struct("prio", "key", "occ")).alias("b"))
+            parts.append(shape(first.withColumn("occ", F.col("b.occ")), F.lit("ABBREV_AMBIGU"), F.col("b.key"), F.lit(""), F.col("note")))
+            found = found.where("base IS NULL")
+        parts.append(shape(found, F.col("family"), F.col("key"), F.col("value"), F.col("note")))
     if "INTENSITY" in enabled:
         found = F.regexp_extract_all(F.col(text), F.lit(T.INTENSITY_TEXT), F.lit(0))
         counted = notes.select(*keys, F.explode(found).alias("tok")).groupBy(*keys, "tok").agg(F.count("*").alias("occ"))
         parts.append(shape(counted, F.lit("INTENSITY"), F.col("tok"), T.intensity_text(F.col("tok"))))
-    if "NOISE" in enabled:
-        parts.append(shape(noise_counts(notes, keys, text), F.lit("NOISE"), F.col("token"), F.lit(""), F.lit("Artefact ETL (valeur manquante) – à ignorer")))
     if not parts:
         parts.append(shape(notes.where(F.lit(False)).withColumn("occ", F.lit(0).cast("long")), none, none, none))
     out = parts[0]

@@ -9,7 +9,7 @@ from carnet.operators import abbrev as A
 from carnet.operators import correct as C
 from carnet.plans import inputs as I
 from carnet.plans import sqlparts as S
-from carnet.plans.vocabulary import SQL_ALL, SQL_SPELL, all_suggestions, spell_dictionary
+from carnet.plans.vocabulary import SQL_ALL, SQL_SPELL, all_suggestions, spell_dictionary, stored_suggestions
 from carnet.registry import query, table
 
 SQL_UNESCAPE = "replace(replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
@@ -149,7 +149,7 @@ SQL_BOUNDED = rf"list_filter(regexp_extract_all(lower(text), '[{S.W}]+[''’]?')
     WITH {I.SQL_REFERENCE}, {I.SQL_DICTIONARY}
     SELECT doc_id, key, value, count(*) AS occ FROM (SELECT doc_id, unnest({SQL_BOUNDED}) AS key FROM documents) JOIN dict USING (key) GROUP BY ALL""")
 def corr_occ(spark, d):
-    return C.word_occurrences(table(spark, d, "documents"), ["doc_id"], C.bounded_words(F.col("text")), as_lookup(I.correction_dictionary(spark, d)))
+    return C.occurrences(table(spark, d, "documents"), ["doc_id"], "text", C.with_patterns(as_lookup(I.correction_dictionary(spark, d))))
 
 
 SQL_PHRASE_COUNTS = rf"""
@@ -204,9 +204,8 @@ SQL_PHRASE_HITS = rf"""
 def corr_apply(spark, d):
     """Words and phrases of both dictionaries applied to every document that holds them."""
     docs = table(spark, d, "documents")
-    words = C.word_occurrences(docs, ["doc_id"], C.bounded_words(F.col("text")), as_lookup(I.correction_dictionary(spark, d)))
-    phrases = C.phrase_occurrences(docs, ["doc_id"], "text", as_lookup(I.phrase_dictionary(spark, d)))
-    return C.apply_corrections(docs, ["doc_id"], "text", words.unionByName(phrases))
+    entries = as_lookup(I.correction_dictionary(spark, d).unionByName(I.phrase_dictionary(spark, d)))
+    return C.apply_corrections(docs, ["doc_id"], "text", C.occurrences(docs, ["doc_id"], "text", C.with_patterns(entries)))
 
 
 @query("corr_patient_sug", SQL_ALL + rf""", {I.SQL_PHRASES}, {SQL_PHRASE_COUNTS},
@@ -232,7 +231,7 @@ def corr_patient_sug(spark, d):
     """Every family, with the suggestions on the vocabulary as the listed ones."""
     sure, ambiguous = I.abbreviations(spark, d)
     found = C.patient_suggestions(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.correction_dictionary(spark, d)), I.phrase_dictionary(spark, d),
-                                  sure, ambiguous, (*K.FAMILIES, "MANUAL_DICT"), all_suggestions(spark, d))
+                                  sure, ambiguous, (*K.FAMILIES, "MANUAL_DICT"), stored_suggestions(spark, d))
     return C.in_reading_order(found, ["doc_id"])
 
 
@@ -252,8 +251,8 @@ def corr_family_select(spark, d):
 def abbr_annotate(spark, d):
     """The first expansion of every ambiguous abbreviation is written after it."""
     docs = table(spark, d, "documents")
-    first = I.abbreviations(spark, d)[1].select("key", F.get("expansions", F.lit(0)).alias("value"))
-    met = C.word_occurrences(docs, ["doc_id"], F.array_distinct(T.plain_words(F.col("text"))), first)
+    first = as_lookup(I.abbreviations(spark, d)[1].select("key", F.get("expansions", F.lit(0)).alias("value")))
+    met = C.occurrences(docs, ["doc_id"], "text", C.with_patterns(first, ignore_case=False))
     return C.annotate_abbreviations(docs, ["doc_id"], "text", met)
 
 
@@ -266,6 +265,21 @@ def match_spans(spark, d):
     return C.match_spans(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.correction_dictionary(spark, d)))
 
 
+@query("match_spans_phrase", rf"""
+    WITH {I.SQL_PHRASES},
+    p AS (SELECT doc_id, u.piece, u.pos FROM documents, unnest(regexp_extract_all(text, '[{S.W}]+|[^{S.W}]+')) WITH ORDINALITY AS u(piece, pos)),
+    o AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS upto FROM p),
+    g AS (SELECT doc_id, pos, upto - length(piece) AS start, lower(piece) AS a, lead(piece, 1) OVER w AS sep, lower(lead(piece, 2) OVER w) AS b, lead(upto, 2) OVER w AS "end", coalesce(lead(piece, 3) OVER w, '') AS nxt
+          FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    h AS (SELECT *, pos - 2 * row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS run FROM g JOIN phrases ON key = a || ' ' || b
+          WHERE regexp_matches(sep, '^{S.SP}+$') AND NOT regexp_matches(nxt, '^[''’]')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key, run ORDER BY pos) AS nth FROM h)
+    SELECT doc_id, start, "end", substr(text, start + 1, "end" - start) AS matched, key, value FROM k JOIN documents USING (doc_id) WHERE nth % 2 = 1""")
+def match_spans_phrase(spark, d):
+    """Every place of every phrase; occurrences of one phrase do not overlap."""
+    return C.match_spans(table(spark, d, "documents"), ["doc_id"], "text", as_lookup(I.phrase_dictionary(spark, d)), guard=True)
+
+
 @query("noise_count", rf"""
     SELECT doc_id, lower(t) AS token, count(*) AS occ FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' the ', ' None '), '[{S.W}]+')) AS t FROM documents)
     WHERE lower(t) IN ('nan', 'none', 'null') GROUP BY ALL""")

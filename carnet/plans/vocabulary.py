@@ -10,7 +10,7 @@ from carnet.operators import vocab as V
 from carnet.plans import inputs as I
 from carnet.plans import sqlparts as S
 from carnet.registry import query, table
-from carnet.session import cut_lineage
+from carnet.session import cut_lineage, work_path
 
 
 @query("vocab_count", f"SELECT t AS token, count(*) AS n FROM (SELECT unnest({S.tokens('text')}) AS t FROM documents) GROUP BY t")
@@ -241,6 +241,18 @@ def all_suggestions(spark, d):
 
 query("sug_all", SQL_ALL + "SELECT * FROM allsug")(all_suggestions)
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_suggestions(spark, d):
+    """The suggestions as a written table, made once per application and folder: what works on notes reads it, as a review session does."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        path = work_path(spark, "suggestions")
+        all_suggestions(spark, d).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
 
 @query("sug_rejected", SQL_ALL + "SELECT token_source, count FROM allsug WHERE category = 'REJECTED'")
 def sug_rejected(spark, d):

@@ -51,10 +51,10 @@ def test_phrase_occurrences_and_guard(spark):
 def test_entries_with_other_characters_are_counted(spark):
     notes = spark.createDataFrame([(1, "5-FU puis 5-fu, contre-indication et s. f. vu")], "id int, text string")
     entries = spark.createDataFrame([("5-FU", "fluoro"), ("puis", "ensuite")], "key string, value string")
-    cased = C.entry_occurrences(notes, ["id"], "text", T.plain_words(F.col("text")), entries, ignore_case=False)
+    cased = C.occurrences(notes, ["id"], "text", C.with_patterns(entries, ignore_case=False))
     assert {(r["key"], r["occ"]) for r in cased.collect()} == {("5-FU", 1), ("puis", 1)}
     entries = spark.createDataFrame([("contre-indication", "CI"), ("5-fu", "fluoro")], "key string, value string")
-    lower = C.entry_occurrences(notes, ["id"], "text", C.bounded_words(F.col("text")), entries)
+    lower = C.occurrences(notes, ["id"], "text", C.with_patterns(entries))
     assert {(r["key"], r["occ"]) for r in lower.collect()} == {("contre-indication", 1), ("5-fu", 2)}
 
 
@@ -102,7 +102,9 @@ def test_accept_key(spark):
 def test_ambiguous_forms(spark):
     amb = spark.createDataFrame([("EC", ["échographie", "examen clinique"]), ("SF", ["sage-femme"]), ("TONO", ["tonus"])], "key string, expansions array<string>")
     notes = spark.createDataFrame([(1, "Ec fait, EC refait"), (2, "Ec vu"), (3, "sf ok ec"), (4, "tono")], "id int, text string")
-    got = {(r["id"], r["token_source"], r["occ"]) for r in C.ambiguous_occurrences(notes, ["id"], "text", amb).collect()}
+    none = spark.createDataFrame([], "key string, value string")
+    found = C.patient_suggestions(notes, ["id"], "text", none, none, none, amb, ("ABBREV_AMBIGU",))
+    got = {(r["id"], r["token_source"], r["patient_occ"]) for r in found.collect()}
     assert got == {(1, "EC", 1), (2, "Ec", 1), (3, "sf", 1)}
 
 
