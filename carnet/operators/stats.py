@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import math
 import sys
-from itertools import combinations
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +23,86 @@ from carnet.operators.ranking import with_global_rank
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def correlation_pairs(df: DataFrame, columns: list[str], block: int = 400) -> DataFrame:
-    """Pearson correlation of every pair of columns on their common non-null rows. Each block of pairs is one aggregate
-    over the wide rows; nothing is paired per row in a shuffle."""
-    pairs = list(combinations(columns, 2))
-    out = None
-    for at in range(0, len(pairs), block):
-        part = pairs[at:at + block]
-        row = df.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")).alias(f"p{i}") for i, (a, b) in enumerate(part)])
-        long = row.select(F.explode(F.array(*row.columns)).alias("p")).select(F.col("p.a").alias("feature_a"), F.col("p.b").alias("feature_b"), F.round("p.r", 6).alias("correlation"))
-        out = long if out is None else out.unionByName(long)
-    return out.orderBy(F.desc("correlation"), "feature_a", "feature_b")
+#: Columns of a block of the cross-products, and cells that one task of the merge adds up (6 x 64 x 64 doubles each).
+BLOCK, FAN = 64, 128
+_SUMS = ("n", "x", "y", "xx", "yy", "xy")
+CELLS = "left int, right int, part int, " + ", ".join(f"{n} array<double>" for n in _SUMS)
+
+
+def _cells(left: list[int], right: list[int], part: list[int], sums: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of ``CELLS``; each of ``sums`` is an array (sum, column, column)."""
+    columns = [pa.array([m[k].ravel() for m in sums], pa.list_(pa.float64())) for k in range(len(_SUMS))]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in (left, right, part)), *columns], ["left", "right", "part", *_SUMS])
+
+
+def _block_products(anchors: list[float]):
+    """Task: per pair of column blocks the sums of 1, x, y, x squared, y squared and xy over the rows where both columns have a value, as matrix products of
+    a batch. Values are taken from their column's anchor, so a large mean costs no digits."""
+    width, centre = len(anchors), np.array(anchors)
+    blocks = [slice(at, min(at + BLOCK, width)) for at in range(0, width, BLOCK)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            finite = np.isfinite(values)
+            x, here = np.where(finite, values - centre, 0.0), finite.astype(np.float64)
+            square = x * x
+            for i, a in enumerate(blocks):
+                for j, b in enumerate(blocks[i:], i):
+                    found = np.stack([u[:, a].T @ v[:, b] for u, v in ((here, here), (x, here), (here, x), (square, here), (here, square), (x, x))])
+                    total[i, j] = total[i, j] + found if (i, j) in total else found
+        if total:
+            part = TaskContext.get().partitionId() % FAN
+            for (i, j), sums in total.items():
+                yield _cells([i], [j], [part], [sums])
+
+    return run
+
+
+def _merge_cells(key, table):
+    """One cell of a group of cells."""
+    merged = np.stack([np.add.reduce([c.values.to_numpy() for c in table.column(n).combine_chunks()]) for n in _SUMS])
+    return pa.Table.from_batches([_cells([key[0].as_py()], [key[1].as_py()], [0], [merged])])
+
+
+def _correlate(columns: list[str]):
+    """Correlations of the pairs of a merged cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                first, second = row["left"] * BLOCK, row["right"] * BLOCK
+                size = min(BLOCK, len(columns) - second)
+                n, x, y, xx, yy, xy = (np.array(row[k]).reshape(-1, size) for k in _SUMS)
+                spread = np.clip(n * xx - x * x, 0, None) * np.clip(n * yy - y * y, 0, None)
+                # What is left of equal values after rounding is no variance.
+                varies = (n > 1) & (n * xx - x * x > 1e-12 * n * xx) & (n * yy - y * y > 1e-12 * n * yy)
+                r = np.clip((n * xy - x * y) / np.sqrt(np.where(varies, spread, 1.0)), -1, 1)
+                a, b = np.nonzero(np.arange(len(n))[:, None] + first < np.arange(size)[None, :] + second)
+                yield pa.RecordBatch.from_arrays([pa.array([columns[first + i] for i in a], pa.string()), pa.array([columns[second + i] for i in b], pa.string()), pa.array(r[a, b], mask=~varies[a, b])],
+                                                 ["feature_a", "feature_b", "correlation"])
+
+    return run
+
+
+def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of every pair of columns on their common values, in one scan of the table however many columns it has. Each task adds up the
+    cross-products of column blocks, one cell per pair of blocks, and cells are merged in two steps by pair of blocks. NaN and infinite values count
+    as missing; pairs whose common rows do not vary are NULL."""
+    numbers = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, correlation double")
+    usual = df.select(*numbers).limit(256).agg(*[F.avg(F.when(F.abs(f"c{i}") < float("inf"), F.col(f"c{i}"))).alias(f"c{i}") for i in range(len(columns))]).first()
+    anchors = [0.0 if v is None or not math.isfinite(v) else v for v in usual]
+    # A task's cells do not depend on its rows, so few tasks with many rows each send least.
+    wide = df.select(F.array(*numbers).alias("values")).coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    cells = wide.mapInArrow(_block_products(anchors), CELLS)
+    cells = cells.groupBy("left", "right", "part").applyInArrow(_merge_cells, CELLS).groupBy("left", "right").applyInArrow(_merge_cells, CELLS)
+    pairs = cells.mapInArrow(_correlate(list(columns)), "feature_a string, feature_b string, correlation double")
+    return pairs.withColumn("correlation", F.round("correlation", 6)).orderBy(F.desc("correlation"), "feature_a", "feature_b")
 
 
 def _per_feature(df: DataFrame, features: list[str], outcome: str, stats) -> DataFrame:
