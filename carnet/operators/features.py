@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,10 +77,73 @@ def patient_split(notes: DataFrame, patient: str, outcome: str) -> DataFrame:
 
 
 def fold_by_labels(df: DataFrame, labels: list[str], key: str, folds: int = 5) -> DataFrame:
-    """Fold number such that each combination of labels is spread evenly over the folds."""
-    combined = df.withColumn("__combo", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in labels]))
-    ranked = rank_in_hash_order(combined, ["__combo"], key)
-    return ranked.withColumn("fold", ((F.col("rank") - 1) % folds).cast("int")).drop("__combo", "rank", "group_size")
+    """Fold number such that each combination of labels is spread evenly over the folds. Combinations are dealt one after the other, each going on where the
+    last one ended, so that rare ones do not all land in the first fold. Only one count per combination is summed up in one place."""
+    combined = df.withColumn("__combo", F.struct(*labels))
+    before = W.orderBy("__combo").rowsBetween(W.unboundedPreceding, -1)
+    counts = combined.groupBy("__combo").agg(F.count("*").alias("__n")).select(F.col("__combo").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    ranked = rank_in_hash_order(combined, ["__combo"], key).join(counts, F.col("__combo").eqNullSafe(F.col("__c")))
+    return ranked.withColumn("fold", ((F.col("rank") - 1 + F.col("__start")) % folds).cast("int")).drop("__combo", "__c", "__start", "rank", "group_size")
+
+
+def stratified_plan(counts: dict[tuple, int], folds: int) -> dict[tuple, list[int]]:
+    """Rows of each combination of label values for each fold, by iterative stratification on counts alone: the (label, value) with the fewest rows left is dealt
+    first, each of its rows to the fold that still wants most rows of it, then most rows at all, then the first. Rows of one combination are alike, so they
+    are dealt in bulk: whole levels at once, the last ones singly."""
+    total = sum(counts.values())
+    of_value: dict[tuple, int] = {}
+    for combo, n in counts.items():
+        for at in enumerate(combo):
+            of_value[at] = of_value.get(at, 0) + n
+    wanted = {value: [n / folds] * folds for value, n in of_value.items()}
+    room = [total / folds] * folds
+    left, remaining = dict(counts), dict(of_value)
+    out = {combo: [0] * folds for combo in counts}
+    order = lambda v: (remaining[v], v[0], v[1] is not None, str(v[1]))
+    while open_ := [v for v, n in remaining.items() if n > 0]:
+        value = min(open_, key=order)
+        mine = sorted((c for c, n in left.items() if n and c[value[0]] == value[1]), key=lambda c: [(x is not None, str(x)) for x in c])
+        for combo in mine:
+            n, need = left.pop(combo), wanted[value]
+            given = [0] * folds
+            # Levels: as many rows to each fold as bring all down to one level, then the rest one by one.
+            level = _level(need, n)
+            for j in range(folds):
+                given[j] = max(0, int(need[j] - level))
+            for _ in range(n - sum(given)):
+                j = max(range(folds), key=lambda j: (need[j] - given[j], room[j] - given[j], -j))
+                given[j] += 1
+            for j, k in enumerate(given):
+                out[combo][j] += k
+                room[j] -= k
+                for at in enumerate(combo):
+                    wanted[at][j] -= k
+            for at in enumerate(combo):
+                remaining[at] -= n
+    return out
+
+
+def _level(need: list[float], n: int) -> float:
+    """A level such that taking the whole rows above it from every fold takes at most ``n``, and few are left over."""
+    high = sorted(need, reverse=True)
+    for j in range(len(high)):
+        level = (sum(high[:j + 1]) - n) / (j + 1)
+        if j + 1 == len(high) or level >= high[j + 1]:
+            return level + 1
+    return high[-1]
+
+
+def fold_iteratively(df: DataFrame, labels: list[str], key: str, folds: int = 5) -> DataFrame:
+    """Fold number by iterative stratification: every label's rows, and those of rare combinations, are spread over the folds as evenly as they go. The plan is made
+    from the counts of label combinations; each combination's rows fill its places in hash order of ``key``."""
+    combined = df.withColumn("__combo", F.struct(*[F.col(c).cast("string").alias(f"l{i}") for i, c in enumerate(labels)]))
+    counts = {tuple(r["__combo"]): r["n"] for r in combined.groupBy("__combo").agg(F.count("*").alias("n")).collect()}
+    ends = [(combo, list(accumulate(plan))) for combo, plan in stratified_plan(counts, folds).items()]
+    inner = ", ".join(f"l{i}: string" for i in range(len(labels)))
+    plan = df.sparkSession.createDataFrame(ends, f"__c struct<{inner}>, __ends array<long>")
+    ranked = rank_in_hash_order(combined, ["__combo"], key).join(plan, F.col("__combo").eqNullSafe(F.col("__c")))
+    fold = F.size(F.filter("__ends", lambda e: e < F.col("rank")))
+    return ranked.withColumn("fold", fold.cast("int")).drop("__combo", "__c", "__ends", "rank", "group_size")
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:

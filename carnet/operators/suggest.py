@@ -303,25 +303,3 @@ def fuzzy_pairs(words: DataFrame, lexicon: DataFrame, word: str = "word", lex: s
         return pairs.distinct().withColumn("score", _indel_score()(F.col(word), F.col(lex))).where(F.col("score") >= cutoff)
     score = F.round(100.0 * (1 - F.levenshtein(word, lex) / F.greatest(F.length(word), F.length(lex))), 2)
     return pairs.select(word, lex, score.alias("score")).where(F.col("score") >= cutoff).distinct()
-
-
-# Lexicon words compared with a word at once.
-NEAREST_BLOCK = 2_000
-
-
-def fuzzy_nearest(words: DataFrame, lexicon: DataFrame, cutoff: float = 0) -> DataFrame:
-    """Best lexicon word (``lex``) of every distinct word, if it scores at least ``cutoff``; ties by code-point order. The best may score low, so
-    no key can find it: the lexicon is dealt into blocks of a bounded number of words, each word is scored against a block in one
-    expression, and only its best of each block goes on."""
-    stored = cut_lineage(lexicon.select("lex").where("lex <> ''").distinct())
-    n, size = stored.agg(F.count("*"), F.coalesce(F.sum(F.length("lex")), F.lit(0))).first()
-    blocks = max(1, -(-n // NEAREST_BLOCK))
-    lists = stored.groupBy(F.pmod(F.xxhash64("lex"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("lex").alias("lexs"))
-    lists = F.broadcast(lists) if size <= 16 << 20 else lists
-    asked = words.select("word").where("word <> ''").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # Few bytes, much work per row: spread over the cores instead of joined to few partitions.
-    asked = asked.repartition(4 * words.sparkSession.sparkContext.defaultParallelism, "word", "block")
-    far = lambda l: 1 - F.levenshtein("word", l) / F.greatest(F.length("word"), F.length(l))
-    scored = asked.join(lists, "block").select("word", F.array_min(F.transform("lexs", lambda l: F.struct((-F.round(100.0 * far(l), 2)).alias("k"), l.alias("lex")))).alias("b"))
-    best = scored.groupBy("word").agg(F.min("b").alias("b")).where(-F.col("b.k") >= cutoff)
-    return best.select("word", F.col("b.lex").alias("nearest"), (-F.col("b.k")).alias("score"))

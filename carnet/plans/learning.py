@@ -77,11 +77,18 @@ def split_patient(spark, d):
 
 
 @query("kfold_multilabel", f"""
-    SELECT doc_id, quality, toxic, CAST(({RANK.format(g='quality, toxic', k='doc_id')} - 1) % 5 AS INT) AS fold FROM labels""")
+    SELECT doc_id, quality, toxic, CAST((row_number() OVER (ORDER BY quality NULLS FIRST, toxic NULLS FIRST, md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INT) AS fold FROM labels""")
 def kfold_multilabel(spark, d):
     return Y.fold_by_labels(table(spark, d, "labels"), ["quality", "toxic"], "doc_id", 5)
 
 
+@query("kfold_iterative")
+def kfold_iterative(spark, d):
+    """Folds over both labels and the language and source of the labelled document; combinations are many and some are rare."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return Y.fold_iteratively(table(spark, d, "labels").join(docs, "doc_id", "left"), ["quality", "toxic", "lang", "source"], "doc_id", 5)
+
+
 SQL_TOXIC = f"r AS (SELECT doc_id, toxic, {RANK.format(g='toxic', k='doc_id')} AS r, count(*) OVER (PARTITION BY toxic) AS n FROM labels), sizes AS (SELECT max(n) AS hi, min(n) AS lo FROM r)"
 
 

@@ -7,6 +7,7 @@ from carnet.functions import text as T
 from carnet.lookups import as_lookup
 from carnet.operators import suggest as G
 from carnet.operators import vocab as V
+from carnet.operators.nearest import nearest_words
 from carnet.plans import inputs as I
 from carnet.plans import sqlparts as S
 from carnet.registry import query, table
@@ -279,7 +280,7 @@ ASCII = "replace(replace(replace(replace(strip_accents({}), 'œ', 'oe'), 'æ', '
 def token_nearest_fuzzy(spark, d):
     """The best lexicon word of every conversation word, accents aside."""
     words = table(spark, d, "conversations").select(F.explode(T.norm_tokens(F.col("text"))).alias("word"))
-    return G.fuzzy_nearest(words.select(T.unaccent(F.col("word"), "ascii").alias("word")), I.lexicon(spark, d).select(T.unaccent(F.col("word"), "ascii").alias("lex")))
+    return nearest_words(words.select(T.unaccent(F.col("word"), "ascii").alias("word")), I.lexicon(spark, d).select(T.unaccent(F.col("word"), "ascii").alias("lex")))
 
 
 SQL_SPELL = f"""{I.SQL_REFERENCE},

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from carnet.operators import evaluate as E
 from carnet.operators import features as Y
 from carnet.operators import ranking as K
 from carnet.operators import stats as Z
+from carnet.operators import nearest
 from carnet.operators import suggest as G
 from carnet.operators import timeline as L
 
@@ -51,9 +53,30 @@ def test_fuzzy_pairs_equal_brute_force(spark, cutoff):
     got = {(r["word"], r["lex"]) for r in G.fuzzy_pairs(a, b, cutoff=cutoff).collect()}
     score = lambda x, y: round(100.0 * (1 - distance(x, y) / max(len(x), len(y))), 2)
     assert got == {(x, y) for x in left for y in right if score(x, y) >= cutoff}
-    best = {r["word"]: r["nearest"] for r in G.fuzzy_nearest(a, b, cutoff).collect()}
-    for word, nearest in best.items():
-        assert nearest == min((y for y in right if score(word, y) >= cutoff), key=lambda y: (-score(word, y), y))
+    want = {x: min((-score(x, y), y) for y in right) for x in left}
+    for levels, size in (((), 1000), ((80,), 1000), ((90, 70), 40)):
+        best = {r["word"]: (-r["score"], r["nearest"]) for r in nearest.nearest_words(a, b, cutoff, levels, size).collect()}
+        assert best == {x: w for x, w in want.items() if -w[0] >= cutoff}
+
+
+def test_metric_tree_equals_all_distances():
+    """Best word and score for words of every kind, ties and words longer than a machine word included; distances of many at once."""
+    rng = random.Random(12)
+    lexicon = sorted({"".join(rng.choice("abcdé") for _ in range(rng.choice([1, 2, 4, 5, 6, 7, 8, 9, 12, 63, 64, 65, 80]))) for _ in range(400)})
+    held = nearest.Words(lexicon)
+    vantage = rng.sample(lexicon, 20)
+    to = np.array([[distance(w, v) for v in vantage] for w in lexicon])
+    assert (to == np.array([nearest.Words(vantage).distances(w) for w in lexicon])).all()
+    tree, spent = nearest.Tree(lexicon, vantage, to), 0
+    asked = ["".join(rng.choice("abcdéz") for _ in range(rng.choice([1, 3, 6, 7, 8, 30, 64, 70]))) for _ in range(60)] + rng.sample(lexicon, 20)
+    for word in asked:
+        all_ = [distance(word, w) for w in lexicon]
+        assert held.distances(word).tolist() == all_
+        best = min((-round(100.0 * (1 - d / max(len(word), len(w))), 2), w) for d, w in zip(all_, lexicon))
+        score, found, n = tree.nearest(word, 0.0, None)
+        assert (-score, found) == best
+        spent += n
+    assert spent < len(asked) * len(lexicon)
 
 
 def indel_score(a: str, b: str) -> float:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
-from carnet.operators import abbrev, context, correct, features, notes, reconcile, records, stats, suggest
+from carnet.operators import nearest, abbrev, context, correct, features, notes, reconcile, records, stats, suggest
 from carnet.sources import readers
 
 
@@ -103,7 +103,7 @@ def test_long_tokens_make_no_keys(spark):
 def test_nearest_word_for_every_word(spark):
     words = spark.createDataFrame([("zzz",), ("abc",), ("x" * 3_000,)], "word string")
     lexicon = spark.createDataFrame([("abd",), ("zzy",), ("qqq",)], "lex string")
-    got = {r["word"]: (r["nearest"], r["score"]) for r in suggest.fuzzy_nearest(words, lexicon).collect()}
+    got = {r["word"]: (r["nearest"], r["score"]) for r in nearest.nearest_words(words, lexicon).collect()}
     assert got == {"zzz": ("zzy", 66.67), "abc": ("abd", 66.67), "x" * 3_000: ("abd", 0.0)}
 
 
