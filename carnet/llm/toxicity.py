@@ -3,9 +3,8 @@
 Fit. A token is a run of ASCII letters or non-ASCII characters, A-Z in lower case. A feature is a whole token or the stem of a longer one (its
 first 5 or 7 characters, written with a star). Each token counts once per document: over all documents for the prior, over the labelled
 training rows by label. With a Dirichlet prior proportional to the counts of the whole corpus, each feature gets the log ratio of its
-rates in toxic and clean rows, and the z-score of that ratio. Features of at least ``min_z`` form the lexicon (the ``lexicon`` most
-significant ones, a model parameter that bounds the broadcast); a token takes the score of its longest feature there, and all others share
-one small negative score.
+rates in toxic and clean rows, and the z-score of that ratio. All features of at least ``min_z`` form the lexicon; they stand in labelled rows, whose number is
+bounded, so the lexicon does not grow with the corpus. A token takes the score of its longest feature there, and all others share one small negative score.
 
 Scan. A linear-time pass over the scores of a text finds all maximal-scoring segments. The scores are log-likelihood ratios, so
 by construction the decay of the extreme-value law is 1, and a segment of score s in a text of n tokens is expected K n exp(-s) times by
@@ -50,7 +49,6 @@ class Settings:
 
     prior: float = 0.1  # weight of the prior, as a share of the labelled tokens
     min_z: float = 3.0
-    lexicon: int = 50_000
     max_labels: int = 200_000
     alpha: float = 0.01
     floor: float = 1.0
@@ -121,7 +119,7 @@ def common_score(lexicon: dict[str, tuple[float, float, float]]) -> float:
 
 @dataclass(frozen=True)
 class Model:
-    """A fitted model; ``scores`` is bounded by the lexicon size."""
+    """A fitted model; ``scores`` holds the lexicon."""
 
     scores: _Scores
     chance: float  # K
@@ -189,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, settings: Settings =
     a = F.lit(weight) * F.col("y") / F.lit(float(n))
     p1, p0 = (F.col("y1") + a) / F.lit(n1 + weight), (F.col("y0") + a) / F.lit(n0 + weight)
     counts = counts.select("feature", p1.alias("p1"), p0.alias("p0"), F.log(p1 / p0).alias("score"), (F.log(p1 / p0) / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a))).alias("z"))
-    chosen = counts.where(F.abs("z") >= settings.min_z).orderBy(F.abs("z").desc(), "feature").limit(settings.lexicon).collect()
+    chosen = counts.where(F.abs("z") >= settings.min_z).orderBy("feature").collect()
     lexicon = {r["feature"]: (r["score"], r["p1"], r["p0"]) for r in chosen}
     scores = _Scores({k: v[0] for k, v in lexicon.items()}, common_score(lexicon))
     draft = spark.sparkContext.broadcast(Model(scores, 1.0, 0.0, 0.0, settings))
