@@ -1,9 +1,10 @@
 """Personal data by candidate gradient boosting, in SQL functions only.
 
 Base spans (email, ip, card, phone) are leftmost non-overlapping matches of fixed patterns that pass a check (parts up to 255, Luhn, digits).
-They are always kept. Beside them, generators of high recall propose overlapping spans: address-like words, and runs of digits and separators
-as phone, card or ip. Every candidate has format and context features of few values each (``FEATURES``); what the base check itself looks at
-(the plus sign, the check digit, the size of parts, the dot of a domain) is no feature. Candidates that are base spans are the positive cases.
+They are always kept. Beside them, generators of high recall propose overlapping spans: address-like words, and of every run of digits and separators
+itself and all sequences of up to six whole groups with as many digits as a phone, card or ip has, so numbers side by side are proposed each. Every candidate has
+format and context features of few values each (``FEATURES``); what the base check itself looks at (the plus sign, the check digit, the size of
+parts, the dot of a domain) is no feature. Candidates that pass the base check of their kind are the positive cases.
 
 Fit. Candidates of all documents are counted by feature values, in one aggregate whose size the features bound (``CELLS``). Boosted
 trees are fitted on these counts of four fifths of the documents; on the other fifth each kind gets the lowest threshold at which at least
@@ -51,23 +52,44 @@ CELLS = 4 * 9 * 6 * 2 * 6 * 5 * 5 * 3
 CANDIDATE = "array<struct<kind: string, start: int, end: int, base: boolean, f: struct<" + ", ".join(f"{f}: int" for f in FEATURES) + ">>>"
 
 
+BLOCK = 256
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, both, zero: Column) -> Column:
+    """Running totals of a list under an associative operation, in two levels: lists of ``BLOCK`` items, and the totals of these."""
+    def totals(items: Column, first: Column) -> Column:
+        grown = F.aggregate(items, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, v: F.struct(both(acc["at"], v).alias("at"), F.array_append(acc["out"], both(acc["at"], v)).alias("out")))
+        return grown["out"]
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: totals(F.slice(v, b * BLOCK + 1, BLOCK), zero))
+        before = lambda found: F.concat(F.array(zero), totals(F.transform(found, lambda f: F.element_at(f, -1)), zero))
+        return once(blocks, lambda found: F.flatten(F.zip_with(found, F.slice(before(found), F.lit(1), F.size(found)), lambda f, start: F.transform(f, lambda x: both(start, x)))))
+
+    return once(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(F.array().cast("array<int>")))
+
+
+def sums(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Matches with their place: array of start, end, matched text, and what stands before and after. One pass cuts the text at the matches;
     lengths of the pieces give the places, so no step goes back to the whole text."""
-    parts = F.array(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, m: string, before: string, after: string>>").alias("out"))
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
     def place(p: Column) -> Column:
-        rows = F.arrays_zip(p["found"].alias("found"), F.slice(p["gaps"], 1, F.size(p["found"])).alias("before"), F.slice(p["gaps"], 2, F.size(p["found"])).alias("after"))
-
-        def step(acc: Column, r: Column) -> Column:
-            start = acc["at"] + F.length(r["before"])
-            one = F.struct(start.alias("start"), (start + F.length(r["found"])).alias("end"), r["found"].alias("m"), F.substring(r["before"], -24, 24).alias("before"), F.substring(r["after"], 1, 2).alias("after"))
-            return F.struct((start + F.length(r["found"])).alias("at"), F.array_append(acc["out"], one).alias("out"))
-
-        return F.aggregate(rows, zero, step)["out"]
+        before = F.slice(p["gaps"], F.lit(1), F.size(p["found"]))
+        ends = sums(F.zip_with(before, p["found"], lambda a, b: F.length(a) + F.length(b)))
+        rows = F.arrays_zip(p["found"].alias("found"), before.alias("before"), F.slice(p["gaps"], F.lit(2), F.size(p["found"])).alias("after"), ends.alias("end"))
+        return F.transform(rows, lambda r: F.struct((r["end"] - F.length(r["found"])).alias("start"), r["end"].alias("end"), r["found"].alias("m"), F.substring(r["before"], -24, 24).alias("before"), F.substring(r["after"], 1, 2).alias("after")))
 
-    return F.transform(parts, place)[0]
+    return once(parts, place)
 
 
 def digits_of(m: Column) -> Column:
@@ -121,20 +143,58 @@ def _features(kind: str, c: Column) -> Column:
     return F.struct(*[values[f].cast("int").alias(f) for f in FEATURES])
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Proposed spans with features; ``base`` tells whether a base span of the kind has the same digits or address."""
+#: Digits of a phone or a card, groups they are written in at most, and parts of an ip.
+DIGITS, GROUPS, PARTS = (7, 19), 6, 4
+
+
+def numbers_in(run: Column) -> Column:
+    """The run, and its sequences of up to ``GROUPS`` whole digit groups, with a fitting number of digits, each with what stands around it. An opening bracket in front belongs to it."""
+    def of(found: Column) -> Column:
+        upto = sums(F.transform(found, lambda g: g["end"] - g["start"]))
+
+        def from_group(ends: Column) -> Column:
+            def written(at: Column, size: Column) -> Column:
+                return F.array_join(F.transform(F.slice(found, at + 1, size), lambda g: F.concat(g["before"], g["m"])), "")
+
+            def one(i: Column, j: Column) -> Column:
+                first, last = F.get(found, i), F.get(found, j)
+                bracket = first["before"].endswith("(").cast("int")
+                ahead = F.concat(F.when(i <= 2, run["before"]).otherwise(""), written(F.greatest(i - 2, F.lit(0)), F.least(i, F.lit(2))), F.substring(first["before"], F.lit(1), F.length(first["before"]) - bracket))
+                m = F.concat(F.repeat(F.lit("("), bracket), first["m"], written(i + 1, j - i))
+                after = F.when(j == F.size(found) - 1, run["after"]).otherwise(last["after"])
+                return F.struct((run["start"] + first["start"] - bracket).alias("start"), (run["start"] + last["end"]).alias("end"), m.alias("m"), F.substring(ahead, -24, 24).alias("before"), after.alias("after"))
+
+            def those(i: Column) -> Column:
+                had = F.get(ends, i) - (F.get(found, i)["end"] - F.get(found, i)["start"])
+                far = F.least(i + GROUPS - 1, F.size(found) - 1)
+                fitting = F.filter(F.sequence(i, far), lambda j: (F.get(ends, j) - had).between(*DIGITS) | (j - i == PARTS - 1))
+                return F.transform(fitting, lambda j: one(i, j))
+
+            whole = F.filter(F.array(F.size(found) - 1), lambda j: (j >= GROUPS) & F.get(ends, j).between(*DIGITS))
+            return F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.size(found) - 1), those)), F.transform(whole, lambda j: one(F.lit(0), j)))
+
+        return once(upto, from_group)
+
+    return once(matches(run["m"], "[0-9]+"), of)
+
+
+def candidates(text: Column) -> Column:
+    """Proposed spans with features; ``base`` tells whether a candidate passes the base check of its kind."""
     def propose(found: Column, kind: str, fits) -> Column:
         def one(c: Column) -> Column:
-            # A phone's plus sign stands before the candidate.
-            same = F.exists(base, lambda s: (s["kind"] == kind) & (s["end"] == c["end"]) & s["start"].between(c["start"] - 1, c["start"]))
-            return F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), same.alias("base"), _features(kind, c).alias("f"))
+            passes = valid(kind, c["m"])
+            if kind == "phone":  # its plus sign stands before the candidate
+                passes = passes & c["before"].endswith("+") & ~c["m"].contains("/")
+            if kind == "email":
+                passes = c["m"].rlike(rf"^[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$")
+            return F.struct(F.lit(kind).alias("kind"), c["start"].alias("start"), c["end"].alias("end"), F.coalesce(passes, F.lit(False)).alias("base"), _features(kind, c).alias("f"))
 
         return F.transform(F.filter(found, fits), one)
 
     n = lambda c: F.length(digits_of(c["m"]))
-    numbers = F.transform(F.array(matches(text, NUMBER)), lambda found: F.concat(
+    numbers = once(F.flatten(F.transform(matches(text, NUMBER), numbers_in)), lambda found: F.concat(
         propose(found, "phone", lambda c: n(c).between(7, 15)), propose(found, "card", lambda c: n(c).between(12, 19)),
-        propose(found, "ip", lambda c: c["m"].rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))))[0]
+        propose(found, "ip", lambda c: c["m"].rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"))))
     words = propose(matches(text, ADDRESS), "email", lambda c: F.length(c["m"]) > 2)
     empty = F.array().cast(CANDIDATE)
     return F.concat(F.when(text.rlike("[0-9]"), numbers).otherwise(empty), F.when(text.rlike(r"@|[(\[]at[)\]]"), words).otherwise(empty)).cast(CANDIDATE)
@@ -230,7 +290,7 @@ def boost(cells: list[dict], settings: Settings) -> Model:
 def prepare(docs: DataFrame, text: str, out: str) -> DataFrame:
     """The documents with column ``out``: base spans and candidates."""
     base, whole = fresh(docs, "base"), F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn(base, base_spans(whole)).withColumn(out, F.struct(F.col(base).alias("base"), candidates(whole, F.col(base)).alias("proposed"))).drop(base)
+    return docs.withColumn(base, base_spans(whole)).withColumn(out, F.struct(F.col(base).alias("base"), candidates(whole).alias("proposed"))).drop(base)
 
 
 def fit(prepared: DataFrame, column: str, doc_id: str = "doc_id", settings: Settings = Settings()) -> Model:
@@ -245,21 +305,28 @@ def fit(prepared: DataFrame, column: str, doc_id: str = "doc_id", settings: Sett
 def spans(prepared: Column, model: Model) -> Column:
     """All spans of a document, base and added, by start, then kind."""
     base = prepared["base"]
-    chosen = F.array().cast(CANDIDATE)
-    if model.thresholds:
-        def selected(c: Column) -> Column:
-            value = model.column(c["f"])
-            ok = F.lit(False)
-            for kind, least in model.thresholds.items():
-                ok = ok | ((c["kind"] == kind) & (value >= least))
-            return ok & ~F.exists(base, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
-
-        chosen = F.filter(prepared["proposed"], selected)
-    nth = lambda c: F.array_position(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int") - 1
-    found = F.array_sort(F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), nth(c).alias("nth"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    # Of overlapping additions the first by start and kind stays.
-    kept = F.aggregate(found, F.array().cast(f"array<{SPAN}>"), lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]), acc).otherwise(F.array_append(acc, s)))
-    return F.array_sort(F.concat(base, kept))
+    if not model.thresholds:
+        return base
+    least = F.create_map(*[F.lit(x) for kind, v in model.thresholds.items() for x in (kind, v)])
+    valued = F.transform(prepared["proposed"], lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("added"), (-model.column(c["f"])).alias("worth"), F.array_position(
+        F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int").alias("nth"), c["end"].alias("end"), c["kind"].alias("kind")))
+    chosen = F.filter(valued, lambda c: -c["worth"] >= F.coalesce(F.try_element_at(least, c["kind"]), F.lit(float("inf"))))
+    fixed = F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("added"), F.lit(0.0).alias("worth"), (s["nth"] + 1).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind")))
+    item = "struct<start: int, added: int, worth: double, nth: int, end: int, kind: string>"
+    none = F.lit(None).cast(item)
+    zero = F.struct(F.array().cast(f"array<{item}>").alias("out"), none.alias("last"), F.lit(0).alias("reach"))
+
+    def sweep(acc: Column, s: Column) -> Column:
+        last, apart = acc["last"], acc["last"]["end"] <= s["start"]
+        base_met = F.struct(acc["out"].alias("out"), F.when(apart, last).otherwise(none).alias("last"), F.greatest(acc["reach"], s["end"]).alias("reach"))
+        opened = F.struct(F.when(last.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], last)).alias("out"), s.alias("last"), acc["reach"].alias("reach"))
+        better = F.struct(acc["out"].alias("out"), s.alias("last"), acc["reach"].alias("reach"))
+        add = F.when(s["start"] < acc["reach"], acc).when(last.isNull() | apart, opened).when(s["worth"] < last["worth"], better).otherwise(acc)
+        return F.when(s["added"] == 0, base_met).otherwise(add)
+
+    swept = F.aggregate(F.array_sort(F.concat(fixed, chosen)).cast(f"array<{item}>"), zero, sweep, lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"])))
+    kept = F.transform(swept, lambda s: F.struct(s["start"].alias("start"), (s["nth"] - 1).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.when(F.size(chosen) > 0, F.array_sort(F.concat(base, kept))).otherwise(base)
 
 
 def joined(found: Column) -> Column:
@@ -267,17 +334,27 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(text: Column, found: Column) -> Column:
-    """The text with every span replaced by ``<KIND>``; overlapping spans are replaced together, named by the first."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+PIECE = 1024
 
-    def step(acc: Column, s: Column) -> Column:
-        new = F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("out"), s["end"].alias("at"))
-        over = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(over)
 
-    done = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+def redacted(text: Column, found: Column) -> Column:
+    """The text with every span replaced by ``<KIND>``; overlapping spans are replaced together, named by the first. The text is cut into pieces once, and each gap
+    between spans is put together from the pieces it touches."""
+    def gap(pieces: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / PIECE).cast("int")
+        touched = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(touched, ""), start - first * PIECE + 1, end - start)
+
+    def rebuilt(held: Column) -> Column:
+        spans_, pieces = held["spans"], held["pieces"]
+        reach = running(F.transform(spans_, lambda s: s["end"]), F.greatest, F.lit(0))
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        heads = F.filter(F.zip_with(spans_, before, lambda s, b: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), b.alias("from"))), lambda h: h["start"] >= h["from"])
+        written = F.transform(heads, lambda h: F.concat(gap(pieces, h["from"], h["start"]), F.lit("<"), F.upper(h["kind"]), F.lit(">")))
+        return F.concat(F.array_join(written, ""), gap(pieces, F.array_max(reach), held["size"]))
+
+    held = F.struct(found.alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), F.length(text).alias("size"))
+    return F.when(F.size(found) > 0, once(held, rebuilt)).otherwise(text)
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:

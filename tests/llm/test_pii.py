@@ -67,3 +67,63 @@ def test_redaction_of_odd_texts(spark):
     assert clean[1] is None and clean[2] == "" and clean[3] == "plain" and clean[4] == "\U0001F600 <EMAIL> \U0001F600"
     assert clean[5] == "<PHONE>, <CARD>"
     assert pii.redact(docs.limit(0)).count() == 0
+
+
+def test_numbers_side_by_side_are_proposed(spark):
+    """Every sequence of whole groups with fitting digits is a candidate, with its place; so are runs of more groups."""
+    texts = ["4465758382889437 4465758382889437", "555 123 4567 555 987 6543", "4465758382889437 12/27", "call (555) 010-1234 (555) 010-9999 now", "no 1-2-3-4-5-6-7-8-9-0 x", "1.2.3.4 5.6.7.8"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.prepare(docs, "text", "p").select("doc_id", "p.proposed").collect()}
+    for i, text in enumerate(texts):
+        got = {(c["start"], c["end"]) for c in rows[i]["proposed"] if c["kind"] != "ip"}
+        want = set()
+        for run in re.finditer(r"(?<![0-9A-Za-z])[(]?[0-9][0-9\x20().\-/]{5,}[0-9](?![0-9A-Za-z])", text):
+            groups = [(m.start() + run.start() - (text[m.start() + run.start() - 1:m.start() + run.start()] == "(" and m.start() > 0), m.end() + run.start()) for m in re.finditer("[0-9]+", run.group())]
+            for a in range(len(groups)):
+                for b in range(a, len(groups)):
+                    n = len(re.sub("[^0-9]", "", text[groups[a][0]:groups[b][1]]))
+                    if 7 <= n <= 19 and (b - a < 6 or (a, b) == (0, len(groups) - 1)):
+                        want.add((groups[a][0], groups[b][1]))
+        assert got == want, text
+    assert {(0, 16), (17, 33)} <= {(c["start"], c["end"]) for c in rows[0]["proposed"] if c["kind"] == "card" and c["base"]}
+    assert {(0, 7), (8, 15)} <= {(c["start"], c["end"]) for c in rows[5]["proposed"] if c["kind"] == "ip" and c["base"]}
+
+
+def test_adjacent_numbers_are_added_and_redacted(spark):
+    """Numbers in the formats of validated ones, side by side: each is one span; base spans stay."""
+    def card(i):
+        head = f"4{465758382889 + i:012d}41"
+        return next(head + str(d) for d in range(10) if plain_luhn(head + str(d)))
+
+    rows = [(i, f"card {card(i)} ok, call +1 555 123 {1000 + i}") for i in range(300)]
+    rows += [(1000, f"{card(1)} {card(2)}"), (1002, f"{card(3)} 12/27")]
+    out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    said = lambda i: [(s["kind"], dict(rows)[i][s["start"]:s["end"]]) for s in out[i]["spans"]]
+    assert said(1000) == [("card", card(1)), ("card", card(2))] and said(1002) == [("card", card(3))]
+    for i, text in rows:
+        assert [tuple(s) for s in out[i]["base"]] == plain_base(text)
+    rows = [(i, f"call +1 555 123 {1000 + i} today") for i in range(300)] + [(1003, "1 555 123 4567 1 555 987 6543")]
+    out = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert said(1003) == [("phone", "1 555 123 4567"), ("phone", "1 555 987 6543")]
+
+
+def test_many_spans_take_linear_time(spark):
+    """50,000 addresses in one text."""
+    import time
+
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50_000)), lambda i: F.concat(F.lit("é mail a"), i, F.lit("@b.org"))), ", ").alias("text"))
+    start = time.perf_counter()
+    text = pii.redact(docs).first()["text"]
+    assert text == ", ".join(["é mail <EMAIL>"] * 50_000)
+    assert time.perf_counter() - start < 40
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 2, 255, 256, 257, 1000, 40_000):
+        df = spark.range(1).select((F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")).alias("v"))
+        out = df.select(pii.sums(F.col("v")).alias("s"), pii.running(F.transform("v", lambda x: (x * 7919) % 1009), F.greatest, F.lit(0)).alias("m")).first()
+        total, most, sums, tops = 0, 0, [], []
+        for x in range(1, n + 1):
+            total, most = total + x, max(most, x * 7919 % 1009)
+            sums.append(total), tops.append(most)
+        assert list(out["s"]) == sums and list(out["m"]) == tops
