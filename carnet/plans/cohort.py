@@ -260,11 +260,14 @@ def target_stages(spark, d):
                       F.count(F.when((F.col("any") == 1) & (F.col("deep") == 0), 1)).alias("n_superficial"))
 
 
-@query("drop_constant_labels", "SELECT doc_id, toxic FROM labels WHERE quality = 1")
+@query("drop_constant_labels", """
+    WITH x AS (SELECT l.*, CAST(d.doc_id IS NOT NULL AS INT) AS described FROM labels l LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id))
+    SELECT doc_id, quality, toxic FROM x""")
 def drop_constant_labels(spark, d):
-    """Among the documents of good quality that label is constant."""
-    labels = table(spark, d, "labels").where("quality = 1")
-    return labels.drop(*Z.constant_columns(labels, ["quality", "toxic"]))
+    """Every label row; that its document is there holds for all of them, so that label is constant."""
+    docs = table(spark, d, "documents").select("doc_id").distinct().withColumn("described", F.lit(1))
+    labels = table(spark, d, "labels").join(docs, "doc_id", "left").withColumn("described", F.coalesce("described", F.lit(0)))
+    return labels.drop(*Z.constant_columns(labels, ["quality", "toxic", "described"]))
 
 
 @query("get_cat_list", f"WITH {SQL_LINES} " + " UNION ALL ".join(
