@@ -17,18 +17,23 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import sys
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterable, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
 from carnet.session import cut_lineage
 
+# Workers get the automaton with the task, so the package need not be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SPACE = r"[^\S\x1c-\x1f]"
 TOKEN = re.compile(rf"\w+|{SPACE}+|[^\w]")
 APOSTROPHES = ("'", "’")

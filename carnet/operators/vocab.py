@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
+from carnet.session import cut_lineage
+
+# Workers get the lookup with the task, so the package need not be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def vocab_count(df: DataFrame, tokens: Column, token: str = "token", count: str = "n") -> DataFrame:
@@ -108,13 +117,58 @@ def token_index(vocab: DataFrame, max_vocab: int) -> DataFrame:
     return top.select("token", (rank + 1).alias("token_id"))
 
 
+#: Ids that a slice of the index holds, and its characters at most.
+SLICE_ROWS, SLICE_CHARS = 500_000, 16 << 20
+
+
+def _ids(shared: Broadcast):
+    """Ids of the tokens of each list that a broadcast dictionary knows, 0 for others. Each distinct token of a batch is looked up once."""
+
+    @F.arrow_udf("array<int>")
+    def look_up(lists: pa.Array) -> pa.Array:
+        held = shared.value
+        coded = lists.flatten().dictionary_encode()
+        ids = pa.array([held.get(t, 0) for t in coded.dictionary.to_pylist()], pa.int32())
+        lengths = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), ids.take(coded.indices))
+
+    return look_up.asNondeterministic()
+
+
+def index_tokens(df: DataFrame, keys: list[str], tokens: Column, index: DataFrame, rows: int = SLICE_ROWS, chars: int = SLICE_CHARS) -> DataFrame:
+    """Rows (keys, ids): the token ids of each note, looked up inside the row; no token is moved. The index (token, token_id) is broadcast; one beyond the
+    bounds in slices by hash, each of which fills in the tokens it knows. Unknown tokens get 1."""
+    index = cut_lineage(index.select("token", "token_id"))
+    n, size = index.agg(F.count("*"), F.sum(F.length("token"))).first()
+    parts = max(1, -(-n // rows), -(-(size or 0) // chars))
+    out = df.select(*keys, F.coalesce(tokens, F.array().cast("array<string>")).alias("__tokens"))
+    for part in range(parts if n else 0):
+        mine = index if parts == 1 else index.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == part)
+        held = df.sparkSession.sparkContext.broadcast({r["token"]: r["token_id"] for r in mine.collect()})
+        found = _ids(held)(F.col("__tokens"))
+        out = out.withColumn("__ids", found if part == 0 else F.zip_with("__ids", found, lambda a, b: a + b))
+        out = cut_lineage(out) if parts > 1 else out
+    ids = F.transform("__ids", lambda i: F.when(i == 0, 1).otherwise(i)) if n else F.transform("__tokens", lambda t: F.lit(1))
+    return out.select(*keys, ids.alias("ids"))
+
+
+def padded(ids: Column, width: Column) -> Column:
+    """Zeros on the left up to a width."""
+    return F.concat(F.array_repeat(F.lit(0), width - F.size(ids)), ids)
+
+
 def index_and_pad(df: DataFrame, keys: list[str], tokens: Column, index: DataFrame) -> DataFrame:
-    """Token ids of each note, zero-padded on the left to the longest note. The index is bounded by its top-k."""
-    lengths = df.select(F.size(tokens).alias("__len"))
-    longest = lengths.agg(F.coalesce(F.max("__len"), F.lit(0))).scalar()
-    long = df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token"))
-    ids = long.join(F.broadcast(index), "token", "left")
-    packed = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id")))))
-    rows = ids.groupBy(*keys).agg(packed.alias("__p"))
-    seq = F.transform("__p", lambda s: s["id"])
-    return rows.select(*keys, F.concat(F.array_repeat(F.lit(0), longest - F.size("__p")), seq).alias("ids"))
+    """Token ids of each note, zero-padded on the left to the longest note: the full-length view."""
+    rows = index_tokens(df, keys, tokens, index)
+    longest = df.agg(F.coalesce(F.max(F.size(tokens)), F.lit(0))).first()[0]
+    return rows.select(*keys, padded(F.col("ids"), F.lit(max(longest, 0))).alias("ids"))
+
+
+def padded_batches(rows: DataFrame, keys: list[str], batch_rows: int = 1024) -> DataFrame:
+    """Batches for training: notes of like length together (widths are powers of two), each padded to the width of its batch only, with ``width`` and ``batch``. Every
+    width is dealt into batches of about ``batch_rows`` notes by hash of the keys, so a width that most notes have is many batches."""
+    width = F.when(F.size("ids") <= 1, 1).otherwise(F.call_function("shiftleft", F.lit(1), F.ceil(F.log2(F.size("ids").cast("double"))).cast("int"))).cast("int")
+    sized = rows.withColumn("width", width)
+    counts = cut_lineage(sized.groupBy("width").agg(F.ceil(F.count("*") / batch_rows).alias("__batches")))
+    dealt = sized.join(F.broadcast(counts), "width")  # one row per power of two
+    return dealt.select(*keys, "width", F.pmod(F.xxhash64(*keys), F.col("__batches")).alias("batch"), padded(F.col("ids"), F.col("width")).alias("ids"))
