@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a forest of random-projection trees searched through a shared priority queue, then exact reranking.
 
-Fit. Trees are built from at most ``sample_rows`` vectors (by hash order; at most ``sample_bytes``), each node a hyperplane between two
-random points of the node, at the median, so equal halves go to each side. Every vector is then put in one leaf of each tree.
+Fit. Trees are built from a sample of ``sample_rows`` vectors (by hash order), of more for larger tables, so that leaves keep about ``leaf_rows`` vectors, up to
+``sample_bytes``; beyond some 16 million vectors of 64 components leaves grow. Each node is a hyperplane between two random points of the node, at the median, so
+equal halves go to each side. Every vector is then put in one leaf of each tree.
 
 Search. For each query one priority queue over all trees yields leaves, nearest first (a leaf's distance is the largest margin by which the
 path to it was on the wrong side). The first ``probes`` leaves are searched. The number of probes is measured, not guessed: for ``tests`` queries
@@ -41,8 +42,8 @@ class Settings:
     trees: int = 4
     leaf_rows: int = 1_024
     least_leaves: int = 32
-    most_leaves: int = 256
     sample_rows: int = 8_192
+    leaf_sample: int = 4
     sample_bytes: int = 32 << 20
     tests: int = 96
     recall: float = 0.97
@@ -161,9 +162,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     queries = cut_lineage(keyed.select("nth").distinct().join(base, "nth").select("nth", "vector"))
     # The forest, from a bounded sample.
-    limit = max(2, min(settings.sample_rows, settings.sample_bytes // (8 * dims)))
+    wanted = max(settings.sample_rows, settings.leaf_sample * (n // settings.leaf_rows))
+    limit = max(2, min(wanted, settings.sample_bytes // (8 * dims)))
     sample = matrix(base.orderBy(F.xxhash64("nth")).limit(limit).select("vector").toArrow().column(0).combine_chunks(), dims)
-    leaves = min(settings.most_leaves, max(settings.least_leaves, n // settings.leaf_rows), max(1, len(sample) // 4))
+    leaves = min(max(settings.least_leaves, n // settings.leaf_rows), max(1, len(sample) // settings.leaf_sample))
     forest = Forest(sample, max(0, int(leaves).bit_length() - 1), settings.trees, settings.seed)
     shared = spark.sparkContext.broadcast(forest)
 
