@@ -1,7 +1,7 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs, and an exact hash join that removes its false positives.
 
-Every listed URL sets ``BITS`` bits inside one 64-bit block. The filter has at most ``MAX_BLOCKS`` blocks (one long each), whatever the list's
-size, so it may be broadcast; beyond that size it only lets more URLs pass to the exact join. URLs that the filter refuses are surely not
+Every listed URL sets ``BITS`` bits inside one 64-bit block. The filter grows with the list to ``MAX_BLOCKS`` blocks (some 8 million URLs at full strength) and is
+broadcast up to that size; a longer list lets more URLs pass to the exact join. URLs that the filter refuses are surely not
 listed and never shuffle; possible hits are joined with the list itself.
 
 Rules (host, path, verdict) are a short parameter list and stand in the plan as one expression. A rule fits its host and all subdomains if
@@ -25,7 +25,7 @@ Rule = tuple[str, str, str]
 
 BITS = 4
 BITS_PER_KEY = 16
-MAX_BLOCKS = 1 << 18
+MAX_BLOCKS = 1 << 21
 #: Query parameters that only track a visit; they are no part of a canonical URL.
 TRACKING = "^(utm_[a-z]+|ref|gclid|fbclid)(=|$)"
 
