@@ -200,3 +200,11 @@ def test_empty_mix(spark):
     assert mixing.mix(docs).texts().count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert [r["taken"] for r in mixing.mix(blank, with_text=False).taken().collect()] == [0, 0]
+
+
+def test_thousands_of_turns(spark):
+    """A conversation of 4,000 turns is formatted, read back and masked whole."""
+    turns = spark.range(4_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é \\ text "), F.col("id")).alias("text"))
+    chats = chat.format_chats(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    row = chats.select(chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("learned"), F.size(chat.parse(F.col("formatted"))).alias("n")).first()
+    assert row["n"] == 4_000 and row["learned"] == "".join(f"é \\ text {i}" for i in range(1, 4_000, 2))
