@@ -12,6 +12,7 @@ from carnet.functions import text as T
 from carnet.operators import correct as C
 from carnet.operators import notes as N
 from carnet.operators.ranking import rank_in_buckets, rank_in_hash_order, with_global_rank
+from carnet.session import cut_lineage
 
 
 def prepare_notes(notes: DataFrame, patient: str, order: str, text: str, dictionary: DataFrame | None = None, *, lower: bool = True, special: bool = True,
@@ -191,7 +192,8 @@ def upsample_patients(notes: DataFrame, patient: str, order: str, outcome: str,
     n_patients = notes.select(patient).distinct().count()
     k = missing // n_patients if n_patients else 0
     ranked = rank_in_buckets(notes.where(F.col(outcome) == minority), [patient], bucket, [F.col(order)])
-    from_end = ranked.withColumn("__back", F.col("group_size") - F.col("rank") + 1).drop("rank", "group_size")
+    # Ranked minority notes are read three times: written once.
+    from_end = cut_lineage(ranked.withColumn("__back", F.col("group_size") - F.col("rank") + 1).drop("rank", "group_size"))
     tail = from_end.where(F.col("__back") <= k).withColumn("copy", F.lit(1).cast("long")).drop("__back")
     out = notes.withColumn("copy", F.lit(0).cast("long")).unionByName(tail)
     added = from_end.agg(F.count(F.when(F.col("__back") <= k, 1)).alias("n"), F.count(F.when(F.col("__back") == 1, 1)).alias("givers")).first()

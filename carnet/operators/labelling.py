@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -65,7 +66,7 @@ def keyword_scorer(yes: tuple[str, ...], no: tuple[str, ...]) -> Scorer:
 
     def score(texts: pd.Series) -> pd.Series:
         low = texts.str.lower()
-        has = lambda words: low.apply(lambda t: any(w in t for w in words))
+        has = lambda words: low.str.contains("|".join(map(re.escape, words)), na=False) if words else pd.Series(False, index=texts.index)
         answer = pd.Series("LABEL: AMBIGU\nJUSTIF: rien", index=texts.index)
         answer[has(no)] = "LABEL: NON\nJUSTIF: negation"
         answer[has(yes)] = "LABEL: OUI\nJUSTIF: mention"
