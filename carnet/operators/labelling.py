@@ -6,6 +6,8 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,23 +77,41 @@ def keyword_scorer(yes: tuple[str, ...], no: tuple[str, ...]) -> Scorer:
     return score
 
 
+# Text handed to a model in one call; a longer text goes alone.
+CALL_BYTES = 1 << 20
+
+
+def calls(batch: pa.RecordBatch, text: str, most: int = CALL_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in parts of at most ``most`` bytes of text."""
+    start, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if held + size > most and i > start:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def infer(df: DataFrame, keys: list[str], text: str, scorer: Scorer, attempts: int = 5) -> DataFrame:
-    """Run a labelling model on every text in Arrow batches; failed calls are retried inside the task."""
+    """Run a labelling model on every text, some texts a call, so that a worker holds few of them as Python strings whatever the number and length of
+    texts in an Arrow batch; failed calls are retried inside the task. Keys are passed on as they are."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for attempt in range(attempts):
-                try:
-                    raw = scorer(batch[text])
-                    break
-                except Exception:
-                    if attempt == attempts - 1:
-                        raise
-            yield batch[keys].assign(raw=raw)
+            for part in calls(batch, text):
+                for attempt in range(attempts):
+                    try:
+                        raw = scorer(part.column(text).to_pandas().rename(text))
+                        break
+                    except Exception:
+                        if attempt == attempts - 1:
+                            raise
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(raw, pa.string(), from_pandas=True)], [*keys, "raw"])
 
     slim = df.select(*keys, text)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name in keys) + ", raw string"
-    return slim.mapInPandas(run, schema).withColumn("prediction", parse_answer(F.col("raw")))
+    return slim.mapInArrow(run, schema).withColumn("prediction", parse_answer(F.col("raw")))
 
 
 # Largest top-k Spark cuts inside each task before the shuffle (its default threshold).

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carnet.functions import text as T
+from carnet.operators import labelling as L
 from carnet.operators import nearest, abbrev, context, correct, features, notes, reconcile, records, stats, suggest
 from carnet.sources import readers
 
@@ -165,3 +166,15 @@ def test_many_copies_of_one_giver(spark):
     out = features.upsample_patients(notes_, "p", "at", "y", F.floor(F.col("at") / 256))
     copies = [r["copy"] for r in out.where("y = 1").collect()]
     assert len(copies) == 2_500 and len(set(copies)) == 2_500
+
+
+def test_a_model_call_sees_few_long_texts(spark):
+    """The texts of one call are bounded by their bytes, not by the rows of an Arrow batch; none is lost, null ones included."""
+    def size(texts):
+        return texts.map(lambda t: "" if t is None else str(len(t))).mask(texts.isna(), "none") + "/" + str(int(texts.str.len().sum()))
+
+    texts = spark.range(400).select("id", F.when(F.col("id") % 10 != 3, F.expr("repeat('abcdefgh', 5000)")).alias("text"))
+    texts = texts.unionByName(spark.range(400, 402).select("id", F.expr("repeat('x', 3000000)").alias("text"))).coalesce(1)
+    got = {r["id"]: r["raw"].split("/") for r in L.infer(texts, ["id"], "text", size).collect()}
+    assert {i: n for i, (n, _) in got.items()} == {i: "3000000" if i >= 400 else "none" if i % 10 == 3 else "40000" for i in range(402)}
+    assert all(int(total) <= max(L.CALL_BYTES, 0 if n == "none" else int(n)) for n, total in got.values())
