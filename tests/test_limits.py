@@ -8,6 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from carnet import registry
 from carnet.functions import text as T
 from carnet.operators import labelling as L
 from carnet.operators import nearest, abbrev, context, correct, features, notes, reconcile, records, stats, suggest
@@ -178,3 +179,12 @@ def test_a_model_call_sees_few_long_texts(spark):
     got = {r["id"]: r["raw"].split("/") for r in L.infer(texts, ["id"], "text", size).collect()}
     assert {i: n for i, (n, _) in got.items()} == {i: "3000000" if i >= 400 else "none" if i % 10 == 3 else "40000" for i in range(402)}
     assert all(int(total) <= max(L.CALL_BYTES, 0 if n == "none" else int(n)) for n, total in got.values())
+
+
+def test_parts_of_a_spread_table_grow_in_number(spark, tmp_path):
+    """A table of few splits is dealt into more parts as it grows, not into larger ones."""
+    path = str(tmp_path / "t.parquet")
+    spark.range(3_000_000).select("id", F.rand(7).alias("x")).coalesce(1).write.parquet(path)
+    rows = registry.spread(spark.read.parquet(path), "id")
+    assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert rows.count() == 3_000_000
