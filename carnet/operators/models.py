@@ -84,7 +84,11 @@ class CohortEvaluator(Evaluator):
 
 def out_of_fold(df: DataFrame, kind: str, keep: list[str], labels: list[str], key: str, folds: int = 5, **params) -> DataFrame:
     """Out-of-fold predictions with folds balanced over label combinations."""
-    folded = cut_lineage(fold_by_labels(df, labels, key, folds))
+    return fold_predictions(cut_lineage(fold_by_labels(df, labels, key, folds)), kind, keep, labels, folds, **params)
+
+
+def fold_predictions(folded: DataFrame, kind: str, keep: list[str], labels: list[str], folds: int, **params) -> DataFrame:
+    """Predictions for each fold of a stored table from models of the others."""
     parts = [multi_output(folded.where(F.col("fold") != k), folded.where(F.col("fold") == k), kind, [*keep, "fold"], labels, **params) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 
@@ -110,12 +114,14 @@ def grid_search(df: DataFrame, kind: str, grid: dict[str, list], metric: str = "
 
 def univariate_models(df: DataFrame, columns: list[str], kind: str, key: str, label: str = "label", folds: int = 5, min_sensitivity: float = 0.5,
                       min_specificity: float = 0.8, parallelism: int = 4, **params) -> DataFrame:
-    """Mean sensitivity and specificity of a model on each single feature, and whether it passes both limits. The table is stored once, and
-    ``parallelism`` features are fitted at a time."""
-    stored = cut_lineage(df)
+    """Mean sensitivity and specificity of a model on each single feature, and whether it passes both limits. Folds do not depend on the feature: rows are
+    dealt and stored once, without their key, and ``parallelism`` features are fitted at a time."""
+    folded = fold_by_labels(df.select(*dict.fromkeys([*columns, label, key])), [label], key, folds)
+    folded = cut_lineage(folded.select(*dict.fromkeys([*columns, label]), "fold"))
 
     def scored(c: str) -> tuple[str, float, float]:
-        scores = cv_scores(assemble(stored, [c]), kind, key, label, folds, **params).agg(F.avg("sensitivity").alias("s"), F.avg("specificity").alias("p")).first()
+        predicted = fold_predictions(assemble(folded.select(*dict.fromkeys([c, label]), "fold"), [c]), kind, [], [label], folds, **params)
+        scores = E.with_scores(E.confusion(predicted, ("fold",))).agg(F.avg("sensitivity").alias("s"), F.avg("specificity").alias("p")).first()
         return c, round(scores["s"] or 0.0, 2), round(scores["p"] or 0.0, 2)
 
     with ThreadPool(parallelism) as pool:

@@ -118,3 +118,11 @@ def test_text_vectors_have_length_one(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", "c", "c"])], "id int, tokens array<string>")
     out = M.text_pipeline(10).fit(df).transform(df)
     assert [len(r["features"]) for r in out.collect()] == [3, 3]
+
+
+def test_univariate_models_deal_the_folds_once(cohort, monkeypatch):
+    """Folds do not depend on the feature, so rows are ranked and stored once for all of them."""
+    dealt, plain = [], M.fold_by_labels
+    monkeypatch.setattr(M, "fold_by_labels", lambda *args: dealt.append(args) or plain(*args))
+    M.univariate_models(cohort, ["x", "flag", "noise"], "tree", "id", folds=2, maxDepth=2)
+    assert len(dealt) == 1
