@@ -1,14 +1,12 @@
 """Dictionaries as lookup sides, chosen by their measured size.
 
-* up to ``LITERAL_ROWS`` entries: part of the plan itself, so the text is rewritten where it is read, without a shuffle;
+* up to ``LITERAL_ROWS`` entries: may be part of the plan itself;
 * up to ``LOOKUP_ROWS`` entries and ``LOOKUP_BYTES`` of text: broadcast;
 * beyond: a join that adaptive execution chooses, and whose hot keys it splits.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +17,16 @@ LOOKUP_ROWS = 200_000
 LOOKUP_BYTES = 32 << 20
 
 
-def with_strategy(written: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """A stored dimension with a broadcast hint if its measured rows and bytes allow it; beyond, Spark chooses the join at run time."""
+def may_broadcast(written: DataFrame, max_rows: int = LOOKUP_ROWS) -> bool:
+    """Whether the measured rows and bytes of a stored dimension allow a broadcast."""
     size = F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in written.columns]))))
     n, total = written.limit(max_rows + 1).agg(F.count("*"), size).first()
-    return F.broadcast(written) if n <= max_rows and (total or 0) <= LOOKUP_BYTES else written
+    return n <= max_rows and (total or 0) <= LOOKUP_BYTES
+
+
+def with_strategy(written: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """A stored dimension with a broadcast hint if :func:`may_broadcast`; beyond, Spark chooses the join at run time."""
+    return F.broadcast(written) if may_broadcast(written, max_rows) else written
 
 
 def as_lookup(dim: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
@@ -46,12 +49,3 @@ def small_entries(written: DataFrame, max_rows: int = LITERAL_ROWS) -> dict[str,
 def sql_list(values) -> str:
     """Values as a SQL list for ``IN``, which becomes a hash-set test."""
     return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-
-
-def replace_tokens(df: DataFrame, tokens: str, entries: dict[str, str], alias: str) -> DataFrame:
-    """Column ``alias``: the token list with entries replaced. Membership is a hash-set test; only hits read the map."""
-    if not entries:
-        return df.withColumn(alias, F.col(tokens))
-    mapping = F.from_json(F.lit(json.dumps(entries, ensure_ascii=False)), "map<string,string>")
-    replaced = F.expr(f"transform({tokens}, t -> if(t IN ({sql_list(entries)}), __map[t], t))")
-    return df.withColumn("__map", mapping).withColumn(alias, replaced).drop("__map")

@@ -1,55 +1,106 @@
 """Corpus correction with dictionaries.
 
-A small dictionary is part of the plan, so the text is rewritten where it is read. With a larger one the distinct words of
-each note are joined with it, the few hits are gathered per note, and the note is rewritten from its own small hit map.
-A broadcast dictionary moves no word of the corpus; one beyond the bounds of ``lookups`` moves the distinct words of each note.
+A dictionary within the bounds of ``lookups`` is broadcast, and the text is rewritten where it is read. With a larger one the distinct words of
+each note are joined with it, the few hits are gathered per note, and the note is rewritten from its own hits.
 
 Occurrences, spans and replacements of words and phrases come from one pass of an automaton over the note (``automaton``), however many entries there are.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carnet import constants as K
 from carnet.functions import text as T
-from carnet.lookups import one_value, replace_tokens, small_entries, with_strategy
+from carnet.lookups import may_broadcast, one_value, small_entries, with_strategy
 from carnet.operators import automaton as A
 from carnet.session import cut_lineage
 
+# Workers get the functions with the task, so the package need not be installed on executors.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BATCH_SPLIT = "[ /,.-]"
+#: Text whose tokens are held at once.
+PIECE_BYTES = 8 << 20
 
 
 def hits_per_note(notes: DataFrame, keys: list[str], tokens: Column, dictionary: DataFrame) -> DataFrame:
-    """Dictionary entries met in each note as a map ``hits`` (key to value); notes without a hit have no row."""
+    """Dictionary entries met in each note as a list ``hits`` of structs (key, value); notes without a hit have no row."""
     distinct = notes.select(*keys, F.explode(F.array_distinct(tokens)).alias("key"))
     found = distinct.join(dictionary.select("key", "value"), "key")
-    return found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("hits"))
+    return found.groupBy(*keys).agg(F.collect_list(F.struct("key", "value")).alias("hits"))
+
+
+def pieces(texts: pa.Array, most: int = PIECE_BYTES) -> Iterator[pa.Array]:
+    """A column of texts in slices of about ``most`` bytes."""
+    upto = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    first = 0
+    while first < len(texts):
+        done = upto[first - 1] if first else 0
+        last = max(int(np.searchsorted(upto, done + most, side="right")), first + 1)
+        yield texts[first:last]
+        first = last
+
+
+def _tokens_replaced(texts: pa.Array, entries: dict[str, str]) -> pa.Array:
+    """Texts with the tokens that ``entries`` knows replaced, a space after each token. Each distinct token is looked up once."""
+    parts = pc.split_pattern_regex(texts, BATCH_SPLIT)
+    coded = parts.flatten().dictionary_encode()
+    fixed = pa.array([entries.get(t, t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+    ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(pc.list_value_length(parts), 0))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(ends, fixed), " ")
+    return pc.if_else(texts.is_valid(), pc.binary_join_element_wise(joined, "", " "), None)
+
+
+def replace_by_dictionary(text: Column, entries: Broadcast) -> Column:
+    """:func:`_tokens_replaced` by one dictionary for all notes."""
+
+    @F.arrow_udf("string")
+    def compute(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.string()), *(_tokens_replaced(t, entries.value) for t in pieces(texts))])
+
+    return compute.asNondeterministic()(text)
+
+
+def replace_by_hits(text: Column, hits: Column) -> Column:
+    """:func:`_tokens_replaced` by each note's own hits, a list of structs (key, value)."""
 
+    @F.arrow_udf("string")
+    def compute(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.string())]
+        for nth, held in enumerate(lists):
+            mine = {}
+            if held.is_valid:
+                mine = dict(zip(*(held.values.field(c).to_pylist() for c in ("key", "value"))))
+            out.append(_tokens_replaced(texts[nth:nth + 1], mine))
+        return pa.concat_arrays(out)
 
-def with_hits(notes: DataFrame, keys: list[str], tokens: Column, dictionary: DataFrame) -> DataFrame:
-    found = hits_per_note(notes, keys, tokens, dictionary)
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return notes.join(found, keys, "left").withColumn("hits", F.coalesce("hits", empty))
+    return compute.asNondeterministic()(text, hits)
 
 
 def correct_tokens(notes: DataFrame, keys: list[str], text: str, dictionary: DataFrame, alias: str = "corrected") -> DataFrame:
     """Replace tokens found in the dictionary after splitting on blanks, slashes, commas, dots and hyphens.
-    As in the original data, every token is followed by a space. A small dictionary is applied where the text is read;
-    a larger one goes through the hits of each note."""
-    stored = cut_lineage(one_value(dictionary))
+    As in the original data, every token is followed by a space. A dictionary that may be broadcast is applied where the text is read, so no text moves;
+    a larger one goes through the hits of each note. Either way a token is looked up in a hash table, whatever the number of entries or hits."""
+    stored = cut_lineage(one_value(dictionary).select("key", "value"))
     entries = small_entries(stored)
-    rows = notes.select(*keys, F.split(F.col(text), BATCH_SPLIT).alias("__parts"))
+    if entries is None and may_broadcast(stored):
+        entries = dict(map(tuple, stored.collect()))
     if entries is not None:
-        fixed = replace_tokens(rows, "__parts", entries, "__fixed")
-    else:
-        found = with_hits(rows, keys, F.col("__parts"), with_strategy(stored))
-        fixed = found.withColumn("__fixed", F.transform("__parts", lambda t: F.coalesce(F.try_element_at("hits", t), t)))
-    return fixed.select(*keys, F.concat(F.array_join("__fixed", " "), F.lit(" ")).alias(alias))
+        return notes.select(*keys, replace_by_dictionary(F.col(text), notes.sparkSession.sparkContext.broadcast(entries)).alias(alias))
+    rows = notes.select(*keys, text)
+    found = rows.join(hits_per_note(rows, keys, F.split(F.col(text), BATCH_SPLIT), stored), keys, "left")
+    return found.select(*keys, replace_by_hits(F.col(text), F.col("hits")).alias(alias))
 
 
 def with_patterns(dictionary: DataFrame, ignore_case: bool = True, guard: bool = True) -> DataFrame:

@@ -299,6 +299,7 @@ def spell_dictionary(spark, d):
     known = as_lookup(I.lexicon(spark, d), G.EDIT_LOOKUP_ROWS)
     words = table(spark, d, "documents").select(F.explode(F.array_distinct(T.norm_tokens(F.col("text")))).alias("key")).where(F.length("key") > 3).distinct()
     unknown = words.join(known, F.col("key") == F.col("word"), "left_anti").join(I.correction_dictionary(spark, d), "key", "left_anti")
+    unknown = cut_lineage(unknown)  # keys are made of it twice; the documents are read once
     pairs = G.edit1_pairs(unknown, known.where(F.length("word") > 3), "key", "word")
     return pairs.groupBy("key").agg(F.min("word").alias("value"))
 

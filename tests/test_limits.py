@@ -4,6 +4,7 @@ import html
 import math
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,23 @@ def test_parts_of_a_spread_table_grow_in_number(spark, tmp_path):
     rows = registry.spread(spark.read.parquet(path), "id")
     assert rows.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert rows.count() == 3_000_000
+
+
+def seconds(df):
+    start = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - start
+
+
+@pytest.mark.parametrize("by_hits", [False, True])
+def test_long_notes_full_of_dictionary_words(spark, monkeypatch, by_hits):
+    """A token costs the same however many entries its note holds, with a dictionary that is broadcast and with one that is joined."""
+    dictionary = spark.range(48_000).select(F.format_string("k%d", "id").alias("key"), F.format_string("v%d", "id").alias("value"))
+    if by_hits:
+        monkeypatch.setattr(correct, "small_entries", lambda stored: None)
+        monkeypatch.setattr(correct, "may_broadcast", lambda stored: False)
+    notes = lambda n: spark.createDataFrame([(1, " ".join(f"k{i}" for i in range(n))), (2, None), (3, ""), (4, "k1,x-k2 ")], "id long, text string")
+    short, long = (correct.correct_tokens(notes(n), ["id"], "text", dictionary) for n in (6_000, 48_000))
+    got = {r["id"]: r["corrected"] for r in short.collect()}
+    assert got == {1: " ".join(f"v{i}" for i in range(6_000)) + " ", 2: None, 3: " ", 4: "v1 x v2  "}
+    assert seconds(long) < 16 * seconds(short)
