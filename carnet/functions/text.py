@@ -11,6 +11,8 @@ from carnet import constants as K
 
 SPACE = r"[\s\p{Z}]"
 WORD = r"\p{L}\p{N}_"
+# The characters of SPACE.
+SPACES = "\t\n\x0b\f\r" + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c).startswith("Z"))
 # Letters accepted in a dictionary word.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
@@ -36,8 +38,8 @@ ASCII_SPELLING = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss", "
 
 
 def strip_space(c: Column) -> Column:
-    """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Trim every kind of white space at both ends; only the ends are looked at."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:

@@ -120,8 +120,10 @@ def reset_sentences(saved: DataFrame, engine: DataFrame, resets: DataFrame, key:
     """Sentences ``idx`` of a saved text put back to the engine's sentences, all requests of a text together. The saved row goes away
     when the text then equals the engine's; a request outside either text is refused, and without another the saved text stays."""
     asked = resets.groupBy(key).agg(F.collect_set("idx").alias("__idx"))
-    joined = saved.select(key, F.col("text").alias("__s")).join(engine.select(key, F.col("text").alias("__e")), key).join(asked, key, "left")
-    mine, theirs = T.sentences(F.col("__s")), T.sentences(F.col("__e"))
+    # Cut into sentences below the joins, once per text: inside a lambda the text would be cut again for each sentence.
+    texts, engines = (df.select(key, F.col("text").alias(whole), T.sentences(F.col("text")).alias(parts)) for df, whole, parts in ((saved, "__s", "__mine"), (engine, "__e", "__theirs")))
+    joined = texts.join(engines, key).join(asked, key, "left")
+    mine, theirs = F.col("__mine"), F.col("__theirs")
     ends = F.least(F.size(mine), F.size(theirs))
     valid = F.coalesce(F.exists("__idx", lambda i: (i >= 0) & (i < ends)), F.lit(False))
     put_back = F.transform(mine, lambda s, i: F.when(F.array_contains("__idx", i) & (i < F.size(theirs)), F.get(theirs, i)).otherwise(s))

@@ -209,3 +209,12 @@ def test_long_notes_full_of_dictionary_words(spark, monkeypatch, by_hits):
     got = {r["id"]: r["corrected"] for r in short.collect()}
     assert got == {1: " ".join(f"v{i}" for i in range(6_000)) + " ", 2: None, 3: " ", 4: "v1 x v2  "}
     assert seconds(long) < 16 * seconds(short)
+
+
+def test_reset_in_long_notes(spark):
+    """A text is cut into sentences once, not once per sentence."""
+    texts = lambda n, word: spark.createDataFrame([(1, " ".join(f"{word} {i}." for i in range(n)))], "id long, text string")
+    asked = lambda n: spark.range(0, n, 2).select(F.lit(1).alias("id"), F.col("id").cast("int").alias("idx"))
+    short, long = (reconcile.reset_sentences(texts(n, "Mine"), texts(n, "Theirs"), asked(n), "id") for n in (1_000, 8_000))
+    assert short.first()["text"].startswith("Theirs 0. Mine 1. Theirs 2. Mine 3. ")
+    assert seconds(long) < 16 * seconds(short)
