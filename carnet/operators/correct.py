@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BATCH_SPLIT = "[ /,.-]"
 #: Text whose tokens are held at once.
 PIECE_BYTES = 8 << 20
+#: Passes over the notes that cost about as much as joining their words.
+PASSES = 2
 
 
 def hits_per_note(notes: DataFrame, keys: list[str], tokens: Column, dictionary: DataFrame) -> DataFrame:
@@ -109,10 +111,27 @@ def with_patterns(dictionary: DataFrame, ignore_case: bool = True, guard: bool =
     return dictionary.withColumn("cased", F.lit(not ignore_case)).withColumn("guard", F.lit(guard) & (F.lit(ignore_case) | ~plain))
 
 
-def occurrences(notes: DataFrame, keys: list[str], text: str, entries: DataFrame, *carry: str) -> DataFrame:
-    """Occurrences of each entry (stored; key, value, cased, guard and the columns ``carry``) in each note, from one pass over the notes."""
-    hits = A.count(notes.select(*keys, text), text, entries, "__hits").select(*keys, F.explode("__hits").alias("h"))
-    hits = hits.groupBy(*keys, "h.key", "h.cased", "h.guard").agg(F.sum("h.occ").alias("occ"))
+def _word_hits(notes: DataFrame, keys: list[str], text: str, patterns: DataFrame) -> DataFrame:
+    """Occurrences (keys, key, cased, guard, occ) of patterns of one word by equality with the counted words of each note: one pass over the notes, whatever the
+    number of patterns."""
+    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(rf"[{T.WORD}]+['’]?"), F.lit(0)))
+    forms = notes.select(*keys, found.alias("__form")).groupBy(*keys, "__form").agg(F.count("*").alias("occ"))
+    forms = forms.withColumn("__word", F.rtrim("__form", F.lit("'’")))
+    met = forms.join(patterns.withColumn("__low", F.lower(F.trim("key"))), F.lower("__word") == F.col("__low"))
+    return met.where("NOT (guard AND __form <> __word) AND NOT (cased AND __word <> trim(key))").select(*keys, "key", "cased", "guard", "occ")
+
+
+def occurrences(notes: DataFrame, keys: list[str], text: str, entries: DataFrame, *carry: str, rows: int = A.SLICE_ROWS) -> DataFrame:
+    """Occurrences of each entry (stored; key, value, cased, guard and the columns ``carry``) in each note, from one pass over the notes. Of more entries than
+    ``PASSES`` automata take, those of one word are joined with the words of the notes, so that the number of passes does not grow with the words."""
+    patterns, words = entries.select("key", "cased", "guard").distinct(), None
+    if patterns.count() > PASSES * rows:
+        word = F.trim("key").rlike(rf"^[{T.WORD}]+$")
+        patterns, words = cut_lineage(patterns.where(~word)), patterns.where(word)
+    hits = A.count(notes.select(*keys, text), text, patterns, "__hits", rows).select(*keys, F.explode("__hits").alias("h")).select(*keys, "h.*")
+    if words is not None:
+        hits = hits.unionByName(_word_hits(notes, keys, text, words))
+    hits = hits.groupBy(*keys, "key", "cased", "guard").agg(F.sum("occ").alias("occ"))
     return hits.join(entries.select(*carry, "key", "value", "cased", "guard"), ["key", "cased", "guard"]).select(*keys, *carry, "key", "value", "occ")
 
 

@@ -218,3 +218,18 @@ def test_reset_in_long_notes(spark):
     short, long = (reconcile.reset_sentences(texts(n, "Mine"), texts(n, "Theirs"), asked(n), "id") for n in (1_000, 8_000))
     assert short.first()["text"].startswith("Theirs 0. Mine 1. Theirs 2. Mine 3. ")
     assert seconds(long) < 16 * seconds(short)
+
+
+def test_words_of_many_entries_take_no_pass_each(spark, monkeypatch):
+    """Entries beyond one automaton: words are joined, the automaton sees the others only, and the counts are the same."""
+    texts = ["K1 k1, k2' k3 k-4 IRM irm k1 k2 kx5’ k5_a", "IRM' k9 l'os k-4 k-4", None, "", "k1’k1 été Été"]
+    notes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, "k1")], "id long, text string")
+    entries = [(f"k{i}", "v", False, True) for i in range(9)] + [("k-4", "w", False, True), ("IRM", "x", True, False), ("irm", "y", False, False), (" k3 ", "z", False, True),
+                                                               ("l'os", "o", False, True), ("été", "e", False, True), ("k1", "other", False, False), (None, "n", False, False)]
+    held = spark.createDataFrame(entries, "key string, value string, cased boolean, guard boolean").localCheckpoint()
+    seen, plain = [], correct.A.count
+    monkeypatch.setattr(correct.A, "count", lambda notes, text, patterns, *more: seen.extend(r["key"] for r in patterns.collect()) or plain(notes, text, patterns, *more))
+    whole = sorted(map(tuple, correct.occurrences(notes, ["id"], "text", held).collect()))
+    seen.clear()
+    assert sorted(map(tuple, correct.occurrences(notes, ["id"], "text", held, rows=4).collect())) == whole
+    assert len(whole) > 12 and sorted(seen) == ["k-4", "l'os"]
