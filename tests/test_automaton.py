@@ -162,3 +162,16 @@ def test_many_sources_of_one_special_character():
     assert time.process_time() - start < 5
     # A source may begin inside a word: none of these does.
     assert len(found) == 40_000
+
+
+def test_only_surroundings_of_occurrences_are_taken_apart(monkeypatch):
+    """A long text costs tokens where it is changed; a replacement that leads to others far along the text still finds them."""
+    made, plain = [], A._Tokens.insert
+    monkeypatch.setattr(A._Tokens, "insert", lambda self, *args: made.append(1) or plain(self, *args))
+    text = " ".join(["plain"] * 5000 + ["Σ old", "x"] + ["plain"] * 5000)
+    assert A.replaced(text, A.Automaton([A.Pattern("old")]), ["new"]) == text.replace("old", "new")
+    assert len(made) < 100
+    # Each value makes the next pattern with the words that follow it.
+    patterns = [A.Pattern(f"s{i} w{i}") for i in range(60)]
+    text = "s0 " + " ".join(f"w{i}" for i in range(60)) + " end"
+    assert A.replaced(text, A.Automaton(patterns), [f"s{i + 1}" for i in range(60)]) == "s60 end"
