@@ -60,8 +60,8 @@ def space_tokens(c: Column) -> Column:
 
 
 def norm_tokens(c: Column) -> Column:
-    """Tokens of the normalised text."""
-    return space_tokens(lower_punct(c))
+    """Tokens of the normalised text, ``space_tokens(lower_punct(c))`` in one pass: whatever is no word character stands between tokens."""
+    return drop_empty(F.split(F.lower(c), rf"[^{WORD}]+"))
 
 
 def remove_special(c: Column) -> Column:
@@ -69,12 +69,12 @@ def remove_special(c: Column) -> Column:
 
 
 def unaccent(c: Column, mode: str = "strip") -> Column:
-    """Remove diacritics; ``mode='ascii'`` also spells ligatures with ASCII letters."""
+    """Remove diacritics; ``mode='ascii'`` also spells ligatures with ASCII letters. Text of ASCII alone is not looked through."""
     out = F.translate(F.regexp_replace(c, r"\p{Mn}", ""), ACCENTED, UNACCENTED)
     if mode == "ascii":
         for char, spelled in ASCII_SPELLING.items():
             out = F.replace(out, F.lit(char), F.lit(spelled))
-    return out
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(out)
 
 
 def has_diacritics(c: Column) -> Column:

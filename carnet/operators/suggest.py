@@ -210,7 +210,8 @@ def suggest_all(tokens: DataFrame, dictionary: DataFrame, sure: DataFrame, ambig
     rules.sort(key=lambda r: K.FAMILY_PRIORITY.index(r[0]))
     chosen = F.coalesce(*[F.when(cond, F.struct(match.alias("match"), F.lit(score).alias("score"), F.lit(dist).alias("edit_dist"),
                                                 F.lit(name).alias("category"))) for name, cond, match, score, dist in rules])
-    picked = rows.withColumn("__s", chosen).where(F.col("__s").isNotNull())
+    # Whatever is to be fixed has a family, if only the last: no rule but the three that also hold for valid tokens is worked out to choose rows.
+    picked = rows.where(fix | F.col("mk").isNotNull() | is_sure | candidate_rule()).withColumn("__s", chosen)
     return picked.select(
         F.col("token").alias("token_source"), F.col("__s.match").alias("match"), F.col("n").alias("count"), F.col("__s.score").alias("score"),
         F.col("__s.edit_dist").alias("edit_dist"), F.col("__s.category").alias("category"),

@@ -68,7 +68,7 @@ def abbr_harvest(spark, d):
 
 def found_abbreviations(spark, d):
     """A second source: acronyms by first letter, sure up to M, ambiguous after."""
-    keys = I.acronyms(spark, d)
+    keys = I.acronyms(table(spark, d, "documents"))
     low = F.lower("key")
     early = F.substring("key", 1, 1) <= "M"
     sure = keys.where(early).withColumn("value", F.concat(F.lit("found "), low))

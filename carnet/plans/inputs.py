@@ -14,7 +14,7 @@ from carnet.registry import table
 
 def raw_tokens(c):
     """Blank-separated tokens in their original case."""
-    return T.space_tokens(T.squeeze(c))
+    return T.drop_empty(F.split(c, rf"{T.SPACE}+"))
 
 
 def reference_counts(spark, d) -> DataFrame:
@@ -77,16 +77,18 @@ SQL_PHRASES = f"""
                 FROM (SELECT {S.tokens('text')} AS ts FROM benchmark) WHERE len(ts) >= 2)"""
 
 
-def acronyms(spark, d) -> DataFrame:
+def acronyms(notes: DataFrame, text: str = "text") -> DataFrame:
     """Capital words of two to six letters; filtered inside each note before they are compared between notes."""
-    words = F.filter(F.array_distinct(T.plain_words(F.col("text"))), lambda w: w.rlike("^[A-Z]{2,6}$"))
-    return table(spark, d, "documents").select(F.explode(words).alias("key")).distinct()
+    words = F.filter(F.array_distinct(T.plain_words(F.col(text))), lambda w: w.rlike("^[A-Z]{2,6}$"))
+    return notes.select(F.explode(words).alias("key")).distinct()
 
 
-def abbreviations(spark, d) -> tuple[DataFrame, DataFrame]:
+def abbreviations(spark, d, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Sure abbreviations (acronyms of even length, one expansion) and ambiguous ones (odd length, two expansions).
-    The acronyms are written once, so the documents are scanned once for both."""
-    found, low = as_lookup(acronyms(spark, d)), F.lower("key")
+    The acronyms are written once, so the documents are scanned once for both; a stored ``vocabulary`` of blank-separated tokens holds the same
+    ones, as no word goes beyond a token, and is read in their place."""
+    found = as_lookup(acronyms(table(spark, d, "documents")) if vocabulary is None else acronyms(vocabulary, "token"))
+    low = F.lower("key")
     sure = found.where(F.length("key") % 2 == 0).withColumn("value", F.concat(F.lit("long form of "), low))
     two = F.array(F.concat(F.lit("first "), low), F.concat(F.lit("second "), low))
     return sure, found.where(F.length("key") % 2 == 1).withColumn("expansions", two)

@@ -236,7 +236,7 @@ SQL_ALL = sug("", f""",
 def all_suggestions(spark, d):
     """The vocabulary is written once, so the corpus is scanned once however many families look at it."""
     tokens = cut_lineage(I.token_table(spark, d))
-    sure, ambiguous = I.abbreviations(spark, d)
+    sure, ambiguous = I.abbreviations(spark, d, tokens)
     return G.suggest_all(tokens, I.correction_dictionary(spark, d), sure, ambiguous)
 
 

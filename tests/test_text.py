@@ -154,3 +154,25 @@ def test_infer_retries(spark):
     df = spark.createDataFrame([(1, "douleur"), (2, "rien")], "id int, text string").coalesce(1)
     got = {r["id"]: r["prediction"] for r in L.infer(df, ["id"], "text", Flaky()).collect()}
     assert got == {1: "OUI", 2: "NON"}
+
+
+def test_suggestions_read_the_documents_once(spark, sf_dir, monkeypatch):
+    """Acronyms come from the stored vocabulary and are those of the documents."""
+    from carnet.plans import inputs, vocabulary
+
+    read, plain = [], inputs.table
+    monkeypatch.setattr(inputs, "table", lambda spark, d, name: read.append(name) or plain(spark, d, name))
+    vocabulary.all_suggestions(spark, sf_dir)
+    assert read.count("documents") == 1
+    tokens = inputs.token_table(spark, sf_dir)
+    for by_notes, by_words in zip(inputs.abbreviations(spark, sf_dir), inputs.abbreviations(spark, sf_dir, tokens)):
+        assert sorted(map(str, by_notes.collect())) == sorted(map(str, by_words.collect())) != []
+
+
+def test_tokens_in_one_pass_are_those_of_two(spark):
+    odd = "\x1c É'a_b  Ça-va!́ 　x\t\n٣²\U0001d54f  İ\x85y.z"
+    rows = spark.createDataFrame([(odd,), ("",), (None,), (" - ",)], "text string")
+    c = F.col("text")
+    from carnet.plans.inputs import raw_tokens
+    for got, want in rows.select(T.norm_tokens(c), T.space_tokens(T.lower_punct(c))).collect() + rows.select(raw_tokens(c), T.space_tokens(T.squeeze(c))).collect():
+        assert got == want
